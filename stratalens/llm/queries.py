@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, topk, urls
+from . import jaccard, mixing, substrings, topk, urls
 
 URL_RULES = (
     ("allow", "com", "/"),
@@ -31,6 +31,16 @@ def op4_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.filter_urls(_read(spark, sf_dir, "pages"), URL_RULES)
 
 
+def op5_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.near_duplicates(_read(spark, sf_dir, "documents"))
+
+
+def op7_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
+    out = substrings.dedup_substrings(docs)
+    return out.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
 def op10_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_read(spark, sf_dir, "documents"))
 
@@ -38,6 +48,8 @@ def op10_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_topk": op3_topk,
     "op4_urls": op4_urls,
+    "op5_jaccard": op5_jaccard,
+    "op7_substrings": op7_substrings,
     "op10_mix": op10_mix,
 }
 
@@ -77,4 +89,39 @@ WITH p AS (
 SELECT page_id, host, path, r AS rule, coalesce(rverdict, 'allow') AS verdict FROM m WHERE k = 1
 """
 
-ORACLES: dict[str, str] = {"op3_topk": OP3_SQL, "op4_urls": OP4_SQL}
+OP5_SQL = """
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS ws
+  FROM documents
+), g AS (
+  SELECT doc_id, CASE WHEN len(ws) = 0 THEN []
+    WHEN len(ws) < 3 THEN [array_to_string(ws, ' ')]
+    ELSE list_distinct(list_transform(range(1, len(ws) - 1), lambda i: ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2])) END AS s
+  FROM w
+), t AS (SELECT doc_id, len(s) AS n, unnest(s) AS token FROM g),
+p AS (
+  SELECT a.doc_id AS x, b.doc_id AS y FROM t a JOIN t b ON a.token = b.token AND a.doc_id <> b.doc_id
+  GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 90 * (a.n + b.n - count(*))
+), r(x, y) AS (SELECT x, y FROM p UNION SELECT r.x, p.y FROM r JOIN p ON r.y = p.x)
+SELECT g.doc_id, CAST(len(s) AS BIGINT) AS n_shingles, least(g.doc_id, coalesce(min(r.y), g.doc_id)) AS component_id
+FROM g LEFT JOIN r ON r.x = g.doc_id GROUP BY g.doc_id, len(s)
+"""
+
+OP7_SQL = """
+WITH w AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS ws FROM documents
+), v AS (
+  SELECT doc_id, unnest(range(1, len(ws) - 48)) AS i, ws FROM w WHERE len(ws) >= 50
+), h AS (SELECT doc_id, i, md5(array_to_string(ws[i:i + 49], ' ')) AS k FROM v),
+m AS (SELECT k, min(doc_id) AS first_id FROM h GROUP BY k HAVING min(doc_id) < max(doc_id)),
+gone AS (
+  SELECT DISTINCT doc_id, i + unnest(range(0, 50)) AS j FROM h JOIN m USING (k) WHERE first_id < doc_id
+), e AS (SELECT doc_id, unnest(ws) AS word, generate_subscripts(ws, 1) AS j FROM w),
+kept AS (
+  SELECT doc_id, string_agg(word, ' ' ORDER BY j) AS t, count(*) AS n FROM e ANTI JOIN gone USING (doc_id, j) GROUP BY doc_id
+)
+SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(len(ws) - coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
+FROM w LEFT JOIN kept USING (doc_id)
+"""
+
+ORACLES: dict[str, str] = {"op5_jaccard": OP5_SQL, "op7_substrings": OP7_SQL, "op3_topk": OP3_SQL, "op4_urls": OP4_SQL}

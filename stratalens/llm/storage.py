@@ -46,6 +46,6 @@ def width(df: DataFrame, mb_each: float = 8, per_partition: int = 4) -> int:
     bucket stays within one worker's memory however large the input is, and
     from the session's shuffle width, so that small inputs still spread.
     """
-    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return min(1 << 20, max(parts * per_partition, math.ceil(size / (mb_each * 1e6))))
