@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import jaccard, mixing, substrings, topk, urls
+from . import jaccard, mixing, pitman_yor, substrings, topk, urls
 
 URL_RULES = (
     ("allow", "com", "/"),
@@ -41,6 +41,17 @@ def op7_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+def op9_pitman_yor(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
+    out = pitman_yor.held_out(F.col("doc_id"))
+    model = pitman_yor.train(docs.where(~out))
+    scored = pitman_yor.score(model, docs)
+    return scored.select(
+        "doc_id", out.alias("held_out"), "n_tokens", "n_known",
+        F.lit(model.train_tokens).cast("long").alias("train_tokens"), "base_score", "score",
+    )
+
+
 def op10_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_read(spark, sf_dir, "documents"))
 
@@ -50,6 +61,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_urls": op4_urls,
     "op5_jaccard": op5_jaccard,
     "op7_substrings": op7_substrings,
+    "op9_pitman_yor": op9_pitman_yor,
     "op10_mix": op10_mix,
 }
 
