@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import jaccard, mixing, pitman_yor, substrings, topk, urls
+from . import jaccard, mixing, packing, pitman_yor, substrings, topk, urls
 
 URL_RULES = (
     ("allow", "com", "/"),
@@ -35,6 +35,12 @@ def op5_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.near_duplicates(_read(spark, sf_dir, "documents"))
 
 
+def op6_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return packing.pack_documents(_read(spark, sf_dir, "documents"), str(public_tokenizers.path("byte_bpe_50k.json")))
+
+
 def op7_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
     out = substrings.dedup_substrings(docs)
@@ -60,6 +66,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_topk": op3_topk,
     "op4_urls": op4_urls,
     "op5_jaccard": op5_jaccard,
+    "op6_pack": op6_pack,
     "op7_substrings": op7_substrings,
     "op9_pitman_yor": op9_pitman_yor,
     "op10_mix": op10_mix,
