@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import jaccard, mixing, packing, pitman_yor, substrings, topk, urls
+from . import classifier, jaccard, mixing, packing, pitman_yor, rules, substrings, topk, urls
 
 URL_RULES = (
     ("allow", "com", "/"),
@@ -22,6 +22,19 @@ def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = rules.judge(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
+    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+def op2_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents")
+    out = classifier.held_out(F.col("doc_id"))
+    weights = classifier.train(docs, _read(spark, sf_dir, "labels").where(~out))
+    scored = classifier.score(docs, weights)
+    return scored.select("doc_id", out.alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
 def op3_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = _read(spark, sf_dir, "embeddings")
     return topk.top_k(vectors, vectors.where(F.col("vec_id") % 50 == 0))
@@ -63,6 +76,8 @@ def op10_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_rules": op1_rules,
+    "op2_classifier": op2_classifier,
     "op3_topk": op3_topk,
     "op4_urls": op4_urls,
     "op5_jaccard": op5_jaccard,
