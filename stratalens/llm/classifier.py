@@ -126,6 +126,22 @@ def score(docs: DataFrame, weights: np.ndarray, bits: int = BITS) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_scorer(weights.astype(np.float64), bits), "doc_id long, score double")
 
 
+def _keeper(weights: np.ndarray, cut: float, bits: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = batch.schema.get_field_index("text")
+            for some in slices(batch.set_column(at, batch.schema.field(at), batch.column(at)), "text"):
+                raw = np.array([weights[i] @ value for i, value in features(some.column(at), bits)]) + weights[-1]
+                yield some.filter(pa.array(1 / (1 + np.exp(-np.clip(raw, -35, 35))) >= cut))
+
+    return run
+
+
+def keep(docs: DataFrame, weights: np.ndarray, cut: float = 0.7, bits: int = BITS) -> DataFrame:
+    """The rows of `docs` that score `cut` or more, with all their columns; cases are as in score()."""
+    return docs.mapInArrow(_keeper(weights.astype(np.float64), cut, bits), docs.schema)
+
+
 def held_out(doc_id, parts: int = 4, part: int = 2):
     """Rows whose labels are never learnt from: crc32 of the id's text leaves `part`. A null id is not held out."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % parts == part, F.lit(False))

@@ -88,6 +88,8 @@ def _block_takes(src: DataFrame, block: int, shard_slots: int, cap: int, seed: i
     counts = given.unionByName(drawn).groupBy("shard", "sid").agg(F.sum("n").alias("n")).where("n > 0")
     run = Window.partitionBy("sid").orderBy("shard")
     counts = counts.withColumn("stop", F.sum("n").over(run)).join(live.select("sid", "n_blocks"), "sid")
+    # A row here becomes thousands of slots: dealt out first, and by number, so that it stays dealt out.
+    counts = counts.repartition(int(src.sparkSession.conf.get("spark.sql.shuffle.partitions")), "shard", "sid")
     slots = counts.withColumn("slot", F.explode(F.sequence(F.col("stop") - F.col("n"), F.col("stop") - 1)))
     slots = slots.where(F.col("slot") < F.col("n_blocks") * cap)
     turn = F.floor(F.col("slot") / F.col("n_blocks")).cast("long")
@@ -100,14 +102,14 @@ def mix_plan(docs: DataFrame, block: int = 128, shard_slots: int = 4096, cap: in
     """(documents, pieces) of a mix of `docs(doc_id, source, text)`.
 
     documents: rid, doc_id, sid, size, source_size, target, one row per input
-    row. pieces: rid, doc_id, sid, size, begin, words, times: for each stretch
+    row, numbered by a column rid where `docs` has one. pieces: rid, doc_id, sid, size, begin, words, times: for each stretch
     of a document inside one block, its first word, its words and how often the
-    mix takes it. rid numbers the rows of one call and is not stable over calls.
+    mix takes it.
     """
-    sized = docs.select(F.col("doc_id"), F.col("source"), word_count(F.col("text")).alias("size"))
-    sized = stage(sized.withColumn("rid", F.monotonically_increasing_id()), "mix-sizes")
+    rid = F.col("rid") if "rid" in docs.columns else F.monotonically_increasing_id().alias("rid")
+    sized = stage(docs.select(rid, "doc_id", "source", word_count(F.col("text")).alias("size")), "mix-sizes")
     rows = sized.count()
-    groups = max(1, math.ceil(rows / 4000))
+    groups = max(1, math.ceil(rows / 1000))
     src = stage(source_targets(sized, weights, cap), "mix-sources")
     # Sources of equal name, null included, meet by name: a hot one is split by AQE or, small, broadcast.
     known = sized.join(src, sized["source"].eqNullSafe(src["source"])).select("rid", "doc_id", "sid", "size", "source_size", "target")
@@ -136,5 +138,26 @@ def mix(docs: DataFrame, **how) -> DataFrame:
     each drawn on its own. Equal input, partitioning included or not, gives
     equal results, as only hashes of values are drawn.
     """
-    _, pieces = mix_plan(docs, **how)
+    _, pieces = mix_plan(docs.select("doc_id", "source", "text"), **how)
     return pieces.groupBy("rid", "doc_id", "size", "source_size", "target").agg(F.sum(F.col("words") * F.col("times")).alias("taken")).drop("rid")
+
+
+def mixed_documents(docs: DataFrame, cap: int = 3, **how) -> DataFrame:
+    """The mix as documents: the columns of `docs(doc_id, source, text, n_chars, ...)`, up to `cap` rows for each.
+
+    The k-th row of a document holds its words that the mix takes k times or
+    more, in order; its text is unchanged if that is all of them, else the words
+    joined by one space. n_chars is the new length, other columns are copied.
+    Documents of which nothing is taken give no row. Cases are as in mix().
+    """
+    docs = stage(docs.withColumn("rid", F.monotonically_increasing_id()), "mix-docs")
+    _, pieces = mix_plan(docs, cap=cap, **how)
+    taken = pieces.where("times > 0").groupBy("rid", "size").agg(F.array_sort(F.collect_list(F.struct("begin", "words", "times"))).alias("pieces"))
+    taken = taken.withColumn("turn", F.explode(F.sequence(F.lit(1).cast("long"), F.array_max("pieces.times"))))
+    taken = taken.withColumn("pieces", F.filter("pieces", lambda p: p["times"] >= F.col("turn")))
+    whole = F.aggregate("pieces", F.lit(0).cast("long"), lambda a, p: a + p["words"]) == F.col("size")
+    words = F.regexp_extract_all("text", F.lit(WORD), F.lit(0))
+    some = F.array_join(F.flatten(F.transform("pieces", lambda p: F.slice(F.col("all_words"), (p["begin"] + 1).cast("int"), p["words"].cast("int")))), " ")
+    rows = docs.join(taken, "rid").withColumn("whole", whole).withColumn("all_words", F.when(~F.col("whole"), words))
+    rows = rows.withColumn("text", F.when(F.col("whole"), F.col("text")).otherwise(some))
+    return rows.withColumn("n_chars", F.length("text").cast("long")).select(*[c for c in docs.columns if c != "rid"])

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import classifier, jaccard, mixing, packing, pitman_yor, rules, substrings, topk, urls
+from . import classifier, jaccard, mixing, packing, pitman_yor, rules, substrings, topk, urls, warc
 
 URL_RULES = (
     ("allow", "com", "/"),
@@ -60,6 +60,18 @@ def op7_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = warc.derivatives(warc.responses(_read(spark, sf_dir, "pages")))
+    header = lambda name: F.col("headers")[name]
+    return out.select(
+        "page_id", header("WARC-Type").alias("warc_type"), header("WARC-Record-ID").alias("record_id"),
+        header("WARC-Refers-To").alias("refers_to"), header("WARC-Target-URI").alias("target_uri"),
+        header("WARC-Date").alias("warc_date"), header("Content-Type").alias("content_type"),
+        header("Content-Length").cast("long").alias("content_length"), header("WARC-Block-Digest").alias("block_digest"),
+        header("WARC-Refers-To-Payload-Digest").alias("source_payload_digest"), "block",
+    )
+
+
 def op9_pitman_yor(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
     out = pitman_yor.held_out(F.col("doc_id"))
@@ -75,6 +87,12 @@ def op10_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_read(spark, sf_dir, "documents"))
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_rules": op1_rules,
     "op2_classifier": op2_classifier,
@@ -83,8 +101,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_jaccard": op5_jaccard,
     "op6_pack": op6_pack,
     "op7_substrings": op7_substrings,
+    "op8_warc": op8_warc,
     "op9_pitman_yor": op9_pitman_yor,
     "op10_mix": op10_mix,
+    "pipeline": pipeline,
 }
 
 OP3_SQL = """
