@@ -153,7 +153,7 @@ def orders(df: DataFrame, left: Sequence[str], right: Sequence[str]) -> DataFram
     ext = df.where(whole).groupBy(s(x).alias("x")).agg(F.min(s(y)).alias("lo"), F.max(s(y)).alias("hi"))
     w = Window.orderBy("x").rowsBetween(Window.unboundedPreceding, -1)
     seen = ext.withColumn("before", F.max("hi").over(w))
-    return seen.agg(F.count_if("before > lo").alias("a"), F.count_if("before = lo").alias("b")).select(((F.col("a") == 0) & (F.col("b") == 0)).alias("valid"), (F.col("a") > 0).alias("swap"), (F.col("b") > 0).alias("merge"))
+    return seen.agg(F.count_if(F.col("before") > F.col("lo")).alias("a"), F.count_if(F.col("before") == F.col("lo")).alias("b")).select(((F.col("a") == 0) & (F.col("b") == 0)).alias("valid"), (F.col("a") > 0).alias("swap"), (F.col("b") > 0).alias("merge"))
 
 
 def mine_list_based(df: DataFrame, columns: Sequence[str] | None = None, max_size: int = 2) -> DataFrame:

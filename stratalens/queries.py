@@ -461,7 +461,7 @@ def md_discover(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     "similarity_measures",
-    f"""SELECT a.r_name AS x, b.r_name AS y, round({_LEV.format('r_name')}, 6) AS levenshtein, CASE WHEN a.r_name = b.r_name THEN 1.0 ELSE 0.0 END AS jaccard FROM region a, region b""",
+    f"""SELECT a.r_name AS x, b.r_name AS y, round({_LEV.format('r_name')}, 6) AS levenshtein, CASE WHEN a.r_name = b.r_name THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS jaccard FROM region a, region b""",
 )
 def similarity_measures(spark: SparkSession, d: str) -> DataFrame:
     r = read(spark, d, "region")
@@ -618,11 +618,11 @@ def gfd_discover(spark: SparkSession, d: str) -> DataFrame:
 def _order_graphs(spark: SparkSession, d: str) -> DataFrame:
     """A star per order: its status linked to the return flags of its lines."""
     line = read(spark, d, "lineitem").where("l_linenumber <= 3")
-    leaf = F.struct(F.col("l_linenumber").cast("int").alias("id"), F.concat("l_returnflag", "l_linestatus").alias("label"))
-    edge = F.struct(F.lit(0).alias("src"), F.col("l_linenumber").cast("int").alias("dst"), F.lit("line").alias("label"))
+    by = line.groupBy(F.col("l_orderkey").alias("graph_id")).agg(F.array_sort(F.collect_list(F.concat("l_returnflag", "l_linestatus"))).alias("x"))
     root = F.array(F.struct(F.lit(0).alias("id"), F.lit("order").alias("label")))
-    by = line.groupBy(F.col("l_orderkey").alias("graph_id")).agg(F.array_sort(F.collect_list(leaf)).alias("leaves"), F.array_sort(F.collect_list(edge)).alias("edges"))
-    return by.select("graph_id", F.concat(root, "leaves").alias("vertices"), "edges")
+    leaves = F.transform("x", lambda x, i: F.struct((i + 1).alias("id"), x.alias("label")))
+    edges = F.transform("x", lambda x, i: F.struct(F.lit(0).alias("src"), (i + 1).alias("dst"), F.lit("line").alias("label")))
+    return by.select("graph_id", F.concat(root, leaves).alias("vertices"), edges.alias("edges"))
 
 
 @query(
