@@ -197,10 +197,9 @@ def dedup_substrings(docs: DataFrame, window: int = 50) -> DataFrame:
 
     block = (window + 1) // 2
     docs = docs.drop("kept_text", "n_words", "n_removed", "removed", "pid").withColumn("doc_id", F.col("doc_id").cast("long"))
-    n = width(docs)
+    n = width(docs, 4, 1)
     laid = dealt(docs, n)
-    narrow = laid.select("pid", "doc_id", "text")
-    sent = narrow.groupBy("pid").applyInArrow(_probes(block, n), _SENT_DDL)
+    sent = laid.groupBy("pid").applyInArrow(_probes(block, n), _SENT_DDL)
     hits = sent.groupBy("bucket").applyInArrow(_hits, _SENT_DDL)
     found = laid.groupBy("pid").cogroup(hits.groupBy("pid")).applyInArrow(_candidates(window, block, n), _SENT_DDL)
     answers = found.groupBy("bucket").applyInArrow(_smallest, _SENT_DDL)
