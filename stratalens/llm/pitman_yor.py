@@ -13,8 +13,8 @@ context, gathered between sweeps as one vector of fixed length. Predictive
 probabilities are averaged over the kept sweeps.
 
 Up to EXACT customers, tables are drawn from the exact conditional with
-generalised Stirling numbers; beyond, customers are seated in runs of a
-sixteenth of those present, the opening probability held within a run.
+generalised Stirling numbers; beyond, from the limit those numbers approach, a
+negative binomial distribution.
 """
 
 from __future__ import annotations
@@ -182,18 +182,12 @@ def draw_tables(customers: np.ndarray, base: np.ndarray, others: np.ndarray, dis
             t = np.arange(c)
             weight = np.cumsum(np.log(strength + discount * (others[some, None] + t)), axis=1) + log_base[some, None] * (t + 1) + stirling[c, 1 : c + 1]
             out[some] = 1 + np.argmax(weight + rng.gumbel(size=weight.shape), axis=1)
+    # With many customers, weights of t and t + 1 tables stand as (strength / discount + others + t) * base to t:
+    # the tables beyond the first follow a negative binomial distribution.
     at = np.flatnonzero(customers > EXACT)
     if len(at):
-        tables, seated, left = np.ones(len(at)), 1, customers[at]
-        while True:
-            live = np.flatnonzero(left > seated)
-            if not len(live):
-                break
-            step = np.minimum(max(1, seated // 16), left[live] - seated)
-            fresh = (strength + discount * (others[at[live]] + tables[live])) * base[at[live]]
-            tables[live] += rng.binomial(step, fresh / (fresh + seated - discount * tables[live]))
-            seated += max(1, seated // 16)
-        out[at] = tables.astype(np.int64)
+        beyond = rng.negative_binomial(np.maximum(strength / discount + others[at] + 1, 1e-9), 1 - np.minimum(base[at], 1 - 1e-9))
+        out[at] = np.minimum(1 + beyond, customers[at])
     return out
 
 
