@@ -79,7 +79,7 @@ def _hits(table: pa.Table) -> pa.Table:
     k, source = k[order], source[order]
     start = runs(source)
     bucket = table["bucket"][0].as_py()
-    ends = np.append(start[1:], len(k))
+    ends = np.append(start, len(k))[1:]
     return rows(_SENT, bucket=[bucket] * len(start), pid=[pids[source[a]] for a in start], blob=[k[a:b].tobytes() for a, b in zip(start, ends, strict=True)])
 
 
@@ -138,7 +138,7 @@ def _smallest(table: pa.Table) -> pa.Table:
     order = np.argsort(source, kind="stable")
     f, least, source = f[order], least[order], source[order]
     start = runs(source)
-    ends = np.append(start[1:], len(f))
+    ends = np.append(start, len(f))[1:]
     bucket = table["bucket"][0].as_py()
     return rows(_SENT, bucket=[bucket] * len(start), pid=[pids[source[a]] for a in start], blob=[pack(f[a:b], least[a:b]) for a, b in zip(start, ends, strict=True)])
 

@@ -160,11 +160,16 @@ def write_warc(records: DataFrame, path: str, compression: str | None = None) ->
 def read_warc(spark: SparkSession, path: str) -> DataFrame:
     """headers and block of the records of WARC files with UTF-8 blocks; large files are read in splits.
 
-    Records are told apart by the blank lines and version line between them.
+    Records are told apart by the blank lines and version line between them;
+    a block is as long as its Content-Length says.
     """
     raw = spark.read.option("lineSep", _CRLF * 2 + VERSION + _CRLF).text(path)
-    text = F.regexp_replace(F.regexp_replace("value", rf"^{VERSION}\r\n", ""), r"\r\n\r\n\z", "")
+    text = F.regexp_replace("value", rf"^{VERSION}\r\n", "")
     at = F.instr(text, _CRLF * 2)
-    head, block = F.substring(text, F.lit(1), at - 1), F.substr(text, at + 4)
+    head, rest = F.substring(text, F.lit(1), at - 1), F.substr(text, at + 4)
     pairs = F.transform(F.split(head, _CRLF), lambda line: F.struct(F.split(line, ": ", 2)[0], F.split(line, ": ", 2)[1]))
-    return raw.select(F.map_from_entries(pairs).alias("headers"), block.alias("block"))
+    parsed = raw.select(F.map_from_entries(pairs).alias("headers"), rest.alias("rest"))
+    # A file's last record is followed by blank lines that no separator took; the length tells them from the block.
+    length = F.col("headers")["Content-Length"].try_cast("int")
+    block = F.when(length.isNull(), F.regexp_replace("rest", r"\r\n\r\n\z", "")).otherwise(F.decode(F.substr(F.encode("rest", "utf-8"), F.lit(1), length), "utf-8"))
+    return parsed.select("headers", block.alias("block"))
