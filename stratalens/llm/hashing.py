@@ -118,7 +118,7 @@ class Words:
         return segment_hash(_TABLES[kind, lower][self.data], self.start, self.end, kind)
 
 
-def slices(batch: pa.RecordBatch, text: str, limit: int = 2 << 20) -> Iterator[pa.RecordBatch]:
+def slices(batch: pa.RecordBatch, text: str, limit: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     """Cut a batch into runs of whole rows with at most `limit` bytes of text.
 
     A single longer text forms a run of its own.

@@ -41,7 +41,7 @@ _COUNTS = (_U, np.uint32, np.uint16, np.uint32)  # words, contexts per word, con
 _SEATS = (np.uint32, np.uint32)  # tables per (word, context), tables per word in the parent
 
 
-def _tokens(batches: Iterator[pa.RecordBatch], text_bytes: int = 6 << 20, most_docs: int = 60_000) -> Iterator[tuple]:
+def _tokens(batches: Iterator[pa.RecordBatch], text_bytes: int = 3 << 20, most_docs: int = 60_000) -> Iterator[tuple]:
     """Runs of documents as (doc_ids, words, contexts, owners): a run's tokens with their contexts and documents."""
     parts: list[tuple] = []
     held = docs = 0
@@ -96,8 +96,10 @@ _STATE_DDL = "bucket int, counts binary, seats binary, kept array<binary>"
 def _merged(table: pa.Table) -> pa.Table:
     """A bucket's counts from all parts, every (word, context) with one table."""
     parts = [unpack(x, *_COUNTS) for x in table["counts"].to_pylist()]
-    words, code = np.unique(np.concatenate([np.repeat(p[0], p[1]) for p in parts]), return_inverse=True)
-    pair = (code.astype(np.int64) << CONTEXT_BITS) | np.concatenate([p[2] for p in parts])
+    # Words repeat once a part, pairs far more often: only the words are sorted at full width.
+    words, code = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
+    pair = np.repeat(code.astype(np.int64) << CONTEXT_BITS, np.concatenate([p[1] for p in parts]))
+    pair |= np.concatenate([p[2] for p in parts])
     order = np.argsort(pair, kind="stable")
     pair = pair[order]
     start = runs(pair)
@@ -229,7 +231,7 @@ def train(docs: DataFrame, burn_in: int = 1, keep: int = 2, seed: int = 11) -> M
     count as one end token. Discounts follow from the numbers of pairs and
     words seen once and twice. An empty table gives the uniform model.
     """
-    n = width(docs, 16, 1)
+    n = width(docs, 8, 1)
     counted = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_counter(n), "bucket int, counts binary")
     state = stage(counted.groupBy("bucket").applyInArrow(_merged, _STATE_DDL), "seating")
     model = Model(state, n, _totals(state))
