@@ -36,6 +36,8 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     """
     now = stage(edges.select(F.col("a").cast("long"), F.col("b").cast("long")).where("a <> b").distinct(), "edges")
     mark = None
+    if not now.take(1):
+        most_rounds = 0
     for _ in range(most_rounds):
         nxt = stage(_star(_star(now, True), False), "edges")
         unstage(now)
@@ -45,5 +47,6 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
             break
         mark = tuple(sums)
     else:
-        raise RuntimeError("components did not settle")
+        if most_rounds:
+            raise RuntimeError("components did not settle")
     return now.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
