@@ -13,6 +13,7 @@ from __future__ import annotations
 import math
 import os
 import zlib
+from array import array
 from collections import Counter
 from collections.abc import Iterator
 
@@ -24,14 +25,20 @@ from pyspark.sql import functions as F
 from .hashing import _TABLES, segment_hash, slices
 from .storage import stage
 
-_CACHE_ENTRIES = 250_000
+_CACHE_ENTRIES = 400_000
+# Kinds of ASCII bytes. Apostrophes and the characters of special tokens are cut at neither side.
+_LETTER, _PUNCT, _OTHER = 1, 2, 3
+_KINDS = np.zeros(256, np.uint8)
+_KINDS[0x21:0x7F] = _PUNCT
+_KINDS[np.frombuffer(b"0123456789'<|>", np.uint8)] = _OTHER
+_KINDS[ord("A") : ord("Z") + 1] = _KINDS[ord("a") : ord("z") + 1] = _LETTER
 
 
 class Encoder:
     """Byte-level BPE ids by the `tokenizers` library, with repeated stretches of text encoded once.
 
-    Texts are cut before a single space between graphic characters, where the
-    pre-tokenizer always cuts; equal stretches then have equal ids.
+    Texts are cut where the pre-tokenizer always cuts; equal stretches then have
+    equal ids.
     """
 
     def __init__(self, path: str):
@@ -54,11 +61,10 @@ class Encoder:
         if missing:
             raw = data.tobytes()
             texts = [raw[begins[at[i]] : ends[at[i]]].decode() for i in missing]
-            if len(self.cache) + len(missing) > _CACHE_ENTRIES:
-                self.cache.clear()
+            # What comes first is what comes often: a full cache is kept as it is.
             room = _CACHE_ENTRIES - len(self.cache)
-            for i, e in zip(missing, self.tokenizer.encode_batch(texts, add_special_tokens=False), strict=True):
-                known[i] = np.array(e.ids, np.uint32).tobytes()
+            for i, e in zip(missing, self.tokenizer.encode_batch_fast(texts, add_special_tokens=False), strict=True):
+                known[i] = array("I", e.ids).tobytes()
                 if room > 0:
                     self.cache[keys[i]] = known[i]
                     room -= 1
@@ -71,22 +77,37 @@ class Encoder:
 
     @staticmethod
     def _cut(data: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+        """Where stretches begin: places at which the pre-tokenizer cuts whatever stands around them.
+
+        Before a single space or a newline after a visible character, after a
+        single newline, and between letters and most punctuation.
+        """
         n = len(data)
-        graphic = (data > 0x20) & (data < 0x7F)
-        latin = data == 0xC3  # leads U+00C0 to U+00FF, none of which is a space
-        before, after = np.zeros(n, bool), np.zeros(n, bool)
-        before[1:] = graphic[:-1]
-        before[2:] |= latin[:-2]
-        after[:-1] = (graphic | latin)[1:]
-        cut = (data == 0x20) & before & after
-        inner = bounds[:-1][bounds[:-1] < n]
-        cut[inner] = False
+        if not n:
+            return np.zeros(0, np.int64)
+        kind = _KINDS[data]
+        # A two-byte Latin letter counts as a letter at its lead and, for what follows, at its end.
+        latin = np.zeros(n, bool)
+        latin[:-1] = (data[:-1] == 0xC3) & (data[1:] != 0x97) & (data[1:] != 0xB7)
+        ends = np.zeros(n, bool)
+        ends[1:] = latin[:-1]
+        starts_letter, ends_letter = (kind == _LETTER) | latin, (kind == _LETTER) | ends
+        seen = (kind == _LETTER) | (kind == _PUNCT) | (kind == _OTHER)
+        starts_seen, ends_seen = seen | latin, seen | ends
+        cut = np.zeros(n, bool)
+        newline = data == 0x0A
+        cut[1:-1] = (data[1:-1] == 0x20) & ends_seen[:-2] & starts_seen[2:]
+        cut[1:] |= newline[1:] & ends_seen[:-1]
+        cut[2:] |= newline[1:-1] & ends_seen[:-2] & starts_seen[2:]
+        cut[1:] |= ends_letter[:-1] & (kind[1:] == _PUNCT)
+        cut[1:] |= (kind[:-1] == _PUNCT) & starts_letter[1:]
+        # What a neighbouring text holds must not matter: it could at a text's second byte and its last.
+        inner = bounds[:-1][np.diff(bounds) > 0]
+        cut[np.minimum(inner + 1, n - 1)] &= (data[inner] != 0x0A)
         last = bounds[1:] - 1
-        cut[last[last >= 0]] = False
-        # The byte two places back must belong to the same text.
-        second = inner[inner + 1 < n] + 1
-        cut[second] &= graphic[second - 1]
-        cut[inner[np.diff(bounds)[bounds[:-1] < n] > 0]] = True
+        last = last[last >= 0]
+        cut[last[data[last] == 0x20]] = False
+        cut[inner] = True
         return np.flatnonzero(cut)
 
 
