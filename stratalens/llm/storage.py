@@ -12,6 +12,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -39,13 +40,26 @@ def unstage(df: DataFrame) -> None:
         where.getFileSystem(conf).delete(where, True)
 
 
+def _bytes(df: DataFrame) -> int:
+    """Size of the data behind `df`: the plan's statistics, bounded by those of its leaves, or measured where a leaf has none."""
+    plan, unknown = df._jdf.queryExecution().optimizedPlan(), df.sparkSession._jsparkSession.sessionState().conf().defaultSizeInBytes()
+    size_of = lambda node: int(str(node.stats().sizeInBytes()))
+    found = plan.collectLeaves()
+    leaves = [size_of(found.apply(i)) for i in range(found.size())]
+    if max(leaves, default=0) >= unknown:
+        return int(df.agg(F.sum(F.octet_length("text"))).first()[0] or 0)
+    # A join's estimate is the product of its sides; what the leaves hold is nearer.
+    return min(size_of(plan), sum(leaves))
+
+
 def width(df: DataFrame, mb_each: float = 8, per_partition: int = 4) -> int:
-    """How many hash buckets to deal the data behind `df` into.
+    """How many hash buckets to deal the documents of `df` into.
 
     Taken from the plan's size statistics (file sizes, no job), so that a
     bucket stays within one worker's memory however large the input is, and
-    from the session's shuffle width, so that small inputs still spread.
+    from the session's shuffle width, so that small inputs still spread. Where
+    the plan knows no size (rows made in memory, an RDD), one scan measures the
+    texts.
     """
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return min(1 << 20, max(parts * per_partition, math.ceil(size / (mb_each * 1e6))))
+    return min(1 << 20, max(parts * per_partition, math.ceil(_bytes(df) / (mb_each * 1e6))))
