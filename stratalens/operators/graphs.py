@@ -178,8 +178,8 @@ def _rules(found: DataFrame, p: Pattern, names: Sequence[str], sigma: int, max_p
     literals = [Literal(i, a, j, b) for i, j in combinations(range(n), 2) for a in names for b in names]
     for i in range(n):
         for a in names:
-            top = found.groupBy(F.col(f"a{i}")[a].alias("v")).count().where(F.col("v").isNotNull() & (F.col("count") >= sigma)).orderBy(F.desc("count")).limit(5)
-            literals += [Literal(i, a, -1, r["v"]) for r in top.collect()]
+            seen = found.groupBy(F.col(f"a{i}")[a].alias("v")).count().where(F.col("v").isNotNull() & (F.col("count") >= sigma)).orderBy("v")
+            literals += [Literal(i, a, -1, r["v"]) for r in seen.collect()]
     if not literals:
         return []
     bits = found.select(*[_all_hold([x]).alias(f"h{m}") for m, x in enumerate(literals)])

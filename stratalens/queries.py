@@ -610,7 +610,7 @@ def gdd_validate(spark: SparkSession, d: str) -> DataFrame:
 
 @query("gfd_discover")
 def gfd_discover(spark: SparkSession, d: str) -> DataFrame:
-    found = graphs.mine_gfds(*_graph(spark, d), k=2, sigma=5, attrs=["kind"])
+    found = graphs.mine_gfds(*_graph(spark, d), k=2, sigma=5)
     rows = [(",".join(g.pattern.labels), repr(g.premises), repr(g.conclusions), n) for g, n in found]
     return spark.createDataFrame(rows, "pattern string, premises string, conclusions string, support long")
 

@@ -147,6 +147,15 @@ def test_graph_patterns(spark):
     assert back[0].count() == 3 and back[1].count() == 2
 
 
+def test_mined_gfds_have_every_frequent_constant(spark):
+    """Seven values of support two: each is the premise of a rule, not the five most frequent alone."""
+    rows = [(2 * i + j, "p", {"x": f"x{i}", "y": f"y{i}"}) for i in range(7) for j in range(2)] + [(20, "p", {"x": "rare", "y": "y0"})]
+    v = spark.createDataFrame(rows, "id long, label string, attrs map<string,string>")
+    e = spark.createDataFrame([], "src long, dst long, label string")
+    found = {(g.premises[0].attr, g.premises[0].value, g.conclusions[0].value) for g, _ in graphs.mine_gfds(v, e, 1, 2)}
+    assert found == {("x", f"x{i}", f"y{i}") for i in range(7)} | {("y", f"y{i}", f"x{i}") for i in range(1, 7)}
+
+
 def test_frequent_subgraphs(spark):
     text = "t # 0\nv 0 A\nv 1 B\nv 2 A\ne 0 1 x\ne 1 2 x\nt # 1\nv 0 B\nv 1 A\nv 2 A\ne 0 1 x\ne 0 2 x\nt # 2\nv 0 A\nv 1 B\ne 0 1 y\n"
     found = graphs.parse_graphs(text)
