@@ -10,6 +10,7 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
+from functools import lru_cache
 from itertools import combinations, permutations
 
 import pandas as pd
@@ -327,9 +328,12 @@ def frequent_subgraphs(graphs: DataFrame, min_support: float, max_edges: int = 3
     return spark.createDataFrame(out, "code string, labels array<string>, edges array<struct<src:int,dst:int,label:string>>, support long")
 
 
+_canonical = lru_cache(maxsize=100_000)(canonical)
+
+
 def _code(s: frozenset, edges: list, label: dict) -> tuple[str, list, list]:
     ids = sorted({v for k in s for v in edges[k][:2]})
     at = {v: i for i, v in enumerate(ids)}
     labels = [label[v] for v in ids]
     own = sorted((min(at[a], at[b]), max(at[a], at[b]), x) for a, b, x in (edges[k] for k in s))
-    return canonical(labels, own), labels, own
+    return _canonical(tuple(labels), tuple(own)), labels, own

@@ -5,7 +5,7 @@ import random
 
 import pytest
 
-from stratalens import ConfigError
+from stratalens import ConfigError, queries
 from stratalens.functions import similarity
 from stratalens.operators import episodes, graphs, order, pairs, rules, stats
 from stratalens.sources import tables
@@ -164,6 +164,14 @@ def test_frequent_subgraphs(spark):
     assert got == {(("A", "B"), 1): 2, (("A", "A", "B"), 2): 2}
 
 
+def test_deep_subgraphs_read_whole_orders(spark, tmp_path):
+    """Lines past the third count: the return flag of the fourth is in every order."""
+    rows = [(o, k, "R" if k == 4 else "A", "F") for o in range(5) for k in range(1, 5)]
+    spark.createDataFrame(rows, "l_orderkey long, l_linenumber int, l_returnflag string, l_linestatus string").write.parquet(f"{tmp_path}/lineitem.parquet")
+    got = {r["labels"]: r["support"] for r in queries.fsm_gspan_deep(spark, str(tmp_path)).collect()}
+    assert got == {"order,AF": 5, "order,RF": 5, "order,AF,AF": 5, "order,AF,RF": 5}
+
+
 def test_episodes(spark):
     lines = ["1 3|1", "1|2", "1 2|3", "1|6", "1 2|7", "3|8", "2|9", "4|11"]
     seq = tables.sequence_from_lines(spark, lines)
