@@ -4,8 +4,8 @@ Texts are reduced to counts; rates of them are tested against fixed ladders of
 candidate cutoffs. A cutoff may be used in a stratum only if labelled good
 documents bound its false rejections: the exact binomial probability of seeing
 so few under the allowed rate must fall below the error level divided by the
-number of (stratum, rule, cutoff) tests. Of the certified cutoffs, each rule
-takes the one that rejects most.
+number of (stratum, rule) pairs. Cutoffs of a rule are tested from the loosest
+on, up to the first that fails; the rule takes the last certified one.
 """
 
 from __future__ import annotations
@@ -114,26 +114,45 @@ def binomial_tail(k: int, n: int, p: float) -> float:
     return min(1.0, math.exp(top) * sum(math.exp(x - top) for x in logs))
 
 
+def least_good(strata: int, rules: int, risk: float, error: float) -> int:
+    """Good documents with which a cutoff that loses none of them is certified, where `rules` share the risk."""
+    return math.ceil(math.log(error / (max(1, strata) * rules)) / math.log1p(-risk / rules) - 1e-9)
+
+
+def tested_strata(sizes: list[int], risk: float, error: float) -> int:
+    """How many of the largest strata can be tested, so that each of them could certify a cutoff of one rule."""
+    sizes = sorted(sizes, reverse=True)
+    return max((k for k, n in enumerate(sizes, 1) if n >= least_good(k, 1, risk, error)), default=0)
+
+
 def certify(table: list[tuple[str | None, str, int, int, int]], strata: int, risk: float, error: float) -> dict[str | None, dict[str, float]]:
     """Cutoffs per stratum and rule from rows (stratum, rule, cutoffs exceeded, good, bad).
 
     The false rejections of all rules together stay within `risk` in every
-    stratum, with probability 1 - error over all strata.
+    stratum, with probability 1 - error over all strata. A stratum divides risk
+    and error among as many rules as its number of good documents can certify,
+    those whose ladder meets most bad documents. A rule's cutoffs are tested in
+    sequence from the loosest up to the first that fails, each at the rule's
+    whole level: a bad cutoff is certified only if the loosest bad one is.
     """
-    each = risk / len(RULES)
-    level = error / (max(1, strata) * sum(len(cuts) for _, cuts in RULES.values()))
-    by: dict[tuple, dict[int, tuple[int, int]]] = {}
+    by: dict[str | None, dict[str, dict[int, tuple[int, int]]]] = {}
     for stratum, rule, over, good, bad in table:
-        by.setdefault((stratum, rule), {})[over] = (good, bad)
+        by.setdefault(stratum, {}).setdefault(rule, {})[over] = (good, bad)
     out: dict[str | None, dict[str, float]] = {}
-    for (stratum, rule), cells in by.items():
-        n = sum(good for good, _ in cells.values())
-        for k, cut in enumerate(RULES[rule][1]):  # from the cutoff that rejects most
-            lost = sum(good for over, (good, _) in cells.items() if over > k)
-            caught = sum(bad for over, (_, bad) in cells.items() if over > k)
-            if caught and lost <= each * n and binomial_tail(lost, n, each) <= level:
-                out.setdefault(stratum, {})[rule] = cut
-                break
+    for stratum, found in by.items():
+        n = max(sum(good for good, _ in cells.values()) for cells in found.values())
+        share = max((m for m in range(1, len(RULES) + 1) if n >= least_good(strata, m, risk, error)), default=0)
+        # The choice looks at bad documents only, so the tests on good ones stay valid.
+        met = {rule: sum(bad for over, (_, bad) in found.get(rule, {}).items() if over) for rule in RULES}
+        for rule in sorted(RULES, key=lambda r: -met[r])[:share]:
+            cells, each, level = found.get(rule, {}), risk / share, error / (max(1, strata) * share)
+            for k in reversed(range(len(RULES[rule][1]))):
+                lost = sum(good for over, (good, _) in cells.items() if over > k)
+                caught = sum(bad for over, (_, bad) in cells.items() if over > k)
+                if lost > each * n or binomial_tail(lost, n, each) > level:
+                    break
+                if caught:
+                    out.setdefault(stratum, {})[rule] = RULES[rule][1][k]
     return out
 
 
@@ -156,11 +175,13 @@ def judge(docs: DataFrame, labels: DataFrame, stratum: str = "lang", risk: float
     cells = usable.withColumn("r", F.explode(F.array(*[F.struct(F.lit(r).alias("rule"), over(r).alias("over")) for r in RULES])))
     good = (F.col("quality") == 1).cast("long")
     cells = cells.groupBy("stratum", "r.rule", "r.over").agg(F.sum(good).alias("good"), F.sum(1 - good).alias("bad"))
-    # Only strata that could certify a cutoff come to the driver: each has some hundred labels at least.
-    least = math.log(error / 1e3) / math.log1p(-risk / len(RULES))
-    sizes = usable.groupBy("stratum").agg(F.sum(good).alias("n_good")).where(F.col("n_good") >= least).withColumnRenamed("stratum", "s")
-    table = cells.join(sizes, F.col("stratum").eqNullSafe(F.col("s"))).select("stratum", "rule", "over", "good", "bad").collect()
-    cutoffs = certify([tuple(r) for r in table], len({r["stratum"] for r in table}), risk, error)
+    # Only strata that could certify a cutoff come to the driver; the number of good documents alone decides which.
+    good_of = usable.groupBy("stratum").agg(F.sum(good).alias("n_good")).where(F.col("n_good") >= least_good(1, 1, risk, error))
+    sizes = good_of.withColumnRenamed("stratum", "s")
+    near = cells.join(sizes, F.col("stratum").eqNullSafe(F.col("s"))).select("stratum", "rule", "over", "good", "bad", "n_good").collect()
+    strata = tested_strata(list({r["stratum"]: r["n_good"] for r in near}.values()), risk, error)
+    fit = least_good(strata, 1, risk, error)
+    cutoffs = certify([tuple(r)[:5] for r in near if r["n_good"] >= fit], strata, risk, error) if strata else {}
     if not cutoffs:
         return found.drop("stratum").withColumn("kept", ~F.col("base_failed"))
     schema = "s string, " + ", ".join(f"cut_{r} double" for r in RULES)

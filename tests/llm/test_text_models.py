@@ -42,6 +42,16 @@ def test_certify_bounds():
     assert rules.certify([("en", "symbol_rate", 0, 90, 10)], 1, 0.02, 0.05) == {}
 
 
+def test_moderate_strata_certify():
+    """Three hundred good documents certify one rule in each of five strata; the count needed is the one certify() applies."""
+    table = [(s, "symbol_rate", over, good, bad) for s in "abcde" for over, good, bad in ((0, 300, 10), (16, 0, 90))]
+    got = rules.certify(table, rules.tested_strata([300] * 5, 0.02, 0.05), 0.02, 0.05)
+    assert got == {s: {"symbol_rate": rules.LADDER[0]} for s in "abcde"}
+    for n in (rules.least_good(5, 1, 0.02, 0.05) - 1, rules.least_good(5, 1, 0.02, 0.05)):
+        assert bool(rules.certify([("a", "symbol_rate", 0, n, 0), ("a", "symbol_rate", 16, 0, 9)], 5, 0.02, 0.05)) == (n == rules.least_good(5, 1, 0.02, 0.05))
+    assert rules.tested_strata([2076, 507, 400, 321, 150, 20], 0.02, 0.05) == 4
+
+
 def test_judge(spark, docs, corpus, empty):
     labels = spark.createDataFrame([(0, 1, 0), (1, 0, 0), (1, 1, 0), (None, 1, 0), (2, None, 0)], "doc_id long, quality int, toxic int")
     got = rules.judge(docs, labels)
