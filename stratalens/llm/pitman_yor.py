@@ -1,16 +1,18 @@
 """Hierarchical Pitman-Yor language model over word pairs.
 
-Every context (a hash of the previous word, or of the text's start) is a
-restaurant; all share one parent, the restaurant of single words, whose base is
-uniform over the training vocabulary and one unknown word. A customer is an
-occurrence of a word after a context; a table sends one customer to the parent.
+Every context (the 64-bit hash of the previous word, or of the text's start) is
+a restaurant, as many as the corpus has; all share one parent, the restaurant
+of single words, whose base is uniform over the training vocabulary and one
+unknown word. A customer is an occurrence of a word after a context; a table
+sends one customer to the parent.
 
 Counts live in buckets by word, so a word's tables in all contexts, and with
 them its customers in the parent, lie in one place. A Gibbs sweep redraws the
 number of tables of each (context, word) given all others' from the seating
 distribution; what a sweep needs from other buckets are table totals per
-context, gathered between sweeps as one vector of fixed length. Predictive
-probabilities are averaged over the kept sweeps.
+context. These are added up between sweeps in buckets by context, which send
+every bucket of words the totals of its own contexts. Predictive probabilities
+are averaged over the kept sweeps.
 
 Up to EXACT customers, tables are drawn from the exact conditional with
 generalised Stirling numbers; beyond, from the limit those numbers approach, a
@@ -29,15 +31,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .blobs import cuts, pack, rows, run_lengths, runs, unpack
-from .hashing import Words, mix, slices
+from .hashing import Words, slices
 from .storage import stage, unstage, width
 
 _U = np.uint64
-CONTEXT_BITS = 16
-CONTEXTS = 1 << CONTEXT_BITS
+_LOW = (1 << 32) - 1
 EXACT = 64
 _END, _START = _U(0x5851F42D4C957F2D), _U(0x14057B7EF767814F)
-_COUNTS = (_U, np.uint32, np.uint16, np.uint32)  # words, contexts per word, contexts, customers
+_COUNTS = (_U, np.uint32, _U, np.uint32, np.uint32)  # words, contexts per word, the bucket's contexts, each pair's among them, customers
+_ROOMS = (_U, np.int64, np.int64)  # contexts, their customers and tables
 _SEATS = (np.uint32, np.uint32)  # tables per (word, context), tables per word in the parent
 
 
@@ -56,7 +58,7 @@ def _tokens(batches: Iterator[pa.RecordBatch], text_bytes: int = 3 << 20, most_d
         token, before = np.full(total, _END), np.full(total, _START)
         token[at] = words
         before[at + 1] = words
-        return ids, token, (mix(before) >> _U(64 - CONTEXT_BITS)).astype(np.int64), np.repeat(np.arange(len(counts)), counts + 1)
+        return ids, token, before, np.repeat(np.arange(len(counts)), counts + 1)
 
     for batch in batches:
         batch = batch.select(["doc_id", "text"])
@@ -77,13 +79,14 @@ def _counter(buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, token, context, _ in _tokens(batches):
             words, code = np.unique(token, return_inverse=True)
-            pair, many = np.unique((code.astype(np.int64) << CONTEXT_BITS) | context, return_counts=True)
-            at = np.searchsorted(pair, np.arange(len(words) + 1) << CONTEXT_BITS)
+            contexts, spot = np.unique(context, return_inverse=True)
+            pair, many = np.unique((code.astype(np.int64) << 32) | spot, return_counts=True)
+            at = np.searchsorted(pair, np.arange(len(words) + 1) << 32)
             names, bounds = cuts(words, buckets)
-            blobs = [
-                pack(words[a:b], np.diff(at[a : b + 1]).astype(np.uint32), (pair[at[a] : at[b]] & (CONTEXTS - 1)).astype(np.uint16), many[at[a] : at[b]].astype(np.uint32))
-                for a, b in zip(bounds[:-1], bounds[1:], strict=True)
-            ]
+            blobs = []
+            for a, b in zip(bounds[:-1], bounds[1:], strict=True):
+                own, place = np.unique(pair[at[a] : at[b]] & _LOW, return_inverse=True)
+                blobs.append(pack(words[a:b], np.diff(at[a : b + 1]).astype(np.uint32), contexts[own], place.astype(np.uint32), many[at[a] : at[b]].astype(np.uint32)))
             yield pa.RecordBatch.from_arrays([pa.array(names, pa.int32()), pa.array(blobs, pa.binary())], ["bucket", "counts"])
 
     return run
@@ -98,15 +101,17 @@ def _merged(table: pa.Table) -> pa.Table:
     parts = [unpack(x, *_COUNTS) for x in table["counts"].to_pylist()]
     # Words repeat once a part, pairs far more often: only the words are sorted at full width.
     words, code = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
-    pair = np.repeat(code.astype(np.int64) << CONTEXT_BITS, np.concatenate([p[1] for p in parts]))
-    pair |= np.concatenate([p[2] for p in parts])
+    contexts, spot = np.unique(np.concatenate([p[2] for p in parts]), return_inverse=True)
+    pair = np.repeat(code.astype(np.int64) << 32, np.concatenate([p[1] for p in parts]))
+    first = np.cumsum([0, *(len(p[2]) for p in parts)])
+    pair |= np.concatenate([spot[a : a + len(p[2])][p[3]] for a, p in zip(first, parts, strict=False)])
     order = np.argsort(pair, kind="stable")
     pair = pair[order]
     start = runs(pair)
-    many = np.add.reduceat(np.concatenate([p[3] for p in parts])[order].astype(np.int64), start)
+    many = np.add.reduceat(np.concatenate([p[4] for p in parts])[order].astype(np.int64), start)
     pair = pair[start]
-    at = np.searchsorted(pair, np.arange(len(words) + 1) << CONTEXT_BITS)
-    counts = pack(words, np.diff(at).astype(np.uint32), (pair & (CONTEXTS - 1)).astype(np.uint16), np.minimum(many, 2**32 - 1).astype(np.uint32))
+    at = np.searchsorted(pair, np.arange(len(words) + 1) << 32)
+    counts = pack(words, np.diff(at).astype(np.uint32), contexts, (pair & _LOW).astype(np.uint32), np.minimum(many, 2**32 - 1).astype(np.uint32))
     seats = pack(np.ones(len(pair), np.uint32), np.ones(len(words), np.uint32))
     return rows(_STATE, bucket=[table["bucket"][0].as_py()], counts=[counts], seats=[seats], kept=[[]])
 
@@ -115,8 +120,7 @@ def _merged(table: pa.Table) -> pa.Table:
 class _Totals:
     """Sums over all buckets; its size does not depend on the corpus."""
 
-    customers: np.ndarray  # per context
-    tables: np.ndarray  # per context
+    tables: float  # in all contexts: the customers of the parent
     parent_tables: float
     tokens: int
     vocabulary: int
@@ -134,6 +138,7 @@ class Model:
     discount: tuple[float, float] = (0.8, 0.5)  # contexts, parent
     strength: tuple[float, float] = (1.0, 1.0)
     samples: list[_Totals] = field(default_factory=list)
+    contexts: list[DataFrame] = field(default_factory=list)  # a sample's customers and tables per context
 
     @property
     def train_tokens(self) -> int:
@@ -141,24 +146,56 @@ class Model:
 
 
 def _sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    total = np.zeros(2 * CONTEXTS + 7)
+    total = np.zeros(8)
     for batch in batches:
         for row in batch.select(["counts", "seats"]).to_pylist():
-            words, per, context, many = unpack(row["counts"], *_COUNTS)
+            words, per, _, _, many = unpack(row["counts"], *_COUNTS)
             tables, parent = unpack(row["seats"], *_SEATS)
-            total[:CONTEXTS] += np.bincount(context, many, CONTEXTS)
-            total[CONTEXTS : 2 * CONTEXTS] += np.bincount(context, tables, CONTEXTS)
-            total[2 * CONTEXTS :] += [parent.sum(), many.sum(), len(words), (many == 1).sum(), (many == 2).sum(), (per == 1).sum(), (per == 2).sum()]
-    at = np.flatnonzero(total)
-    yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["at", "total"])
+            total += [tables.sum(), parent.sum(), many.sum(), len(words), (many == 1).sum(), (many == 2).sum(), (per == 1).sum(), (per == 2).sum()]
+    yield pa.RecordBatch.from_arrays([pa.array(range(8), pa.int64()), pa.array(total)], ["at", "total"])
 
 
 def _totals(state: DataFrame) -> _Totals:
     got = state.select("counts", "seats").mapInArrow(_sums, "at long, total double").groupBy("at").agg(F.sum("total").alias("total")).toArrow()
-    v = np.zeros(2 * CONTEXTS + 7)
+    v = np.zeros(8)
     v[got["at"].to_numpy()] = got["total"].to_numpy()
-    parent, tokens, vocabulary, a1, a2, b1, b2 = v[2 * CONTEXTS :]
-    return _Totals(v[:CONTEXTS], v[CONTEXTS : 2 * CONTEXTS], parent, int(tokens), int(vocabulary), (a1, b1), (a2, b2))
+    tables, parent, tokens, vocabulary, a1, a2, b1, b2 = v
+    return _Totals(tables, parent, int(tokens), int(vocabulary), (a1, b1), (a2, b2))
+
+
+_ROOM = {"home": pa.int32(), "bucket": pa.int32(), "rooms": pa.binary()}
+_ROOM_DDL = "home int, bucket int, rooms binary"
+
+
+def _teller(buckets: int):
+    """A bucket of words tells each bucket of contexts what it has of its contexts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                _, _, contexts, place, many = unpack(row["counts"], *_COUNTS)
+                tables, _ = unpack(row["seats"], *_SEATS)
+                customers, tables = (np.bincount(place, x, len(contexts)).astype(np.int64) for x in (many, tables))
+                names, bounds = cuts(contexts, buckets)
+                blobs = [pack(contexts[a:b], customers[a:b], tables[a:b]) for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+                yield from rows(_ROOM, home=names, bucket=[row["bucket"]] * len(blobs), rooms=blobs).to_batches()
+
+    return run
+
+
+def _added(table: pa.Table) -> pa.Table:
+    """A bucket of contexts: its totals under bucket -1, and the table totals that each bucket of words asks for."""
+    told = [unpack(x, *_ROOMS) for x in table["rooms"].to_pylist()]
+    contexts, spot = np.unique(np.concatenate([x[0] for x in told]), return_inverse=True)
+    customers, tables = (np.bincount(spot, np.concatenate([x[k] for x in told]), len(contexts)).astype(np.int64) for k in (1, 2))
+    stops = np.cumsum([len(x[0]) for x in told])
+    blobs = [pack(tables[spot[b - len(x[0]) : b]]) for x, b in zip(told, stops, strict=True)]
+    return rows(_ROOM, home=[table["home"][0].as_py()] * (len(told) + 1), bucket=[-1, *table["bucket"].to_pylist()], rooms=[pack(contexts, customers, tables), *blobs])
+
+
+def _rooms(state: DataFrame, buckets: int) -> DataFrame:
+    told = state.select("bucket", "counts", "seats").mapInArrow(_teller(buckets), _ROOM_DDL)
+    return stage(told.groupBy("home").applyInArrow(_added, _ROOM_DDL), "rooms")
 
 
 def _stirling(discount: float) -> np.ndarray:
@@ -199,27 +236,26 @@ def _word_of(per: np.ndarray) -> np.ndarray:
 
 def _parent(customers: np.ndarray, tables: np.ndarray, t: _Totals, discount: float, strength: float) -> np.ndarray:
     """Predictive probabilities of words in the parent restaurant."""
-    all_customers = t.tables.sum()
     new = (strength + discount * t.parent_tables) / (t.vocabulary + 1)
-    return (np.maximum(customers - discount * tables, 0) + new) / (strength + all_customers)
+    return (np.maximum(customers - discount * tables, 0) + new) / (strength + t.tables)
 
 
 def _sweeper(now: _Totals, discount: tuple, strength: tuple, seed: int, keep: bool):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(state: pa.Table, rooms: pa.Table) -> pa.Table:
         logs = [_stirling(d) for d in discount]
-        for batch in batches:
-            for row in batch.to_pylist():
-                words, per, context, many = unpack(row["counts"], *_COUNTS)
-                tables, parent = (x.astype(np.int64) for x in unpack(row["seats"], *_SEATS))
-                rng, word = np.random.default_rng([seed, row["bucket"]]), _word_of(per)
-                base = _parent(np.bincount(word, tables, len(words)), parent, now, discount[1], strength[1])
-                tables = draw_tables(many.astype(np.int64), base[word], now.tables[context] - tables, discount[0], strength[0], rng, logs[0])
-                up = np.bincount(word, tables, len(words)).astype(np.int64)
-                flat = np.full(len(words), 1 / (now.vocabulary + 1))
-                parent = draw_tables(up, flat, np.maximum(now.parent_tables - parent, 0), discount[1], strength[1], rng, logs[1])
-                seats = pack(tables.astype(np.uint32), parent.astype(np.uint32))
-                columns = {"bucket": [row["bucket"]], "counts": [row["counts"]], "seats": [seats], "kept": [row["kept"] + [seats] * keep]}
-                yield from rows(_STATE, **columns).to_batches()
+        row = state.to_pylist()[0]
+        words, per, _, place, many = unpack(row["counts"], *_COUNTS)
+        tables, parent = (x.astype(np.int64) for x in unpack(row["seats"], *_SEATS))
+        # Buckets of contexts follow one another as contexts do.
+        totals = np.concatenate([unpack(x, np.int64)[0] for x in rooms.sort_by("home")["rooms"].to_pylist()])
+        rng, word = np.random.default_rng([seed, row["bucket"]]), _word_of(per)
+        base = _parent(np.bincount(word, tables, len(words)), parent, now, discount[1], strength[1])
+        tables = draw_tables(many.astype(np.int64), base[word], totals[place] - tables, discount[0], strength[0], rng, logs[0])
+        up = np.bincount(word, tables, len(words)).astype(np.int64)
+        flat = np.full(len(words), 1 / (now.vocabulary + 1))
+        parent = draw_tables(up, flat, np.maximum(now.parent_tables - parent, 0), discount[1], strength[1], rng, logs[1])
+        seats = pack(tables.astype(np.uint32), parent.astype(np.uint32))
+        return rows(_STATE, bucket=[row["bucket"]], counts=[row["counts"]], seats=[seats], kept=[row["kept"] + [seats] * keep])
 
     return run
 
@@ -236,85 +272,103 @@ def train(docs: DataFrame, burn_in: int = 1, keep: int = 2, seed: int = 11) -> M
     state = stage(counted.groupBy("bucket").applyInArrow(_merged, _STATE_DDL), "seating")
     model = Model(state, n, _totals(state))
     model.discount = tuple(min(0.95, max(0.05, a / (a + 2 * b))) if a else d for a, b, d in zip(model.now.ones, model.now.twos, model.discount, strict=True))
+    rooms = _rooms(state, n)
     for sweep in range(burn_in + keep):
         kept = sweep >= burn_in
-        state = stage(model.state.mapInArrow(_sweeper(model.now, model.discount, model.strength, seed + sweep, kept), _STATE_DDL), "seating")
+        asked = rooms.where("bucket >= 0").groupBy("bucket")
+        drawn = model.state.groupBy("bucket").cogroup(asked).applyInArrow(_sweeper(model.now, model.discount, model.strength, seed + sweep, kept), _STATE_DDL)
+        state = stage(drawn, "seating")
         unstage(model.state)
-        model.state, model.now = state, _totals(state)
+        if not any(rooms is x for x in model.contexts):
+            unstage(rooms)
+        model.state, model.now, rooms = state, _totals(state), _rooms(state, n)
         if kept:
             model.samples.append(model.now)
+            model.contexts.append(rooms)
     return model
 
 
 _ASK = {"bucket": pa.int32(), "chunk": pa.int64(), "kind": pa.int32(), "blob": pa.binary()}
 _ASK_DDL = "bucket int, chunk long, kind int, blob binary"
-_DOCS, _WORDS, _PARTS = 0, 1, 2
+_DOCS, _WORDS, _CONTEXTS = 0, 1, 2
 
 
 def _asker(buckets: int):
+    """A run of documents asks buckets of words for its words and pairs, and buckets of contexts, numbered after them, for its contexts."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         base = TaskContext.get().partitionId() << 32
         for k, (ids, token, context, owner) in enumerate(_tokens(batches)):
             words, code = np.unique(token, return_inverse=True)
-            order = np.argsort(code, kind="stable")
-            at = np.concatenate([[0], np.cumsum(np.bincount(code, minlength=len(words)))])
-            context, who = context[order].astype(np.uint16), owner[order].astype(np.uint16)
+            contexts, spot = np.unique(context, return_inverse=True)
+            pair, token = np.unique((code.astype(np.int64) << 32) | spot, return_inverse=True)
+            at, place = np.searchsorted(pair, np.arange(len(words) + 1) << 32), pair & _LOW
+            per = np.diff(at).astype(np.uint32)
             names, bounds = cuts(words, buckets)
-            blobs = [pack(words[a:b], np.diff(at[a : b + 1]).astype(np.uint32), context[at[a] : at[b]], who[at[a] : at[b]]) for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+            blobs = [pack(words[a:b], per[a:b], contexts[place[at[a] : at[b]]]) for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+            homes, bounds = cuts(contexts, buckets)
+            rooms = [pack(contexts[a:b]) for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
             null = np.array([x is None for x in ids])
-            own = pack(np.array([x or 0 for x in ids], np.int64), null.astype(np.uint8), np.bincount(owner, minlength=len(ids)))
-            m = len(blobs)
-            columns = {"bucket": [*names, k % buckets], "chunk": [base + k] * (m + 1), "kind": [_WORDS] * m + [_DOCS], "blob": [*blobs, own]}
+            own = pack(np.array([x or 0 for x in ids], np.int64), null.astype(np.uint8), np.bincount(owner, minlength=len(ids)), per, place.astype(np.uint32), token.astype(np.uint32))
+            kinds = [_WORDS] * len(blobs) + [_CONTEXTS] * len(rooms) + [_DOCS]
+            columns = {"bucket": [*names, *(homes + buckets), k % buckets], "chunk": [base + k] * len(kinds), "kind": kinds, "blob": [*blobs, *rooms, own]}
             yield from rows(_ASK, **columns).to_batches()
 
     return run
 
 
-def _answerer(model: Model):
-    now, samples, discount, strength = model.now, model.samples, model.discount, model.strength
+def _found(sorted_values: np.ndarray, asked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where asked values are, and whether they are there at all."""
+    if not len(sorted_values):
+        return np.zeros(len(asked), np.int64), np.zeros(len(asked), bool)
+    at = np.minimum(np.searchsorted(sorted_values, asked), len(sorted_values) - 1)
+    return at, sorted_values[at] == asked
+
 
-    def run(state: pa.Table, asked: pa.Table) -> pa.Table:
-        words, per, context, many = np.zeros(0, _U), np.zeros(0, np.uint32), np.zeros(0, np.uint16), np.zeros(0, np.uint32)
-        kept: list = []
-        if state.num_rows:
-            words, per, context, many = unpack(state["counts"][0].as_py(), *_COUNTS)
-            kept = [unpack(x, *_SEATS) for x in state["kept"][0].as_py()]
+def _answerer(samples: list[_Totals], discount: tuple, strength: tuple, buckets: int):
+    def words_of(held: pa.Table):
+        words, per, contexts, place, many = (np.zeros(0, kind) for kind in _COUNTS)
+        kept = [(np.zeros(0), np.zeros(0)) for _ in samples]
+        if held.num_rows:
+            words, per, contexts, place, many = unpack(held["counts"][0].as_py(), *_COUNTS)
+            kept = [unpack(x, *_SEATS) for x in held["kept"][0].as_py()]
         word = _word_of(per)
-        pair = (word << CONTEXT_BITS) | context
-        seen = np.bincount(word, many, len(words))
-        parents = [_parent(np.append(np.bincount(word, t, len(words)), 0), np.append(p, 0), s, discount[1], strength[1]) for (t, p), s in zip(kept, samples, strict=False)]
-        if not kept:  # a bucket without training words
-            parents = [_parent(np.zeros(1), np.zeros(1), s, discount[1], strength[1]) for s in samples]
-            kept = [(np.zeros(0, np.uint32), np.zeros(0, np.uint32)) for _ in samples]
-        out: dict[str, list] = {"bucket": [], "chunk": [], "kind": [], "blob": []}
-        for chunk, kind, blob in zip(asked["chunk"].to_pylist(), asked["kind"].to_pylist(), asked["blob"].to_pylist(), strict=True):
-            if kind == _WORDS:
-                asked_words, each, ctx, who = unpack(blob, _U, np.uint32, np.uint16, np.uint16)
-                spot = np.minimum(np.searchsorted(words, asked_words), max(len(words) - 1, 0))
-                known = words[spot] == asked_words if len(words) else np.zeros(len(asked_words), bool)
-                code = np.repeat(np.where(known, spot, len(words)), each)
-                ask = (code << CONTEXT_BITS) | ctx
-                place = np.minimum(np.searchsorted(pair, ask), max(len(pair) - 1, 0))
-                found = pair[place] == ask if len(pair) else np.zeros(len(ask), bool)
-                customers = np.where(found, many[place], 0) if len(pair) else np.zeros(len(ask))
-                p = np.zeros(len(ask))
-                for (tables, _), parent, s in zip(kept, parents, samples, strict=True):
-                    own = np.where(found, customers - discount[0] * tables[place], 0) if len(pair) else 0
-                    p += (np.maximum(own, 0) + (strength[0] + discount[0] * s.tables[ctx]) * parent[code]) / (strength[0] + s.customers[ctx])
-                count = np.append(seen, 0)[code]
-                size = int(who.max()) + 1
-                blob = pack(
-                    np.bincount(who, np.log10(p / len(samples)), size),
-                    np.bincount(who, np.log10((count + 1) / (now.tokens + now.vocabulary + 1)), size),
-                    np.bincount(who, count > 0, size).astype(np.uint32),
-                )
-            out["bucket"].append(0)
-            out["chunk"].append(chunk)
-            out["kind"].append(_PARTS if kind == _WORDS else _DOCS)
-            out["blob"].append(blob)
-        return rows(_ASK, **out)
+        pair = (word << 32) | place
+        seen = np.append(np.bincount(word, many, len(words)), 0)
+        parents = [_parent(np.append(np.bincount(word, t, len(words)), 0), np.append(p, 0), s, discount[1], strength[1]) for (t, p), s in zip(kept, samples, strict=True)]
+
+        def answer(blob: bytes) -> bytes:
+            asked, each, context = unpack(blob, _U, np.uint32, _U)
+            spot, known = _found(words, asked)
+            code = np.where(known, spot, len(words))
+            room, met = _found(contexts, context)
+            at, found = _found(pair, (np.repeat(code, each) << 32) | room)
+            found &= met
+            own = [np.zeros(len(context)) for _ in samples]
+            for x, (tables, _) in zip(own, kept, strict=True):
+                x[found] = np.maximum(many[at[found]] - discount[0] * tables[at[found]], 0)
+            return pack(seen[code], np.concatenate([p[code] for p in parents]), np.concatenate(own))
+
+        return answer
+
+    def contexts_of(held: pa.Table):
+        held = [unpack(x, *_ROOMS) for x in held.sort_by("sample")["counts"].to_pylist()] or [[np.zeros(0, kind) for kind in _ROOMS]] * len(samples)
+
+        def answer(blob: bytes) -> bytes:
+            at, known = _found(held[0][0], unpack(blob, _U)[0])
+            return pack(*(np.concatenate([x for _, *pair in held for x in [np.where(known, pair[k][at], 0) if len(pair[k]) else np.zeros(len(at), np.int64)]]) for k in (0, 1)))
+
+        return answer
+
+    def run(held: pa.Table, asked: pa.Table) -> pa.Table:
+        if not asked.num_rows:
+            return rows(_ASK, bucket=[], chunk=[], kind=[], blob=[])
+        bucket = asked["bucket"][0].as_py()
+        answer = words_of(held) if bucket < buckets else contexts_of(held)
+        blobs = [x if kind == _DOCS else answer(x) for kind, x in zip(asked["kind"].to_pylist(), asked["blob"].to_pylist(), strict=True)]
+        return rows(_ASK, bucket=asked["bucket"].to_pylist(), chunk=asked["chunk"].to_pylist(), kind=asked["kind"].to_pylist(), blob=blobs)
 
     return run
 
@@ -322,17 +376,26 @@ def _answerer(model: Model):
 _SCORES = "doc_id long, n_tokens long, n_known long, base_score double, score double"
 
 
-def _gathered(table: pa.Table) -> pa.Table:
-    kinds, blobs = table["kind"].to_pylist(), table["blob"].to_pylist()
-    ids, null, n = unpack(blobs[kinds.index(_DOCS)], np.int64, np.uint8, np.int64)
-    score, base, known = np.zeros(len(ids)), np.zeros(len(ids)), np.zeros(len(ids), np.int64)
-    for kind, blob in zip(kinds, blobs, strict=True):
-        if kind == _PARTS:
-            s, b, k = unpack(blob, np.float64, np.float64, np.uint32)
-            score[: len(s)] += s
-            base[: len(s)] += b
-            known[: len(s)] += k
-    return pa.table({"doc_id": pa.array(ids, mask=null.astype(bool)), "n_tokens": n, "n_known": known, "base_score": base, "score": score})
+def _gatherer(now: _Totals, samples: int, discount: float, strength: float):
+    def run(table: pa.Table) -> pa.Table:
+        # Answers follow one another by bucket as words and contexts do in the run of documents.
+        table = table.sort_by("bucket")
+        kinds, blobs = table["kind"].to_pylist(), table["blob"].to_pylist()
+        ids, null, n, per, place, token = unpack(blobs[kinds.index(_DOCS)], np.int64, np.uint8, np.int64, np.uint32, np.uint32, np.uint32)
+        by = lambda want, *types: [np.concatenate(x, axis=-1) for x in zip(*([y.reshape(samples, -1) for y in unpack(b, *types)[-2:]] for k, b in zip(kinds, blobs, strict=True) if k == want), strict=True)]
+        seen = np.concatenate([unpack(b, np.float64, np.float64, np.float64)[0] for k, b in zip(kinds, blobs, strict=True) if k == _WORDS])
+        parent, own = by(_WORDS, np.float64, np.float64, np.float64)
+        customers, tables = by(_CONTEXTS, np.int64, np.int64)
+        word, p = _word_of(per), np.zeros(len(place))
+        for k in range(samples):
+            p += (own[k] + (strength + discount * tables[k][place]) * parent[k][word]) / (strength + customers[k][place])
+        count, owner = seen[word], np.repeat(np.arange(len(ids)), n)
+        total = lambda x: np.bincount(owner, x[token], len(ids))
+        base = total(np.log10((count + 1) / (now.tokens + now.vocabulary + 1)))
+        known = total(count > 0).astype(np.int64)
+        return pa.table({"doc_id": pa.array(ids, mask=null.astype(bool)), "n_tokens": n, "n_known": known, "base_score": base, "score": total(np.log10(p / samples))})
+
+    return run
 
 
 def score(model: Model, docs: DataFrame) -> DataFrame:
@@ -346,8 +409,13 @@ def score(model: Model, docs: DataFrame) -> DataFrame:
     be a scan or a written table, as parts are numbered by partition.
     """
     asked = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_asker(model.buckets), _ASK_DDL)
-    answers = model.state.select("bucket", "counts", "kept").groupBy("bucket").cogroup(asked.groupBy("bucket")).applyInArrow(_answerer(model), _ASK_DDL)
-    return answers.groupBy("chunk").applyInArrow(_gathered, _SCORES)
+    held = model.state.select("bucket", "counts", "kept", F.lit(0).alias("sample"))
+    for k, rooms in enumerate(model.contexts):
+        none = F.array().cast("array<binary>").alias("kept")
+        held = held.union(rooms.where("bucket < 0").select((F.col("home") + model.buckets).alias("bucket"), F.col("rooms").alias("counts"), none, F.lit(k).alias("sample")))
+    answer = _answerer(model.samples, model.discount, model.strength, model.buckets)
+    answers = held.groupBy("bucket").cogroup(asked.groupBy("bucket")).applyInArrow(answer, _ASK_DDL)
+    return answers.groupBy("chunk").applyInArrow(_gatherer(model.now, len(model.samples), model.discount[0], model.strength[0]), _SCORES)
 
 
 def held_out(doc_id, parts: int = 7, part: int = 2):

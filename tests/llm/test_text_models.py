@@ -10,6 +10,7 @@ import pyarrow as pa
 import pytest
 
 from stratalens.llm import classifier, pitman_yor, rules
+from stratalens.llm.hashing import Words, mix
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 TEXTS = ["a b\na b\nc", None, "", " \n ", "é# <b> | 50%", "x " * 40, "one two three four five six seven eight " * 3, "A!\n\nA!\nB", "z"]
@@ -118,6 +119,16 @@ def test_language_model_is_a_distribution(spark):
     assert all(r["score"] < 0 for r in two)
 
 
+def test_contexts_do_not_share_restaurants(spark):
+    """Two words whose hashes agree in 16 bits are contexts of their own."""
+    names = [f"w{i}" for i in range(3000)]
+    short, seen = (mix(Words(pa.array(names)).hashes(0, True)) >> np.uint64(48)).tolist(), {}
+    x, y = next((names[seen[h]], names[i]) for i, h in enumerate(short) if h in seen or seen.setdefault(h, i) is None)
+    model = pitman_yor.train(spark.createDataFrame([(i, f"{x} a" if i % 2 else f"{y} b") for i in range(400)], "doc_id long, text string"))
+    right, wrong = (r["score"] for r in pitman_yor.score(model, spark.createDataFrame([(0, f"{x} a"), (1, f"{x} b")], "doc_id long, text string")).orderBy("doc_id").collect())
+    assert right - wrong > 1
+
+
 def test_draw_tables():
     rng = np.random.default_rng(0)
     stirling = pitman_yor._stirling(0.5)
