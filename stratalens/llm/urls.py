@@ -28,7 +28,7 @@ def url_parts(url: Column) -> tuple[Column, Column]:
 
 
 def expressions(host: Column, path: Column) -> Column:
-    """All host-suffix + path-prefix strings; prefixes end after each '/', the whole path included."""
+    """All host-suffix + path-prefix strings; prefixes are empty, end after each '/', or are the whole path."""
     labels = F.split(host, r"\.", -1)
     suffixes = F.transform(
         F.sequence(F.lit(1), F.size(labels)),
@@ -42,7 +42,7 @@ def expressions(host: Column, path: Column) -> Column:
             lambda i: F.concat(F.array_join(F.slice(parts, F.lit(1), i), "/"), F.lit("/")),
         ),
     ).otherwise(F.array().cast("array<string>"))
-    prefixes = F.array_distinct(F.concat(cuts, F.array(path)))
+    prefixes = F.array_distinct(F.concat(F.array(F.lit("")), cuts, F.array(path)))
     return F.flatten(F.transform(suffixes, lambda s: F.transform(prefixes, lambda p: F.concat(s, p))))
 
 

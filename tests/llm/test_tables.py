@@ -61,6 +61,12 @@ def test_urls(spark):
         urls.filter_urls(df, [("allow", "a", "/"), ("block", "a", "/")])
 
 
+def test_url_rule_of_a_whole_host(spark):
+    df = spark.createDataFrame([(0, "http://example.com/x"), (1, "http://a.example.com"), (2, "http://example.com/en/y"), (3, "http://badexample.com/x")], "page_id long, url string")
+    got = {r["page_id"]: r["verdict"] for r in urls.filter_urls(df, [("block", "example.com", ""), ("allow", "example.com", "/en/")]).collect()}
+    assert got == {0: "block", 1: "block", 2: "allow", 3: "allow"}
+
+
 def water_fill(sizes, weights, cap=3):
     total, target, live = sum(sizes), [0.0] * len(sizes), set(range(len(sizes)))
     left = float(total)
