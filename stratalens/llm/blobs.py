@@ -37,42 +37,52 @@ def cuts(sorted_hashes: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarra
     return b[bounds[:-1]], bounds
 
 
-def pack(*arrays: np.ndarray) -> bytes:
-    """Arrays to bytes; unpack() needs their types in the same order."""
-    return np.array([len(a) for a in arrays], np.int64).tobytes() + b"".join(np.ascontiguousarray(a).tobytes() for a in arrays)
+_KINDS = [np.dtype(x) for x in ("u1", "u2", "u4", "u8", "i8", "f4", "f8")]
 
 
-def unpack(blob: bytes, *kinds) -> list[np.ndarray]:
-    counts = np.frombuffer(blob, np.int64, len(kinds))
-    at, out = 8 * len(kinds), []
-    for n, kind in zip(counts, kinds, strict=True):
-        out.append(np.frombuffer(blob, kind, int(n), at))
-        at += int(n) * np.dtype(kind).itemsize
+def pack(*arrays: np.ndarray) -> bytes:
+    """Arrays and their types to bytes."""
+    head = [len(arrays), *(len(a) << 4 | _KINDS.index(a.dtype) for a in arrays)]
+    return np.array(head, np.int64).tobytes() + b"".join(np.ascontiguousarray(a).tobytes() for a in arrays)
+
+
+def unpack(blob: bytes) -> list[np.ndarray]:
+    """What pack() was given."""
+    many = int(np.frombuffer(blob, np.int64, 1)[0])
+    at, out = 8 * (many + 1), []
+    for code in np.frombuffer(blob, np.int64, many, 8).tolist():
+        out.append(np.frombuffer(blob, _KINDS[code & 15], code >> 4, at))
+        at += out[-1].nbytes
     return out
 
 
+def narrow(codes: np.ndarray, below: int) -> np.ndarray:
+    """Numbers under `below` in the smallest of the types for them."""
+    return codes.astype(np.uint8 if below <= 1 << 8 else np.uint16 if below <= 1 << 16 else np.uint32)
+
+
 def rows(schema: dict[str, pa.DataType], **columns) -> pa.Table:
     return pa.table({k: pa.array(columns[k], t) for k, t in schema.items()})
 
 
-def hashed(texts: pa.ChunkedArray, lower: bool = False) -> tuple[np.ndarray, np.ndarray]:
-    """Word hashes of many texts, and the bounds of each text's run; bounded scratch memory."""
+def hashed(texts: pa.ChunkedArray, lower: bool = False, kind: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """Word hashes of many texts, and the bounds of each text's run; scratch memory of a slice at a time."""
     parts, counts = [], []
     batch_of = pa.table({"t": texts}).to_batches()
     for batch in batch_of:
         for piece in slices(batch, "t"):
             words = Words(piece.column(0))
-            parts.append(words.hashes(0, lower))
+            parts.append(words.hashes(kind, lower))
             counts.append(words.counts)
     n = np.concatenate(counts) if counts else np.zeros(0, np.int64)
     return (np.concatenate(parts) if parts else np.zeros(0, _U)), np.concatenate([[0], np.cumsum(n)])
 
 
-def runs(sorted_values: np.ndarray) -> np.ndarray:
-    """First index of each run of equal values."""
-    if not len(sorted_values):
+def runs(*sorted_values: np.ndarray) -> np.ndarray:
+    """First index of each run of rows equal in all arrays."""
+    if not len(sorted_values[0]):
         return np.zeros(0, np.int64)
-    return np.flatnonzero(np.concatenate([[True], sorted_values[1:] != sorted_values[:-1]]))
+    return np.flatnonzero(np.concatenate([[True], np.logical_or.reduce([x[1:] != x[:-1] for x in sorted_values])]))
 
 
 def run_lengths(starts: np.ndarray, total: int) -> np.ndarray:

@@ -20,14 +20,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .blobs import bucket_of, cuts, dealt, hashed, pack, rows, run_lengths, runs, unpack
+from .blobs import bucket_of, cuts, dealt, hashed, narrow, pack, rows, run_lengths, runs, unpack
 from .components import components
-from .hashing import mix, segment_hash, windows
+from .hashing import mix, windows
 from .storage import stage, unstage, width
 
 _U, _LOW = np.uint64, np.uint64(0xFFFFFFFF)
 _SENT = {"bucket": pa.int32(), "pid": pa.int32(), "blob": pa.binary()}
 _SENT_DDL = "bucket int, pid int, blob binary"
+_SALTS = 16
 
 
 def _ceil(a: int, b: int) -> int:
@@ -58,7 +59,7 @@ def _sets(texts: pa.ChunkedArray, size: int) -> list[np.ndarray]:
         if b - a >= size:
             out.append(np.unique(grams[a : b - size + 1]))
         elif b > a:
-            out.append(segment_hash(words, np.array([a]), np.array([b])))
+            out.append(windows(words[a:b], int(b - a)))
         else:
             out.append(np.zeros(0, _U))
     return out
@@ -92,11 +93,14 @@ def _asks(size: int, percent: int, buckets: int):
         if not heads:
             return rows(_SENT, bucket=[], pid=[], blob=[])
         h = np.concatenate(heads)
-        who = np.repeat((prints[only, 1] & _LOW).astype(np.uint32), [len(x) for x in heads])
+        who = np.repeat(np.arange(len(only)), [len(x) for x in heads])
         order = np.argsort(h, kind="stable")
         h, who = h[order], who[order]
         names, bounds = cuts(h, buckets)
-        blobs = [pack((h[a:b] & _LOW).astype(np.uint32), who[a:b]) for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+        blobs = []
+        for a, b in zip(bounds[:-1], bounds[1:], strict=True):
+            some, code = np.unique(who[a:b], return_inverse=True)
+            blobs.append(pack((h[a:b] & _LOW).astype(np.uint32), narrow(code, len(some)), prints[only[some], 1]))
         return rows(_SENT, bucket=names, pid=[table["pid"][0].as_py()] * len(names), blob=blobs)
 
     return run
@@ -104,28 +108,25 @@ def _asks(size: int, percent: int, buckets: int):
 
 def _counts(table: pa.Table) -> pa.Table:
     """Of one bucket: how many distinct sets have each token, told to the groups where that is two or more."""
-    key, source = [], []
-    pids = table["pid"].to_pylist()
-    for i, blob in enumerate(table["blob"].to_pylist()):
-        k, who = unpack(blob, np.uint32, np.uint32)
-        key.append((k.astype(_U) << _U(32)) | who)
-        source.append(np.full(len(k), i, np.int32))
-    pair = np.concatenate(key)
-    token = np.unique(pair) >> _U(32)
-    start = runs(token)
-    many = run_lengths(start, len(token))
-    token, many = token[start][many > 1], many[many > 1]
+    pids, bucket = table["pid"].to_pylist(), table["bucket"][0].as_py()
+    told = [unpack(x) for x in table["blob"].to_pylist()]
+    _, who = np.unique(np.concatenate([x[2] for x in told]), return_inverse=True)
+    first = np.cumsum([0, *(len(x[2]) for x in told)])
+    pair = np.concatenate([(token.astype(_U) << _U(32)) | who[at + code].astype(_U) for (token, code, _), at in zip(told, first, strict=False)])
+    pair.sort()
+    pair = pair[runs(pair)] >> _U(32)
+    start = runs(pair)
+    many = run_lengths(start, len(pair))
+    token, many = pair[start][many > 1].astype(np.uint32), many[many > 1]
     out: dict[str, list] = {"bucket": [], "pid": [], "blob": []}
-    if len(token):
-        mine, source = pair >> _U(32), np.concatenate(source)
-        spot = np.minimum(np.searchsorted(token, mine), len(token) - 1)
-        hit = token[spot] == mine
-        spot, source = spot[hit], source[hit]
-        for i in np.unique(source):
-            at = np.unique(spot[source == i])
-            out["bucket"].append(table["bucket"][0].as_py())
-            out["pid"].append(pids[i])
-            out["blob"].append(pack(token[at].astype(np.uint32), many[at].astype(np.uint32)))
+    for pid, (mine, _, _) in zip(pids, told, strict=True) if len(token) else ():
+        mine = mine[runs(mine)]
+        at = np.minimum(np.searchsorted(token, mine), len(token) - 1)
+        at = at[token[at] == mine]
+        if len(at):
+            out["bucket"].append(bucket)
+            out["pid"].append(pid)
+            out["blob"].append(pack(token[at], narrow(many[at], int(many.max()) + 1)))
     return rows(_SENT, **out)
 
 
@@ -141,9 +142,9 @@ def _survivors(size: int, percent: int, buckets: int):
         prefix: list = [None] * len(sets)
         tokens: list = [None] * len(sets)
         if told.num_rows:
-            parts = [(b, *unpack(x, np.uint32, np.uint32)) for b, x in zip(told["bucket"].to_pylist(), told["blob"].to_pylist(), strict=True)]
+            parts = [(b, *unpack(x)) for b, x in zip(told["bucket"].to_pylist(), told["blob"].to_pylist(), strict=True)]
             known = np.concatenate([(_U(b) << _U(32)) | k.astype(_U) for b, k, _ in parts])
-            many = np.concatenate([m for _, _, m in parts])
+            many = np.concatenate([m.astype(np.uint32) for _, _, m in parts])
             order = np.argsort(known)
             known, many = known[order], many[order]
             for i in only:
@@ -251,7 +252,7 @@ def _verified(percent: int):
     return run
 
 
-def near_duplicates(docs: DataFrame, shingle: int = 3, percent: int = 90, block_rows: int = 2000, block_tokens: int = 2_000_000) -> DataFrame:
+def near_duplicates(docs: DataFrame, shingle: int = 3, percent: int = 90, block_rows: int = 2000, block_tokens: int = 1_000_000) -> DataFrame:
     """doc_id, n_shingles, component_id for each row of `docs(doc_id, text)`.
 
     Documents link when 100 * |intersection| >= percent * |union| of their sets
@@ -277,15 +278,20 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, percent: int = 90, block_
     alive = every.where(usable & F.col("prefix").isNotNull()).join(classes, key)
     alive = stage(alive.groupBy("node").agg(F.first("prefix").alias("prefix"), F.first("tokens").alias("tokens")), "alive")
 
-    # Clusters: what a chain of shared prefix tokens reaches. Every link lies inside one.
-    posting = alive.select("node", F.explode("prefix").alias("token"))
-    hub = posting.groupBy("token").agg(F.min("node").alias("hub"), F.count("*").alias("n")).where("n > 1")
-    clusters = components(posting.join(hub, "token").where("node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b")))
+    # Clusters: what a chain of shared prefix tokens reaches. Every link lies inside one. A token's documents hang
+    # on the smallest of their salt, and those on the smallest of all, so that no task gets all of a frequent token.
+    posting = alive.select("node", F.explode("prefix").alias("token"), F.pmod(F.xxhash64("node"), F.lit(_SALTS)).alias("salt"))
+    near = posting.groupBy("token", "salt").agg(F.min("node").alias("near"))
+    hub = near.groupBy("token").agg(F.min("near").alias("hub"))
+    edges = posting.join(near, ["token", "salt"]).select(F.col("node").alias("a"), F.col("near").alias("b"))
+    clusters = components(edges.unionByName(near.join(hub, "token").select(F.col("near").alias("a"), F.col("hub").alias("b"))))
     alive = alive.join(clusters, "node").withColumnRenamed("component", "cluster")
     bulk = alive.groupBy("cluster").agg(F.count("*").alias("n"), F.sum(F.length("tokens") / 8).alias("t"))
     split = F.greatest(F.lit(1), F.ceil(F.col("n") / block_rows), F.ceil(F.col("t") / block_tokens)).cast("int")
-    bulk = bulk.select("cluster", split.alias("blocks"))
-    alive = alive.join(bulk, "cluster").withColumn("side", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    # Only large clusters have a row here, one for block_rows documents or more.
+    bulk = bulk.select("cluster", split.alias("blocks")).where("blocks > 1")
+    alive = alive.join(bulk, "cluster", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    alive = alive.withColumn("side", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     alive = alive.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     alive = alive.withColumn("i", F.least("side", "other")).withColumn("j", F.greatest("side", "other"))
     # Small clusters share a task; blocks of a large one get one for each pair.

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .hashing import _TABLES, segment_hash, slices
+from .hashing import byte_hash, slices, text_bytes
 from .storage import stage
 
 _CACHE_ENTRIES = 400_000
@@ -38,7 +38,7 @@ class Encoder:
     """Byte-level BPE ids by the `tokenizers` library, with repeated stretches of text encoded once.
 
     Texts are cut where the pre-tokenizer always cuts; equal stretches then have
-    equal ids.
+    equal ids. Stretches count as equal if two independent 64-bit hashes agree.
     """
 
     def __init__(self, path: str):
@@ -46,7 +46,7 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.cache: dict[int, bytes] = {}
+        self.cache: dict[int, tuple[int, bytes]] = {}
 
     def encode(self, data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts data[bounds[i]:bounds[i+1]], and the bounds of each text's ids."""
@@ -54,9 +54,14 @@ class Encoder:
         if not len(begins):
             return np.zeros(0, np.uint32), np.zeros(len(bounds), np.int64)
         ends = np.append(begins[1:], len(data))
-        names, at, code = np.unique(segment_hash(_TABLES[0, False][data], begins, ends), return_index=True, return_inverse=True)
-        keys = names.tolist()
-        known = [self.cache.get(k) for k in keys]
+        names, at, code = np.unique(byte_hash(data, begins, ends), return_index=True, return_inverse=True)
+        second = byte_hash(data, begins, ends, 1)
+        # A stretch that only shares the first hash with the one kept under it becomes an entry of its own.
+        odd = np.flatnonzero(second != second[at][code])
+        code[odd] = len(at) + np.arange(len(odd))
+        at = np.append(at, odd)
+        keys, checks = [*names.tolist(), *[None] * len(odd)], second[at].tolist()
+        known = [x[1] if x is not None and x[0] == c else None for x, c in zip(map(self.cache.get, keys), checks, strict=True)]
         missing = [i for i, x in enumerate(known) if x is None]
         if missing:
             raw = data.tobytes()
@@ -65,8 +70,8 @@ class Encoder:
             room = _CACHE_ENTRIES - len(self.cache)
             for i, e in zip(missing, self.tokenizer.encode_batch_fast(texts, add_special_tokens=False), strict=True):
                 known[i] = array("I", e.ids).tobytes()
-                if room > 0:
-                    self.cache[keys[i]] = known[i]
+                if room > 0 and keys[i] is not None and keys[i] not in self.cache:
+                    self.cache[keys[i]] = checks[i], known[i]
                     room -= 1
         sizes = np.array([len(x) // 4 for x in known])
         flat = np.frombuffer(b"".join(known), np.uint32)
@@ -122,10 +127,7 @@ def _piecer(path: str, capacity: int, end_id: int):
         for batch in batches:
             batch = batch.set_column(1, "text", batch.column(1).fill_null(""))
             for some in slices(batch, "text", 1 << 20):
-                col = some.column(1)
-                off = np.frombuffer(col.buffers()[1], np.int32)[col.offset : col.offset + len(col) + 1].astype(np.int64)
-                data = np.frombuffer(col.buffers()[2], np.uint8)[off[0] : off[-1]] if off[-1] > off[0] else np.zeros(0, np.uint8)
-                ids, first = encoder.encode(data, off - off[0])
+                ids, first = encoder.encode(*text_bytes(some.column(1)))
                 out: tuple[list, ...] = ([], [], [], [], [])
                 for i, doc in enumerate(some.column(0).to_pylist()):
                     raw = ids[first[i] : first[i + 1]].tobytes() + end

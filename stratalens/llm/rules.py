@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .blobs import run_lengths, runs
-from .hashing import _TABLES, Words, segment_hash, slices, windows
+from .hashing import Words, byte_hash, slices, windows
 from .storage import stage
 
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_capitals", "n_marks")
@@ -55,7 +55,7 @@ def counts(texts: pa.Array) -> dict[str, np.ndarray]:
     begins, ends = begins[filled], ends[filled]
     ends = ends - (w.data[ends - 1] == 10)
     owner = np.searchsorted(w.bounds, begins, "right") - 1
-    line = segment_hash(_TABLES[0, False][w.data], begins, ends)
+    line = byte_hash(w.data, begins, ends)
     order = np.lexsort((line, owner))
     same = (np.diff(line[order]) == 0) & (np.diff(owner[order]) == 0)
     out["n_lines"] = np.bincount(owner, minlength=docs)

@@ -10,22 +10,43 @@ import math
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+_CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; one of our own only where that is unset."""
+    """The folder named by spark.checkpoint.dir; where that is unset, one of our own if all tasks run on this machine."""
     named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     return named or os.path.join(tempfile.gettempdir(), "checkpoints")
 
 
+@contextmanager
+def _released(spark: SparkSession) -> Iterator[None]:
+    """What runs inside leaves no shuffle files behind."""
+    before = spark.conf.get(_CLEAN, None)
+    spark.conf.set(_CLEAN, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(_CLEAN)
+        else:
+            spark.conf.set(_CLEAN, before)
+
+
 def stage(df: DataFrame, label: str) -> DataFrame:
-    """Write `df` to the shared folder and return a reader of what was written."""
+    """Write `df` to the shared folder and return a reader of what was written; its shuffle files go at once."""
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    with _released(spark):
+        df.write.option("compression", "zstd").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._staged_path = path
     return out
@@ -52,14 +73,18 @@ def _bytes(df: DataFrame) -> int:
     return min(size_of(plan), sum(leaves))
 
 
-def width(df: DataFrame, mb_each: float = 8, per_partition: int = 4) -> int:
-    """How many hash buckets to deal the documents of `df` into.
+def groups_of(size: int, partitions: int, mb_each: float = 4, row_bytes: int = 4096) -> int:
+    """How many groups, and as many buckets, `size` bytes of documents are dealt into.
 
-    Taken from the plan's size statistics (file sizes, no job), so that a
-    bucket stays within one worker's memory however large the input is, and
-    from the session's shuffle width, so that small inputs still spread. Where
-    the plan knows no size (rows made in memory, an RDD), one scan measures the
-    texts.
+    Every group sends every bucket a row, so groups grow with the square root
+    of the input once they pass `mb_each`: rows stay at one for `row_bytes` of
+    input, however large that is (11 MB a group at 30 GB, 640 MB at 100 TB).
+    Small inputs spread over the session's partitions.
     """
-    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return min(1 << 20, max(parts * per_partition, math.ceil(_bytes(df) / (mb_each * 1e6))))
+    each = max(mb_each * 1e6, math.sqrt(size * row_bytes))
+    return max(1, math.ceil(size / each), min(partitions, size >> 20))
+
+
+def width(df: DataFrame, mb_each: float = 4) -> int:
+    """groups_of() the documents of `df`, from the plan's size statistics (file sizes, no job), or one scan where it has none."""
+    return groups_of(_bytes(df), int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), mb_each)

@@ -24,12 +24,13 @@ _U, _LOW = np.uint64, np.uint64(0xFFFFFFFF)
 _NONE = np.iinfo(np.int64).max
 _SENT = {"bucket": pa.int32(), "pid": pa.int32(), "blob": pa.binary()}
 _SENT_DDL = "bucket int, pid int, blob binary"
+_OWN_PID = "pid of the input"
 SPANS = T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))
 
 
 def _rolling(texts: pa.ChunkedArray, size: int, kind: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Hashes of all windows inside documents, their word positions and owners, and the documents' bounds."""
-    words, first = hashed(texts)
+    words, first = hashed(texts, kind=kind)
     all_windows = windows(words, size, kind)
     owner = np.repeat(np.arange(len(first) - 1), np.diff(first))[: len(all_windows)]
     inside = np.arange(len(all_windows)) + size <= first[owner + 1]
@@ -37,6 +38,14 @@ def _rolling(texts: pa.ChunkedArray, size: int, kind: int) -> tuple[np.ndarray,
     return all_windows[at], at, owner[at], first
 
 
+def _second(texts: pa.ChunkedArray, size: int, first: np.ndarray, at: np.ndarray, owner: np.ndarray) -> np.ndarray:
+    """Independent hashes of the windows at word positions `at`; only documents that have any are hashed again."""
+    some = np.unique(owner)
+    words, own = hashed(texts.take(pa.array(some)), kind=1)
+    spot = np.searchsorted(some, owner)
+    return windows(words, size, 1)[at - first[owner] + own[spot]] if len(at) else np.zeros(0, _U)
+
+
 def _probes(block: int, buckets: int):
     """Each group's rolling windows by bucket: 32 bits each, with two flags."""
 
@@ -62,7 +71,7 @@ def _hits(table: pa.Table) -> pa.Table:
     keys, indexed, several, source = [], [], [], []
     pids = table["pid"].to_pylist()
     for i, blob in enumerate(table["blob"].to_pylist()):
-        k, a, b = unpack(blob, np.uint32, np.uint8, np.uint8)
+        k, a, b = unpack(blob)
         keys.append(k)
         indexed.append(np.unpackbits(a, count=len(k)))
         several.append(np.unpackbits(b, count=len(k)))
@@ -100,19 +109,20 @@ def _candidates(window: int, block: int, buckets: int):
         np.add.at(near, np.maximum(hit - (window - block), 0), 1)
         np.add.at(near, hit + 1, -1)
         near = np.cumsum(near) > 0
-        full, at, owner, _ = _rolling(docs["text"], window, 1)
+        full, at, owner, _ = _rolling(docs["text"], window, 0)
         keep = near[at]
-        full, owner = full[keep], owner[keep]
+        full, at, owner = full[keep], at[keep], owner[keep]
         if not len(full):
             return empty
+        more = _second(docs["text"], window, first, at, owner)
         ids = docs["doc_id"].fill_null(_NONE).to_numpy().astype(np.int64)[owner]
-        order = np.lexsort((ids, full))
-        full, ids = full[order], ids[order]
-        start = runs(full)
+        order = np.lexsort((ids, more, full))
+        full, more, ids = full[order], more[order], ids[order]
+        start = runs(full, more)
         several = np.maximum.reduceat(ids, start) != ids[start]
-        full, ids = full[start], ids[start]
+        full, more, ids = full[start], more[start], ids[start]
         names, bounds = cuts(full, buckets)
-        blobs = [pack(full[a:b], ids[a:b], np.packbits(several[a:b])) for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+        blobs = [pack(full[a:b], more[a:b], ids[a:b], np.packbits(several[a:b])) for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
         return rows(_SENT, bucket=names, pid=[docs["pid"][0].as_py()] * len(names), blob=blobs)
 
     return run
@@ -120,50 +130,54 @@ def _candidates(window: int, block: int, buckets: int):
 
 def _smallest(table: pa.Table) -> pa.Table:
     """Of one bucket: the smallest document of each full window, for each group where a larger one has it too."""
-    full, ids, several, source = [], [], [], []
-    pids = table["pid"].to_pylist()
-    for i, blob in enumerate(table["blob"].to_pylist()):
-        f, d, s = unpack(blob, _U, np.int64, np.uint8)
-        full.append(f)
-        ids.append(d)
-        several.append(np.unpackbits(s, count=len(f)).astype(bool))
-        source.append(np.full(len(f), i, np.int32))
-    f, d, s, source = (np.concatenate(x) for x in (full, ids, several, source))
-    order = np.lexsort((d, f))
-    f, d, s, source = f[order], d[order], s[order], source[order]
-    start = runs(f)
+    pids, told = table["pid"].to_pylist(), [unpack(x) for x in table["blob"].to_pylist()]
+    f, g, d = (np.concatenate([x[k] for x in told]) for k in range(3))
+    s = np.concatenate([np.unpackbits(x[3], count=len(x[0])).astype(bool) for x in told])
+    source = np.repeat(np.arange(len(told)), [len(x[0]) for x in told])
+    order = np.lexsort((d, g, f))
+    f, g, d, s, source = f[order], g[order], d[order], s[order], source[order]
+    start = runs(f, g)
     least = np.repeat(d[start], run_lengths(start, len(f)))
     keep = s | (least < d)
-    f, least, source = f[keep], least[keep], source[keep]
+    f, g, least, source = f[keep], g[keep], least[keep], source[keep]
     order = np.argsort(source, kind="stable")
-    f, least, source = f[order], least[order], source[order]
+    f, g, least, source = f[order], g[order], least[order], source[order]
     start = runs(source)
     ends = np.append(start, len(f))[1:]
     bucket = table["bucket"][0].as_py()
-    return rows(_SENT, bucket=[bucket] * len(start), pid=[pids[source[a]] for a in start], blob=[pack(f[a:b], least[a:b]) for a, b in zip(start, ends, strict=True)])
+    return rows(_SENT, bucket=[bucket] * len(start), pid=[pids[source[a]] for a in start], blob=[pack(f[a:b], g[a:b], least[a:b]) for a, b in zip(start, ends, strict=True)])
 
 
 def _remover(window: int, schema: pa.Schema):
     """Documents with the words of confirmed windows taken out."""
 
     def run(docs: pa.Table, answers: pa.Table) -> pa.Table:
-        full, at, owner, first = _rolling(docs["text"], window, 1)
-        gone = np.zeros(int(first[-1]) + 1, np.int32)
-        if answers.num_rows and len(full):
-            parts = [unpack(x, _U, np.int64) for x in answers["blob"].to_pylist()]
-            known, least = np.concatenate([x[0] for x in parts]), np.concatenate([x[1] for x in parts])
-            order = np.argsort(known)
-            known, least = known[order], least[order]
-            spot = np.minimum(np.searchsorted(known, full), len(known) - 1)
+        removed = np.zeros(0, bool)
+        if answers.num_rows:
+            full, at, owner, first = _rolling(docs["text"], window, 0)
+            known, other, least = (np.concatenate(x) for x in zip(*(unpack(x) for x in answers["blob"].to_pylist()), strict=True))
+            order = np.lexsort((other, known))
+            known, other, least = known[order], other[order], least[order]
+            # Windows that share the first hash follow one another in `known`; the second one tells them apart.
+            low, high = np.searchsorted(known, full), np.searchsorted(known, full, "right")
+            met = high > low
+            at, owner, low, high = at[met], owner[met], low[met], high[met]
+            more = _second(docs["text"], window, first, at, owner)
             ids = docs["doc_id"].fill_null(-_NONE).to_numpy().astype(np.int64)[owner]
-            begin = at[(known[spot] == full) & (least[spot] < ids)]
-            np.add.at(gone, begin, 1)
-            np.add.at(gone, begin + window, -1)
-        removed = np.cumsum(gone[:-1]) > 0
-        kept, spans = [], []
-        for i, text in enumerate(docs["text"].to_pylist()):
+            hit = np.zeros(len(at), bool)
+            for k in range(int((high - low).max(initial=0))):
+                spot = np.minimum(low + k, high - 1)
+                hit |= (other[spot] == more) & (least[spot] < ids)
+            gone = np.zeros(int(first[-1]) + 1, np.int32)
+            np.add.at(gone, at[hit], 1)
+            np.add.at(gone, at[hit] + window, -1)
+            removed = np.cumsum(gone[:-1]) > 0
+        kept, spans, counts, done = [], [], [], 0
+        for text in docs["text"].to_pylist():
             words = (text or "").encode().split()
-            mask = removed[first[i] : first[i + 1]]
+            mask = removed[done : done + len(words)]
+            done += len(words)
+            counts.append(len(words))
             if mask.any():
                 edge = np.flatnonzero(np.diff(np.concatenate([[0], mask.view(np.int8), [0]])))
                 spans.append([{"start": int(a), "end": int(b)} for a, b in edge.reshape(-1, 2)])
@@ -171,7 +185,6 @@ def _remover(window: int, schema: pa.Schema):
             else:
                 spans.append([])
             kept.append(b" ".join(words).decode())
-        counts = np.diff(first)
         lost = np.array([sum(s["end"] - s["start"] for s in x) for x in spans], np.int64)
         own = {"kept_text": kept, "n_words": counts, "n_removed": lost, "removed": spans}
         return pa.table([docs[f.name].cast(f.type) if f.name not in own else pa.array(own[f.name], f.type) for f in schema], schema=schema)
@@ -196,12 +209,14 @@ def dedup_substrings(docs: DataFrame, window: int = 50) -> DataFrame:
     from pyspark.sql.pandas.types import to_arrow_schema
 
     block = (window + 1) // 2
-    docs = docs.drop("kept_text", "n_words", "n_removed", "removed", "pid").withColumn("doc_id", F.col("doc_id").cast("long"))
-    n = width(docs, 4, 1)
+    docs = docs.drop("kept_text", "n_words", "n_removed", "removed").withColumn("doc_id", F.col("doc_id").cast("long"))
+    docs = docs.withColumnRenamed("pid", _OWN_PID)
+    n = width(docs)
     laid = dealt(docs, n)
     sent = laid.groupBy("pid").applyInArrow(_probes(block, n), _SENT_DDL)
     hits = sent.groupBy("bucket").applyInArrow(_hits, _SENT_DDL)
     found = laid.groupBy("pid").cogroup(hits.groupBy("pid")).applyInArrow(_candidates(window, block, n), _SENT_DDL)
     answers = found.groupBy("bucket").applyInArrow(_smallest, _SENT_DDL)
     ddl = docs.schema.add("kept_text", "string").add("n_words", "long").add("n_removed", "long").add("removed", SPANS)
-    return laid.groupBy("pid").cogroup(answers.groupBy("pid")).applyInArrow(_remover(window, to_arrow_schema(ddl)), ddl)
+    out = laid.groupBy("pid").cogroup(answers.groupBy("pid")).applyInArrow(_remover(window, to_arrow_schema(ddl)), ddl)
+    return out.withColumnRenamed(_OWN_PID, "pid")
