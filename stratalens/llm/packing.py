@@ -1,21 +1,26 @@
 """Packing of token pieces into sequences by a configuration linear program.
 
 Only the histogram of piece lengths reaches the driver, at most one count per
-length up to the capacity. Configurations (multisets of lengths that fit) are
-priced by a knapsack dynamic program under multiplicative weights: a length
-loses weight as its demand is covered. Steps are whole numbers of sequences;
-what they leave over is rounded up by best fit. Pieces then look up their place
-by their rank among pieces of equal length.
+length up to the capacity. The covering program over all configurations
+(multisets of lengths that fit) is solved fractionally by multiplicative
+weights: a length loses weight as its demand is covered, a knapsack dynamic
+program prices configurations, and its optimum gives a dual bound. The
+fractional solution is rounded down, single configurations that still have all
+their pieces are rounded up, and what is left is solved again, until less than
+a hundredth remains for best fit. Pieces then look up their place by their
+rank among pieces of equal length.
 """
 
 from __future__ import annotations
 
+import logging
 import math
 import os
 import zlib
 from array import array
 from collections import Counter
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -25,7 +30,9 @@ from pyspark.sql import functions as F
 from .hashing import byte_hash, slices, text_bytes
 from .storage import stage
 
+_LOG = logging.getLogger(__name__)
 _CACHE_ENTRIES = 400_000
+_SHARE, _BASE = "share of a length", "pieces before a share"
 # Kinds of ASCII bytes. Apostrophes and the characters of special tokens are cut at neither side.
 _LETTER, _PUNCT, _OTHER = 1, 2, 3
 _KINDS = np.zeros(256, np.uint8)
@@ -153,8 +160,8 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int =
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_piecer(tokenizer, capacity, end_id), _PIECE)
 
 
-def price(values: np.ndarray, lengths: np.ndarray, capacity: int) -> Counter:
-    """The multiset of lengths within capacity of most value: unbounded knapsack by dynamic programming."""
+def _knapsack(values: np.ndarray, lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, list[int]]:
+    """Unbounded knapsack by dynamic programming: most value within each room, and the length (by place) taken there; -1: none."""
     best, choice = np.zeros(capacity + 1), np.full(capacity + 1, -1)
     upto = np.searchsorted(lengths, np.arange(capacity + 1), "right")
     for c in range(int(lengths[0]), capacity + 1):
@@ -165,16 +172,61 @@ def price(values: np.ndarray, lengths: np.ndarray, capacity: int) -> Counter:
             best[c], choice[c] = reach[j], j
         else:
             best[c] = best[c - 1]
-    out: Counter = Counter()
-    c = capacity
-    while c > 0:
-        j = choice[c]
+    return best, choice.tolist()
+
+
+def _filling(choice: list[int], size: list[int], room: int) -> Iterator[int]:
+    """The lengths (by place) that the knapsack takes within some room."""
+    while room > 0:
+        j = choice[room]
         if j < 0:
-            c -= 1
+            room -= 1
         else:
-            out[int(lengths[j])] += 1
-            c -= int(lengths[j])
-    return out
+            yield j
+            room -= size[j]
+
+
+def price(values: np.ndarray, lengths: np.ndarray, capacity: int) -> Counter:
+    """The multiset of lengths within capacity of most value."""
+    size = lengths.tolist()
+    return Counter(size[j] for j in _filling(_knapsack(values, lengths, capacity)[1], size, capacity))
+
+
+def linear_program(demand: dict[int, int], capacity: int, rounds: int = 40, rate: float = 0.5, slack: float = 0.6) -> tuple[dict[tuple, float], float]:
+    """Configurations and fractional numbers of sequences that cover `demand` by length, and a lower bound on any packing.
+
+    In each round every length is to be covered by a growing share of its
+    demand. A length's value is its share of the capacity times exp(rate * what
+    it lags behind); a configuration of a lagging length is that length and the
+    best filling of the rest. No length is covered by more than `slack` beyond
+    the round's share, so some stay behind: rounding leaves them to the next
+    solution. Values over the best configuration's value are feasible for the
+    dual, whose largest objective is the bound.
+    """
+    lengths = np.array(sorted(demand))
+    wanted = np.array([demand[n] for n in lengths.tolist()], float)
+    size, need = lengths.tolist(), wanted.tolist()
+    covered, uses, bound = [0.0] * len(size), Counter(), 0.0
+    for k in range(1, rounds + 1):
+        goal = min(1.0, k / (0.8 * rounds))
+        lag = goal - np.array(covered)
+        if lag.max() <= 1e-9:
+            continue
+        values = lengths / capacity * np.exp(rate * lag)
+        best, choice = _knapsack(values, lengths, capacity)
+        bound = max(bound, float(wanted @ values) / best[capacity])
+        for i in np.argsort(-lag, kind="stable").tolist():
+            if goal - covered[i] <= 1e-9:
+                continue
+            content = {i: 1}
+            for j in _filling(choice, size, capacity - size[i]):
+                content[j] = content.get(j, 0) + 1
+            many = min((goal + slack * (j != i) - covered[j]) * need[j] / a for j, a in content.items())
+            if many > 1e-6:
+                for j, a in content.items():
+                    covered[j] += many * a / need[j]
+                uses[tuple(sorted(((size[j], a) for j, a in content.items()), reverse=True))] += many
+    return uses, bound
 
 
 def _best_fit(left: dict[int, int], capacity: int) -> Counter:
@@ -208,31 +260,49 @@ def _best_fit(left: dict[int, int], capacity: int) -> Counter:
     return out
 
 
-def configurations(histogram: dict[int, int], capacity: int, rounds: int = 700, step: float = 0.5, rate: float = 0.02) -> Counter:
-    """Configurations (descending tuples of lengths) and how many sequences use each; covers the histogram exactly."""
-    left = {n: m for n, m in histogram.items() if m > 0 and n < capacity}
+@dataclass
+class Plan:
+    """A packing of a histogram of lengths."""
+
+    uses: Counter  # configuration (descending tuple of lengths) -> sequences
+    bound: float  # no packing has fewer sequences
+    pieces: int
+    rounded: int  # pieces that the linear program's configurations place; best fit places the rest
+
+
+def planned(histogram: dict[int, int], capacity: int, rounds: int = 40, most_left: float = 0.01) -> Plan:
+    """Pack a histogram of lengths exactly: the linear program, rounded and solved again for what is left, then best fit."""
     out: Counter = Counter({(capacity,): histogram[capacity]}) if histogram.get(capacity) else Counter()
-    demand = dict(left)
-    for _ in range(rounds):
-        if not left:
-            break
-        lengths = np.array(sorted(left))
-        covered = np.array([1 - left[n] / demand[n] for n in lengths.tolist()])
-        # Slightly more than proportional: of equally full configurations the one of long pieces is worth more.
-        values = (lengths / capacity) ** 1.02 * np.exp(-rate * covered)
-        found = price(values, lengths, capacity)
-        found = Counter({n: min(k, left[n]) for n, k in found.items()})
-        bound = min(left[n] // k for n, k in found.items())
-        times = max(1, int(bound * step)) if bound > 8 else bound
-        if sum(n * k for n, k in found.items()) < 0.98 * capacity:
-            break  # what is left no longer fills sequences; best fit does as well
-        out[tuple(sorted(found.elements(), reverse=True))] += times
-        for n, k in found.items():
-            left[n] -= k * times
-            if not left[n]:
-                del left[n]
-    out.update(_best_fit(left, capacity))
-    return out
+    left = {n: m for n, m in histogram.items() if m > 0 and n < capacity}
+    total, bound = sum(histogram.values()), None
+    before = math.inf
+    while left and most_left * total < sum(left.values()) < before:
+        before = sum(left.values())
+        uses, least = linear_program(left, capacity, rounds)
+        bound = least if bound is None else bound
+
+        def place(content: tuple, times: int) -> int:
+            times = min(times, *(left.get(n, 0) // a for n, a in content))
+            if times:
+                out[tuple(n for n, a in content for _ in range(a))] += times
+                for n, a in content:
+                    left[n] -= a * times
+            return times
+
+        order = sorted(uses.items(), key=lambda u: (-u[1], u[0]))
+        rest = [(many - place(content, int(many)), content) for content, many in order]
+        for _, content in sorted(rest, key=lambda r: (-r[0], r[1])):
+            place(content, 1)
+        left = {n: m for n, m in left.items() if m}
+    plan = Plan(out, out.get((capacity,), 0) + (bound or 0.0), total, total - sum(left.values()))
+    plan.uses.update(_best_fit(left, capacity))
+    _LOG.info("%d pieces in %d sequences, at least %.1f; %d pieces placed by the linear program", total, sum(plan.uses.values()), plan.bound, plan.rounded)
+    return plan
+
+
+def configurations(histogram: dict[int, int], capacity: int, rounds: int = 40) -> Counter:
+    """Configurations (descending tuples of lengths) and how many sequences use each; covers the histogram exactly."""
+    return planned(histogram, capacity, rounds).uses
 
 
 def _places(plan: Counter) -> np.ndarray:
@@ -263,7 +333,7 @@ def _placer(places: np.ndarray):
     return run
 
 
-def pack(parts: DataFrame, capacity: int = 2048, rounds: int = 700) -> DataFrame:
+def pack(parts: DataFrame, capacity: int = 2048) -> DataFrame:
     """`parts` (doc_id, piece, length and others) with sequence_id and offset.
 
     Each row gets a place in a sequence of at most `capacity` tokens, places of
@@ -272,19 +342,19 @@ def pack(parts: DataFrame, capacity: int = 2048, rounds: int = 700) -> DataFrame
     repeated doc_ids are placed like others; an empty table gives no rows;
     columns named sequence_id, offset or rank are replaced, others kept.
     """
-    parts = parts.drop("sequence_id", "offset", "rank", "share")
+    parts = parts.drop("sequence_id", "offset", "rank")
     counts = {r["length"]: r["n"] for r in parts.groupBy("length").agg(F.count("*").alias("n")).limit(capacity + 2).collect()}
     if any(n is None or not 1 <= n <= capacity for n in counts):
         raise ValueError("piece lengths must lie between 1 and the capacity")
-    places = _places(configurations(counts, capacity, rounds))
+    places = _places(configurations(counts, capacity))
     # Rank among equal lengths in two levels: within a share of them, and shares before it.
     shares = max(1, math.ceil(sum(counts.values()) / 20_000))
-    dealt = parts.withColumn("share", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(shares)))
-    before = dealt.groupBy("length", "share").agg(F.count("*").alias("n"))
-    before = before.select("length", "share", (F.sum("n").over(Window.partitionBy("length").orderBy("share")) - F.col("n")).alias("base"))
+    dealt = parts.withColumn(_SHARE, F.pmod(F.xxhash64("doc_id", "piece"), F.lit(shares)))
+    before = dealt.groupBy("length", _SHARE).agg(F.count("*").alias("n"))
+    before = before.select("length", _SHARE, (F.sum("n").over(Window.partitionBy("length").orderBy(_SHARE)) - F.col("n")).alias(_BASE))
     order = [F.col(c) for c in ("doc_id", "piece", "start", "ids_crc32") if c in parts.columns]
-    inner = F.row_number().over(Window.partitionBy("length", "share").orderBy(*order))
-    ranked = dealt.join(before, ["length", "share"]).withColumn("rank", F.col("base") + inner - 1)
+    inner = F.row_number().over(Window.partitionBy("length", _SHARE).orderBy(*order))
+    ranked = dealt.join(before, ["length", _SHARE]).withColumn("rank", F.col(_BASE) + inner - 1)
     ranked = ranked.select(*parts.columns, F.col("rank").cast("long"))
     schema = parts.schema.add("sequence_id", "long").add("offset", "long")
     return ranked.mapInArrow(_placer(places), schema)
