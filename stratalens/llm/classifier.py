@@ -1,9 +1,10 @@
 """Quality classifier: hashed word n-grams, logistic regression by follow-the-regularised-leader.
 
-Features are the words and word pairs of a whole text, once as they are
-(lower-cased) and once as shapes (which kinds of characters, in what order,
-whether the word repeats), hashed into one vector of fixed size. Weights are
-learnt from a bounded sample of labelled rows; scores are sparse dot products.
+Features are the words and word pairs of a whole text, hashed into one vector
+of fixed size. As classifiers of this kind have it, runs of punctuation are
+words of their own, and a word that repeats the one before it becomes a ditto
+mark. Weights are learnt from a bounded sample of labelled rows; scores are
+sparse dot products.
 """
 
 from __future__ import annotations
@@ -15,43 +16,45 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .hashing import Words, mix, slices, windows
+from .hashing import byte_hash, mix, slices, text_bytes, windows
 
 BITS = 18
 _U = np.uint64
-# Kinds of bytes by bit: lower or non-ASCII, capital, digit, '!', other punctuation.
-_KIND = np.full(256, 16, np.uint8)
+_DITTO = _U(0x5D1770)
+# Kinds of bytes: white space, letters and digits (and all beyond ASCII), punctuation.
+_KIND = np.full(256, 2, np.uint8)
 _KIND[128:] = 1
-_KIND[ord("a") : ord("z") + 1] = 1
-_KIND[ord("A") : ord("Z") + 1] = 2
-_KIND[ord("0") : ord("9") + 1] = 4
-_KIND[ord("!")] = 8
-
-
-def _shapes(w: Words, words: np.ndarray) -> np.ndarray:
-    """A hash of each word's shape."""
-    if not len(words):
-        return words
-    kind = _KIND[w.data]
-    both = np.empty(2 * len(w.start), np.int64)
-    both[0::2], both[1::2] = w.start, w.end
-    padded = np.append(kind, 0)
-    present = np.bitwise_or.reduceat(padded, both)[0::2].astype(_U)
-    first, last = kind[w.start].astype(_U), kind[w.end - 1].astype(_U)
-    long_ = np.minimum(w.end - w.start, 40).astype(_U) // _U(5)
-    again = np.zeros(len(words), _U)
+for _first, _last in ("az", "AZ", "09"):
+    _KIND[ord(_first) : ord(_last) + 1] = 1
+_KIND[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = 0
+
+
+def _words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the words of texts, and the bounds of each text's run."""
+    data, bounds = text_bytes(texts.fill_null("") if texts.null_count else texts)
+    kind = _KIND[data]
+    new = np.ones(len(kind), bool)
+    new[1:] = kind[1:] != kind[:-1]
+    edges = bounds[:-1]
+    new[edges[edges < len(kind)]] = True
+    start = np.flatnonzero(new)
+    end = np.append(start[1:], len(kind))
+    seen = kind[start] > 0
+    start, end = start[seen], end[seen]
+    words, first = byte_hash(data, start, end), np.searchsorted(start, bounds)
+    again = np.zeros(len(words), bool)
     again[1:] = words[1:] == words[:-1]
-    return mix((((present * _U(32) + first) * _U(32) + last) * _U(16) + long_) * _U(2) + again + _U(1 << 40))
+    starts = first[:-1]
+    again[starts[starts < len(words)]] = False
+    return np.where(again, _DITTO, words), first
 
 
 def features(texts: pa.Array, bits: int = BITS) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """For each text: feature indexes and their weights, a unit vector of dampened counts."""
-    w = Words(texts)
-    words = w.hashes(0, True)
-    shapes = _shapes(w, words)
-    grams = [mix(words + _U(1)), windows(words, 2, 1), mix(shapes + _U(3)), windows(shapes, 2, 1)]
-    for a, b in zip(w.first[:-1], w.first[1:], strict=True):
-        own = np.concatenate([g[a : b - (k % 2)] if b - a > k % 2 else g[:0] for k, g in enumerate(grams)])
+    words, first = _words(texts)
+    grams = [mix(words + _U(1)), windows(words, 2, 1)]
+    for a, b in zip(first[:-1], first[1:], strict=True):
+        own = np.concatenate([g[a : b - k] if b - a > k else g[:0] for k, g in enumerate(grams)])
         at, many = np.unique(own >> _U(64 - bits), return_counts=True)
         value = np.log1p(many)
         norm = np.sqrt((value**2).sum())
@@ -69,7 +72,7 @@ def _feature_rows(bits: int):
     return run
 
 
-def ftrl(rows: list[tuple[np.ndarray, np.ndarray, int]], size: int, epochs: int = 3, alpha: float = 0.6, beta: float = 1.0, l1: float = 0.02, l2: float = 0.5) -> np.ndarray:
+def ftrl(rows: list[tuple[np.ndarray, np.ndarray, int]], size: int, epochs: int = 6, alpha: float = 2.0, beta: float = 1.0, l1: float = 0.005, l2: float = 0.1) -> np.ndarray:
     """Weights (the bias last) after passes of per-coordinate FTRL-proximal updates over (indexes, values, label)."""
     z, n = np.zeros(size + 1), np.zeros(size + 1)
 
@@ -90,12 +93,13 @@ def ftrl(rows: list[tuple[np.ndarray, np.ndarray, int]], size: int, epochs: int
 def train(docs: DataFrame, labels: DataFrame, most_rows: int = 4000, bits: int = BITS) -> np.ndarray:
     """Weights from `labels(doc_id, quality)` joined to `docs(doc_id, text)`.
 
-    At most `most_rows` labelled rows are used, those first by a hash of the
-    doc_id; all of their texts are read whole. Null labels and ids are left out
-    and repeated labels of a doc_id count once, as the larger. Without labels
-    all weights are zero.
+    At most `most_rows` labelled ids that have a document are used, those first
+    by a hash of the doc_id; all of their texts are read whole, and of rows that
+    repeat a doc_id one. Null labels and ids are left out and repeated labels of
+    a doc_id count once, as the larger. Without labels all weights are zero.
     """
     known = labels.where("quality is not null and doc_id is not null").groupBy("doc_id").agg(F.max("quality").alias("quality"))
+    known = known.join(docs.select("doc_id"), "doc_id", "left_semi")
     picked = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most_rows).collect()
     # Bounded by most_rows, so it goes to every task instead of sending all texts to meet it.
     chosen = F.broadcast(docs.sparkSession.createDataFrame([tuple(r) for r in picked], known.schema))
@@ -104,7 +108,8 @@ def train(docs: DataFrame, labels: DataFrame, most_rows: int = 4000, bits: int =
     order = {r["doc_id"]: i for i, r in enumerate(picked)}
     data = [(np.frombuffer(a, np.int32), np.frombuffer(v, np.float32).astype(float), int(q), order[d]) for d, q, a, v in zip(*(found[c].to_pylist() for c in ("doc_id", "quality", "at", "value")), strict=True)]
     data.sort(key=lambda r: (r[3], r[0].tobytes(), r[1].tobytes()))
-    return ftrl([r[:3] for r in data], 1 << bits)
+    once = {r[3]: r[:3] for r in reversed(data)}
+    return ftrl([once[k] for k in sorted(once)], 1 << bits)
 
 
 def _scorer(weights: np.ndarray, bits: int):
