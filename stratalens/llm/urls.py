@@ -1,7 +1,7 @@
 """URL filters by hashed host-suffix and path-prefix expressions.
 
-Each URL yields every (host suffix, path prefix) expression that a rule could
-be written as. Rules and expressions meet by an equi-join on the first bytes
+Each URL yields the (host suffix, path prefix) expressions that a rule of the
+deepest rules' labels and path could be written as. Rules and expressions meet by an equi-join on the first bytes
 of a SHA-256 digest; the full digest confirms a match and the longest matching
 rule decides.
 """
@@ -27,22 +27,15 @@ def url_parts(url: Column) -> tuple[Column, Column]:
     return F.translate(host, upper, lower), path
 
 
-def expressions(host: Column, path: Column) -> Column:
-    """All host-suffix + path-prefix strings; prefixes are empty, end after each '/', or are the whole path."""
-    labels = F.split(host, r"\.", -1)
-    suffixes = F.transform(
-        F.sequence(F.lit(1), F.size(labels)),
-        lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."),
-    )
-    parts = F.split(path, "/", -1)
-    cuts = F.when(
-        F.size(parts) > 1,
-        F.transform(
-            F.sequence(F.lit(1), F.size(parts) - 1),
-            lambda i: F.concat(F.array_join(F.slice(parts, F.lit(1), i), "/"), F.lit("/")),
-        ),
-    ).otherwise(F.array().cast("array<string>"))
-    prefixes = F.array_distinct(F.concat(F.array(F.lit("")), cuts, F.array(path)))
+def expressions(host: Column, path: Column, labels: int, depth: int) -> Column:
+    """Host suffixes of up to `labels` labels, each with the empty prefix and the path prefixes that end in one of the first `depth` slashes.
+
+    Their number is bounded by the rules, whatever the URL's length.
+    """
+    slashes = F.length(path) - F.length(F.replace(path, F.lit("/"), F.lit("")))
+    ends = [F.when(slashes >= k, F.concat(F.substring_index(path, "/", k), F.lit("/"))) for k in range(1, depth + 1)]
+    prefixes = F.array_compact(F.array(F.lit(""), *ends))
+    suffixes = F.array_distinct(F.array(*[F.substring_index(host, ".", -k) for k in range(1, labels + 1)]))
     return F.flatten(F.transform(suffixes, lambda s: F.transform(prefixes, lambda p: F.concat(s, p))))
 
 
@@ -65,6 +58,8 @@ def filter_urls(pages: DataFrame, rules: Sequence[tuple[str, str, str]], default
     for verdict, host, path in rules:
         if verdict not in ("allow", "block") or not host or (path and not (path[0] == path[-1] == "/")):
             raise ValueError(f"not a rule: {verdict} {host}{path}")
+    labels = max((h.count(".") + 1 for _, h, _ in rules), default=1)
+    depth = max((p.count("/") for _, _, p in rules), default=0)
     spark = pages.sparkSession
     table = spark.createDataFrame([(f"{h}{p}", v) for v, h, p in sorted(set(rules))], "rule string, rule_verdict string")
     table = table.withColumn("rule_digest", F.sha2("rule", 256)).withColumn(
@@ -78,7 +73,7 @@ def filter_urls(pages: DataFrame, rules: Sequence[tuple[str, str, str]], default
     )
     judged = judged.groupBy("page_id", "host", "path").agg(F.sum("copies").alias("copies"))
     asked = (
-        judged.withColumn("expression", F.explode(expressions(F.col("host"), F.col("path"))))
+        judged.withColumn("expression", F.explode(expressions(F.col("host"), F.col("path"), labels, depth)))
         .withColumn("digest", F.sha2("expression", 256))
         .withColumn("key", F.substring("digest", 1, PREFIX_HEX))
     )
