@@ -22,10 +22,11 @@ from pyspark.sql import functions as F
 
 VERSION = "WARC/1.0"
 _CRLF = "\r\n"
-_HIDDEN = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template)\b[^>]*>.*?(?:</\1\s*>|\Z)", re.S | re.I)
-_TAG = re.compile(r"""</?([a-zA-Z][^\s/>]*)(?:"[^"]*"|'[^']*'|[^'">])*+>|<[!?][^>]*>""")
-_TITLE = re.compile(r"<title\b[^>]*>(.*?)</title\s*>", re.S | re.I)
-_LINK = re.compile(r"""<(a|link|img)\b[^>]*?\s(?:href|src)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
+# No pattern runs past the next '<' for a '>' that isn't there, so pages of unclosed tags take linear time too.
+_HIDDEN = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template)\b[^<>]*>.*?(?:</\1\s*>|\Z)", re.S | re.I)
+_TAG = re.compile(r"""</?([a-zA-Z][^\s/<>]*)(?:"[^"]*"|'[^']*'|[^'"<>])*+>|<[!?][^<>]*>""")
+_TITLE, _TITLE_END = re.compile(r"<title\b[^<>]*>", re.I), re.compile(r"</title\s*>", re.I)
+_TARGET = re.compile(r"""\s(?:href|src)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
 #: Elements whose text runs on within a line.
 _INLINE = frozenset("a abbr b bdi bdo cite code data dfn em font i kbd mark q s samp small span strong sub sup time u var wbr".split())
 
@@ -38,6 +39,24 @@ def plain_text(page: str) -> str:
     return "\n".join(line for line in lines if line)
 
 
+def title_of(page: str) -> str | None:
+    """The first title's text."""
+    begin = _TITLE.search(page)
+    end = begin and _TITLE_END.search(page, begin.end())
+    return " ".join(html.unescape(page[begin.end() : end.start()]).split()) if end else None
+
+
+def links(page: str) -> list[dict[str, str]]:
+    """Targets of the links and images that aren't hidden."""
+    out = []
+    for tag in _TAG.finditer(_HIDDEN.sub(" ", page)):
+        name = (tag[1] or "").lower()
+        target = _TARGET.search(tag[0]) if name in ("a", "link", "img") and tag[0][1] != "/" else None
+        if target:
+            out.append({"path": name, "url": html.unescape(target[1] or target[2] or target[3] or "")})
+    return out
+
+
 def digest(data: bytes) -> str:
     return "sha1:" + hashlib.sha1(data).hexdigest()
 
@@ -72,7 +91,6 @@ def _derived(kind: str, source: dict[str, str], block: str, content_type: str) -
 def derive(headers: dict[str, str], block: str) -> list[tuple[dict[str, str], str]]:
     """The metadata and the conversion record of one response record."""
     status, fields, payload = http_parts(block)
-    title = _TITLE.search(payload)
     envelope = {
         "Envelope": {
             "WARC-Header-Metadata": headers,
@@ -81,10 +99,7 @@ def derive(headers: dict[str, str], block: str) -> list[tuple[dict[str, str], st
                 "HTTP-Response-Metadata": {
                     "Response-Message": status,
                     "Headers": fields,
-                    "HTML-Metadata": {
-                        "Title": " ".join(html.unescape(title[1]).split()) if title else None,
-                        "Links": [{"path": m[1].lower(), "url": html.unescape(m[2] or m[3] or m[4] or "")} for m in _LINK.finditer(_HIDDEN.sub(" ", payload))],
-                    },
+                    "HTML-Metadata": {"Title": title_of(payload), "Links": links(payload)},
                 },
             },
         }
@@ -157,19 +172,47 @@ def write_warc(records: DataFrame, path: str, compression: str | None = None) ->
     (writer.option("compression", compression) if compression else writer).text(path)
 
 
+def _records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Records from what stands between separators; a block shorter than its Content-Length goes on with what follows."""
+    separator = _CRLF * 2 + VERSION + _CRLF
+    headers: list[tuple[str, str]] | None = None
+    parts: list[str] = []
+    missing = 0
+
+    def ended() -> pa.RecordBatch:
+        data = separator.join(parts).encode()
+        length = next((v for k, v in headers if k == "Content-Length" and v.isdigit()), None)
+        # A file's last record is followed by blank lines that no separator took.
+        block = data.removesuffix(b"\r\n\r\n") if length is None else data[: int(length)]
+        kind = pa.map_(pa.string(), pa.string())
+        return pa.RecordBatch.from_arrays([pa.array([list(dict(headers).items())], kind), pa.array([block.decode(errors="replace")])], ["headers", "block"])
+
+    for batch in batches:
+        for piece in batch.column(0).to_pylist():
+            if headers is not None and missing > 0 and not piece.startswith(VERSION + _CRLF):
+                parts.append(piece)
+                missing -= len(separator) + len(piece.encode())
+                continue
+            if headers is not None:
+                yield ended()
+            head, found, rest = piece.removeprefix(VERSION + _CRLF).partition(_CRLF * 2)
+            lines = [line.partition(": ") for line in head.split(_CRLF)]
+            whole = bool(found) and all(mark for _, mark, _ in lines)
+            headers = [(k, v) for k, _, v in lines] if whole else []
+            parts = [rest if whole else piece]
+            length = dict(headers).get("Content-Length", "")
+            missing = int(length) - len(parts[0].encode()) if length.isdigit() else 0
+    if headers is not None:
+        yield ended()
+
+
 def read_warc(spark: SparkSession, path: str) -> DataFrame:
     """headers and block of the records of WARC files with UTF-8 blocks; large files are read in splits.
 
-    Records are told apart by the blank lines and version line between them;
-    a block is as long as its Content-Length says.
+    Blank lines and a version line tell records apart, and the Content-Length
+    tells a block that holds such lines itself. Only where such a block runs
+    from one split of an uncompressed file into the next does its rest come as
+    a row without headers. A record without a length ends at the separator.
     """
     raw = spark.read.option("lineSep", _CRLF * 2 + VERSION + _CRLF).text(path)
-    text = F.regexp_replace("value", rf"^{VERSION}\r\n", "")
-    at = F.instr(text, _CRLF * 2)
-    head, rest = F.substring(text, F.lit(1), at - 1), F.substr(text, at + 4)
-    pairs = F.transform(F.split(head, _CRLF), lambda line: F.struct(F.split(line, ": ", 2)[0], F.split(line, ": ", 2)[1]))
-    parsed = raw.select(F.map_from_entries(pairs).alias("headers"), rest.alias("rest"))
-    # A file's last record is followed by blank lines that no separator took; the length tells them from the block.
-    length = F.col("headers")["Content-Length"].try_cast("int")
-    block = F.when(length.isNull(), F.regexp_replace("rest", r"\r\n\r\n\z", "")).otherwise(F.decode(F.substr(F.encode("rest", "utf-8"), F.lit(1), length), "utf-8"))
-    return parsed.select("headers", block.alias("block"))
+    return raw.mapInArrow(_records, "headers map<string,string>, block string")
