@@ -18,6 +18,7 @@ from .storage import stage
 
 WORD = r"[^\x20\x09-\x0D]+"
 ROUNDS = 16
+_RID, _TAKEN, _WORDS = "row of the mix", "taken by the mix", "words of the row"
 
 
 def word_count(text: Column) -> Column:
@@ -102,11 +103,12 @@ def mix_plan(docs: DataFrame, block: int = 128, shard_slots: int = 4096, cap: in
     """(documents, pieces) of a mix of `docs(doc_id, source, text)`.
 
     documents: rid, doc_id, sid, size, source_size, target, one row per input
-    row, numbered by a column rid where `docs` has one. pieces: rid, doc_id, sid, size, begin, words, times: for each stretch
+    row. pieces: rid, doc_id, sid, size, begin, words, times: for each stretch
     of a document inside one block, its first word, its words and how often the
-    mix takes it.
+    mix takes it. Shards have `shard_slots` slots, or as many as make a million
+    shards of the whole; slots drawn beyond `cap` passes over a source are left.
     """
-    rid = F.col("rid") if "rid" in docs.columns else F.monotonically_increasing_id().alias("rid")
+    rid = F.col(_RID).alias("rid") if _RID in docs.columns else F.monotonically_increasing_id().alias("rid")
     sized = stage(docs.select(rid, "doc_id", "source", word_count(F.col("text")).alias("size")), "mix-sizes")
     rows = sized.count()
     groups = max(1, math.ceil(rows / 1000))
@@ -114,7 +116,7 @@ def mix_plan(docs: DataFrame, block: int = 128, shard_slots: int = 4096, cap: in
     # Sources of equal name, null included, meet by name: a hot one is split by AQE or, small, broadcast.
     known = sized.join(src, sized["source"].eqNullSafe(src["source"])).select("rid", "doc_id", "sid", "size", "source_size", "target")
     # Position in the source's stream by running sums in two levels, so no task orders a whole source.
-    known = known.withColumn("bucket", F.pmod(F.xxhash64("doc_id"), F.lit(groups)))
+    known = known.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "size"), F.lit(groups)))
     sums = known.groupBy("sid", "bucket").agg(F.sum("size").alias("s"))
     sums = sums.select("sid", "bucket", (F.sum("s").over(Window.partitionBy("sid").orderBy("bucket")) - F.col("s")).alias("base"))
     inner = Window.partitionBy("sid", "bucket").orderBy("doc_id", "size", "rid").rowsBetween(Window.unboundedPreceding, 0)
@@ -150,14 +152,17 @@ def mixed_documents(docs: DataFrame, cap: int = 3, **how) -> DataFrame:
     joined by one space. n_chars is the new length, other columns are copied.
     Documents of which nothing is taken give no row. Cases are as in mix().
     """
-    docs = stage(docs.withColumn("rid", F.monotonically_increasing_id()), "mix-docs")
-    _, pieces = mix_plan(docs, cap=cap, **how)
+    docs = stage(docs.withColumn(_RID, F.monotonically_increasing_id()), "mix-docs")
+    _, pieces = mix_plan(docs.select(_RID, "doc_id", "source", "text"), cap=cap, **how)
     taken = pieces.where("times > 0").groupBy("rid", "size").agg(F.array_sort(F.collect_list(F.struct("begin", "words", "times"))).alias("pieces"))
     taken = taken.withColumn("turn", F.explode(F.sequence(F.lit(1).cast("long"), F.array_max("pieces.times"))))
     taken = taken.withColumn("pieces", F.filter("pieces", lambda p: p["times"] >= F.col("turn")))
     whole = F.aggregate("pieces", F.lit(0).cast("long"), lambda a, p: a + p["words"]) == F.col("size")
+    # What the mix adds stands in one column of a name of its own, so that columns of any other name are copied.
+    taken = taken.select(F.col("rid").alias(_RID), F.struct("pieces", whole.alias("whole")).alias(_TAKEN))
+    mine = F.col(_TAKEN)
     words = F.regexp_extract_all("text", F.lit(WORD), F.lit(0))
-    some = F.array_join(F.flatten(F.transform("pieces", lambda p: F.slice(F.col("all_words"), (p["begin"] + 1).cast("int"), p["words"].cast("int")))), " ")
-    rows = docs.join(taken, "rid").withColumn("whole", whole).withColumn("all_words", F.when(~F.col("whole"), words))
-    rows = rows.withColumn("text", F.when(F.col("whole"), F.col("text")).otherwise(some))
-    return rows.withColumn("n_chars", F.length("text").cast("long")).select(*[c for c in docs.columns if c != "rid"])
+    rows = docs.join(taken, _RID).withColumn(_WORDS, F.when(~mine["whole"], words))
+    some = F.array_join(F.flatten(F.transform(mine["pieces"], lambda p: F.slice(F.col(_WORDS), (p["begin"] + 1).cast("int"), p["words"].cast("int")))), " ")
+    rows = rows.withColumn("text", F.when(mine["whole"], F.col("text")).otherwise(some))
+    return rows.withColumn("n_chars", F.length("text").cast("long")).select(*[F.col(f"`{c}`") for c in docs.columns if c != _RID])
