@@ -210,7 +210,7 @@ def numerical_dependency(df: DataFrame, lhs: Sequence[str | int], rhs: Sequence[
     """X ->(<= weight) Y: how many distinct Y a value of X has at most.
 
     Unless null_equal_null, a row with a null on either side counts as a value
-    of its own.
+    of its own. The violations are the values of X that have the most Y.
     """
     require(weight >= 1, "weight must be positive")
     x, a = pick(df, lhs, "lhs"), pick(df, rhs, "rhs")
@@ -219,8 +219,8 @@ def numerical_dependency(df: DataFrame, lhs: Sequence[str | int], rhs: Sequence[
         df = df.select(*[F.struct(F.col(f"`{c}`").alias("v"), F.when(F.col(f"`{c}`").isNull(), unique).alias("u")).alias(c) for c in dict.fromkeys([*x, *a])])
     g = _grouped(df, x, a).select(F.col("x").alias("lhs"), F.col("nd").alias("weight"), F.col("s").alias("size"))
     summary = g.agg(F.coalesce(F.max("weight") <= weight, F.lit(True)).alias("holds"), F.max("weight").alias("real_weight"), F.min("weight").alias("global_min_weight"))
-    top = F.max("weight").over(Window.partitionBy(F.lit(0)))
-    return Verdict(summary, g.where(F.col("weight") > weight) if weight else g.withColumn("m", top))
+    top = g.agg(F.max("weight").alias("most"))  # a single row
+    return Verdict(summary, g.join(top).where("weight = most").drop("most"))
 
 
 def unique_error(pairs: Column, n: Column) -> Column:

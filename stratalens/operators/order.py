@@ -23,12 +23,14 @@ def swaps(df: DataFrame, context: Sequence[str], left: str, right: str, descendi
     """Values of context and left whose smallest right lies below the largest right of a smaller left.
 
     Rows are first collapsed to the right extremes of each (context, left).
-    Empty if the order compatibility context: left ~ right holds.
+    Empty if the order compatibility context: left ~ right holds. Nulls equal
+    one another and are smaller than any value.
     """
     k = pick(df, context, "context") if context else []
-    ext = df.groupBy(_ctx(k).alias("context"), F.col(f"`{left}`").alias("left")).agg(F.min(f"`{right}`").alias("lo"), F.max(f"`{right}`").alias("hi"))
+    r = F.struct(F.col(f"`{right}`").isNotNull().alias("some"), F.col(f"`{right}`").alias("v"))
+    ext = df.groupBy(_ctx(k).alias("context"), F.col(f"`{left}`").alias("left")).agg(F.min(r).alias("lo"), F.max(r).alias("hi"))
     w = Window.partitionBy("context").orderBy(F.col("left").desc() if descending else F.col("left").asc()).rowsBetween(Window.unboundedPreceding, -1)
-    return ext.withColumn("before", F.max("hi").over(w)).where("before > lo").select("context", "left", "lo", "before")
+    return ext.withColumn("before", F.max("hi").over(w)).where("before > lo").select("context", "left", F.col("lo.v").alias("lo"), F.col("before.v").alias("before"))
 
 
 def longest_kept(values: np.ndarray) -> np.ndarray:
@@ -64,12 +66,15 @@ def oc_removal_set(df: DataFrame, row_id: str, context: Sequence[str], left: str
     """Ids of fewest rows without which context: left ~ right holds.
 
     Each context group is one task's: removal sets need its whole order. Groups
-    without a swap are left out before.
+    without a swap are left out before. Columns of any orderable type become
+    ranks within the context; nulls rank below any value.
     """
     k = pick(df, context, "context") if context else []
     bad = swaps(df, k, left, right, descending).select("context").distinct()
-    codes = df.select(F.col(f"`{row_id}`").alias("id"), _ctx(k).alias("context"), (-F.col(f"`{left}`") if descending else F.col(f"`{left}`")).alias("l"), F.col(f"`{right}`").alias("r"))
-    return codes.join(bad, "context", "left_semi").withColumn("context", F.to_json("context")).groupBy("context").applyInPandas(_removals, f"id {df.schema[row_id].dataType.simpleString()}")
+    rows = df.select(F.col(f"`{row_id}`").alias("id"), _ctx(k).alias("context"), F.col(f"`{left}`").alias("l"), F.col(f"`{right}`").alias("r")).join(bad, "context", "left_semi")
+    rank = lambda by: F.dense_rank().over(Window.partitionBy("context").orderBy(by))
+    codes = rows.select("id", "context", rank(F.col("l").desc() if descending else F.col("l").asc()).alias("l"), rank(F.col("r").asc()).alias("r"))
+    return codes.withColumn("context", F.to_json("context")).groupBy("context").applyInPandas(_removals, f"id {df.schema[row_id].dataType.simpleString()}")
 
 
 def ofd_removal_set(df: DataFrame, row_id: str, context: Sequence[str], right: str) -> DataFrame:

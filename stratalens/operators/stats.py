@@ -139,14 +139,20 @@ def medians(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
 def monotonicity(df: DataFrame, column: str, order_by: Sequence[str]) -> DataFrame:
     """(column, kind): equal, ascending, descending or none, in the row order given.
 
-    Neighbours are compared inside range partitions and across their edges.
+    Neighbours are compared inside range partitions of the order; then the last
+    row of each partition with the first of the next, a row each.
     """
-    v = _cell(df, column)
-    w = Window.orderBy(*[F.col(f"`{c}`") for c in order_by])
-    pairs = df.select(v.alias("v"), F.lag(v).over(w).alias("p")).where("v is not null and p is not null")
-    up, down = F.count_if(F.col("v") > F.col("p")), F.count_if(F.col("v") < F.col("p"))
-    kind = F.when((up == 0) & (down == 0), "equal").when(down == 0, "ascending").when(up == 0, "descending").otherwise("none")
-    return pairs.agg(kind.alias("kind")).select(F.lit(column).alias("column"), "kind")
+    rank = F.struct(*[F.col(f"`{c}`") for c in order_by])
+    parts = df.select(rank.alias("at"), F.struct(_cell(df, column).alias("v")).alias("c")).repartitionByRange(F.col("at")).withColumn("part", F.spark_partition_id())
+    near = parts.withColumn("p", F.lag("c").over(Window.partitionBy("part").orderBy("at")))
+    own = near.groupBy("part").agg(
+        F.count_if(F.col("c.v") > F.col("p.v")).alias("up"), F.count_if(F.col("c.v") < F.col("p.v")).alias("down"),
+        F.min_by("c", "at").alias("first"), F.max_by("c", "at").alias("last"),
+    )
+    edge = own.withColumn("p", F.lag("last").over(Window.orderBy("part")))
+    up, down = (F.sum(F.col(k) + F.coalesce(step.cast("int"), F.lit(0))) for k, step in (("up", F.col("first.v") > F.col("p.v")), ("down", F.col("first.v") < F.col("p.v"))))
+    kind = F.when((F.coalesce(up, F.lit(0)) == 0) & (F.coalesce(down, F.lit(0)) == 0), "equal").when(down == 0, "ascending").when(up == 0, "descending").otherwise("none")
+    return edge.agg(kind.alias("kind")).select(F.lit(column).alias("column"), "kind")
 
 
 def text_columns(df: DataFrame) -> list[str]:

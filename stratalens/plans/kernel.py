@@ -12,6 +12,8 @@ from collections.abc import Iterable
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -30,6 +32,17 @@ class GroupStats:
     largest: int
 
 
+def _codes(values: pa.ChunkedArray) -> np.ndarray:
+    """Numbers that are equal where Spark groups values together: NULL with NULL, NaN with NaN, 0.0 with -0.0."""
+    if pa.types.is_nested(values.type):
+        seen: dict[str, int] = {}
+        return np.array([seen.setdefault(repr(x), len(seen)) for x in values.to_pylist()], np.int64)
+    if pa.types.is_floating(values.type):
+        values = pc.add(values, pa.scalar(0.0, values.type))
+    coded = pc.dictionary_encode(values, null_encoding="encode").combine_chunks()
+    return coded.indices.to_numpy(zero_copy_only=False).astype(np.int64) if len(values) else np.zeros(0, np.int64)
+
+
 class Lattice:
     """Group statistics of attribute sets of one table, kept once computed.
 
@@ -85,8 +98,8 @@ class Lattice:
     def _group_codes(self, mask: int) -> np.ndarray:
         if self._codes is None:
             share = min(1.0, 1.5 * self._sample_rows / max(1, self.rows))
-            some = (self.df if share >= 1 else self.df.sample(share, seed=7)).limit(self._sample_rows).toPandas()
-            self._codes = np.array([some[c].astype(object).where(some[c].notna(), None).map(repr).factorize()[0] for c in self.names]).reshape(len(self.names), -1)
+            some = (self.df if share >= 1 else self.df.sample(share, seed=7)).limit(self._sample_rows).toArrow()
+            self._codes = np.array([_codes(some[c]) for c in self.names]).reshape(len(self.names), -1)
         found = self._sample_groups.get(mask)
         if found is None:
             if mask == 0:
