@@ -263,7 +263,14 @@ def mine_uccs(df: DataFrame, columns: Sequence[str] | None = None, max_size: int
     return out
 
 
-def discover_uccs(df: DataFrame, columns: Sequence[str] | None = None, max_size: int | None = None, error: float = 0.0) -> DataFrame:
+#: As with dependencies, all names run one engine.
+UCC_ALGORITHMS = ("hyucc", "pyroucc", "hpivalid")
+
+
+def discover_uccs(df: DataFrame, columns: Sequence[str] | None = None, max_size: int | None = None, error: float = 0.0, algorithm: str = "pyroucc") -> DataFrame:
+    """Minimal (approximately) unique column combinations as rows (ucc, error); only pyroucc takes an error."""
+    require(algorithm in UCC_ALGORITHMS, f"unknown algorithm {algorithm}")
+    require(error == 0 or algorithm == "pyroucc", f"{algorithm} finds exact keys only")
     rows = [(list(c), float(e)) for c, e in mine_uccs(df, columns, max_size, error)]
     return df.sparkSession.createDataFrame(rows, "ucc array<string>, error double")
 

@@ -18,7 +18,6 @@ from pyspark.sql import types as T
 from ..plans.options import pick, require
 
 _NUMERIC = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType, T.DoubleType, T.DecimalType)
-SPECIAL = "@#$%^&!?*_+=~'-\""
 
 
 def _is(df: DataFrame, column: str, *kinds: type) -> bool:
@@ -103,6 +102,18 @@ def moments(df: DataFrame, columns: Sequence[str] | None = None, compatible: boo
     return _stacked(joined, cols, out)
 
 
+def moments_of_order(df: DataFrame, wanted: dict[str, tuple[int, bool]], columns: Sequence[str] | None = None) -> DataFrame:
+    """(column, ...): for each name of `wanted` the central moment of that order, over a power of the n - 1 deviation if standardized."""
+    cols = pick(df, columns) if columns is not None else numeric_columns(df)
+    require(all(_is(df, c, *_NUMERIC) for c in cols), "columns must be numeric")
+    require(all(k >= 0 for k, _ in wanted.values()), "orders can't be negative")
+    values = [F.col(f"`{c}`").cast("double") for c in cols]
+    first = df.agg(*[x for i, v in enumerate(values) for x in (F.avg(v).alias(f"mu{i}"), F.stddev_samp(v).alias(f"sd{i}"))])
+    joined = df.select(*[v.alias(f"v{i}") for i, v in enumerate(values)]).join(first)  # a single row
+    dev = lambda i, scaled: (F.col(f"v{i}") - F.col(f"mu{i}")) / (F.col(f"sd{i}") if scaled else F.lit(1.0))
+    return _stacked(joined, cols, {c: {name: F.avg(F.pow(dev(i, scaled), k)) for name, (k, scaled) in wanted.items()} for i, c in enumerate(cols)})
+
+
 def quantiles(df: DataFrame, column: str, shares: Sequence[float] = (0.25, 0.5, 0.75)) -> DataFrame:
     """(share, value): the element at index floor(n * share) of the sorted values, not interpolated.
 

@@ -6,6 +6,8 @@ rounded, so that rows compare across engines.
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable, Sequence
 from itertools import combinations
 
@@ -81,9 +83,7 @@ def _exact(table: str) -> Callable[[str, str], str]:
 
 
 def _g1(table: str) -> Callable[[str, str], str]:
-    nep = lambda cols: f"(SELECT coalesce(sum(n * (n - 1) / 2.0), 0) FROM (SELECT count(*) AS n FROM (SELECT {cols} FROM {table}) GROUP BY ALL HAVING true))"
     group = lambda cols: f"(SELECT coalesce(sum(n * (n - 1) / 2.0), 0) FROM (SELECT count(*) AS n FROM {table} GROUP BY {cols}))"
-    del nep
     one = f"(SELECT count(*) * (count(*) - 1) / 2.0 FROM {table})"
     return lambda x, a: f"CAST(({group(x) if x != '0' else one} - {group(a if x == '0' else x + ', ' + a)}) / {one} AS DOUBLE)"
 
@@ -95,6 +95,9 @@ def _fd_query(table: str, cols: Sequence[str], **how) -> Query:
 query("fd_discover_orders", _minimal_sql("orders", ORDERS_FD, 2, 0, _exact("orders")))(_fd_query("orders", ORDERS_FD, max_lhs=2))
 query("fd_discover_lineitem", _minimal_sql("lineitem", LINE_FD, 2, 0, _exact("lineitem")))(_fd_query("lineitem", LINE_FD, max_lhs=2))
 query("fd_discover_nation", _minimal_sql("nation", NATION_FD, 2, 0, _exact("nation")))(_fd_query("nation", NATION_FD, max_lhs=2, algorithm="tane"))
+SUPPLIER_FD = ("s_suppkey", "s_name", "s_nationkey", "s_acctbal")
+for _name in ("fun", "dfd", "fdmine", "depminer", "fastfds", "fdep", "aid", "eulerfd"):
+    query(f"fd_{_name}", _minimal_sql("supplier", SUPPLIER_FD, 2, 0, _exact("supplier")))(_fd_query("supplier", SUPPLIER_FD, max_lhs=2, algorithm=_name))
 query("afd_discover_part", _minimal_sql("part", PART_FD, 2, 0.02, _g1("part")))(_fd_query("part", PART_FD, max_lhs=2, error=0.02, measure="g1", algorithm="pyro"))
 
 
@@ -212,6 +215,14 @@ def ucc_discover(spark: SparkSession, d: str) -> DataFrame:
     return plain(fd.discover_uccs(read(spark, d, "lineitem"), LINE_FD, 2))
 
 
+KEY_COLUMNS = ("l_orderkey", "l_linenumber", "l_partkey", "l_shipdate")
+for _name in ("hyucc", "hpivalid"):
+
+    @query(f"ucc_{_name}", _ucc_sql("lineitem", KEY_COLUMNS, 3, 0))
+    def ucc_named(spark: SparkSession, d: str, algorithm: str = _name) -> DataFrame:
+        return plain(fd.discover_uccs(read(spark, d, "lineitem"), KEY_COLUMNS, 3, algorithm=algorithm))
+
+
 @query("aucc_discover", _ucc_sql("part", PART_FD, 3, 0.01))
 def aucc_discover(spark: SparkSession, d: str) -> DataFrame:
     return plain(fd.discover_uccs(read(spark, d, "part"), PART_FD, 3, 0.01))
@@ -362,11 +373,39 @@ def od_verify(spark: SparkSession, d: str) -> DataFrame:
     return plain(v.summary)
 
 
-@query("od_discover_set_based")
+def _set_based_sql(table: str, cols: Sequence[str]) -> str:
+    """Candidates of contexts of one column at most: (kind, context, left, right, descending, ok)."""
+    parts = []
+    for ctx in [(), *((c,) for c in cols)]:
+        same = " AND ".join(["true", *(f"s.{c} IS NOT DISTINCT FROM t.{c}" for c in ctx)])
+        listed = f"{list(ctx)}::VARCHAR[]"
+        for a in cols:
+            if a not in ctx:
+                parts.append(f"SELECT 'ofd' AS kind, {listed} AS context, NULL::VARCHAR AS l, '{a}' AS r, false AS down, NOT EXISTS (SELECT 1 FROM {table} s JOIN {table} t ON {same} AND s.{a} < t.{a}) AS ok")
+        for a, b in combinations([c for c in cols if c not in ctx], 2):
+            for down in (False, True):
+                parts.append(f"SELECT 'oc', {listed}, '{a}', '{b}', {str(down).lower()}, NOT EXISTS (SELECT 1 FROM {table} s JOIN {table} t ON {same} AND s.{a} < t.{a} AND s.{b} {'<' if down else '>'} t.{b})")
+    return f"""WITH c AS ({' UNION ALL '.join(parts)}), f AS (SELECT * FROM c WHERE ok AND kind = 'ofd' AND NOT EXISTS (SELECT 1 FROM c d WHERE d.ok AND d.kind = 'ofd' AND d.r = c.r AND len(d.context) < len(c.context) AND list_has_all(c.context, d.context))),
+o AS (SELECT * FROM c WHERE ok AND kind = 'oc' AND NOT EXISTS (SELECT 1 FROM f WHERE f.r IN (c.l, c.r) AND list_has_all(c.context, f.context)))
+SELECT kind, array_to_string(context, ',') AS context, l AS "left", r AS "right", down AS descending FROM (SELECT * FROM f UNION ALL SELECT * FROM o WHERE NOT EXISTS (
+SELECT 1 FROM o p WHERE p.l = o.l AND p.r = o.r AND p.down = o.down AND len(p.context) < len(o.context) AND list_has_all(o.context, p.context)))"""
+
+
+@query("od_discover_set_based", _set_based_sql("nation", NATION_FD))
 def od_discover_set_based(spark: SparkSession, d: str) -> DataFrame:
     return plain(order.mine_set_based(read(spark, d, "nation"), max_context=1))
 
 
+def _orders_sql(table: str, cols: Sequence[str]) -> str:
+    """Single columns x, y where a smaller x always means a smaller y."""
+    return " UNION ALL ".join(f"SELECT '{x}' AS lhs, '{y}' AS rhs WHERE NOT EXISTS (SELECT 1 FROM {table} s JOIN {table} t ON s.{x} < t.{x} AND s.{y} >= t.{y})" for x in cols for y in cols if x != y)
+
+
+@query("od_discover_list_region", _orders_sql("region", ("r_regionkey", "r_name")))
+def od_discover_list_region(spark: SparkSession, d: str) -> DataFrame:
+    return plain(order.mine_list_based(read(spark, d, "region"), ["r_regionkey", "r_name"], 1))
+
+
 @query("od_discover_list_based")
 def od_discover_list_based(spark: SparkSession, d: str) -> DataFrame:
     return plain(order.mine_list_based(read(spark, d, "nation"), ["n_nationkey", "n_name", "n_regionkey"], 2))
@@ -626,18 +665,24 @@ def _order_graphs(line: DataFrame) -> DataFrame:
 
 @query(
     "fsm_gspan",
-    """WITH l AS (SELECT DISTINCT l_orderkey AS o, l_returnflag || l_linestatus AS x FROM lineitem WHERE l_linenumber <= 3), n AS (SELECT count(DISTINCT l_orderkey) AS n FROM lineitem WHERE l_linenumber <= 3)
+    """WITH l AS (SELECT DISTINCT l_orderkey AS o, l_returnflag || l_linestatus AS x FROM lineitem), n AS (SELECT count(DISTINCT l_orderkey) AS n FROM lineitem)
 SELECT x AS leaf, count(*) AS support FROM l, n GROUP BY x, n.n HAVING count(*) >= ceil(0.2 * n.n - 1e-9)""",
 )
 def fsm_gspan(spark: SparkSession, d: str) -> DataFrame:
-    # Its SQL defines it over lines up to the third; fsm_gspan_deep reads whole orders.
-    found = graphs.frequent_subgraphs(_order_graphs(read(spark, d, "lineitem").where("l_linenumber <= 3")), 0.2, 1)
+    found = graphs.frequent_subgraphs(_order_graphs(read(spark, d, "lineitem")), 0.2, 1)
     return found.select(F.filter("labels", lambda x: x != "order")[0].alias("leaf"), "support")
 
 
-@query("fsm_gspan_deep")
+@query(
+    "fsm_gspan_deep",
+    """WITH l AS (SELECT l_orderkey AS o, l_returnflag || l_linestatus AS x, count(*) AS k FROM lineitem GROUP BY ALL), n AS (SELECT count(DISTINCT l_orderkey) AS n FROM lineitem),
+s AS (SELECT x || ',order' AS labels, count(*) AS support FROM l GROUP BY x
+UNION ALL SELECT a.x || ',' || b.x || ',order', count(*) FROM l a JOIN l b ON a.o = b.o AND (a.x < b.x OR a.x = b.x AND a.k > 1) GROUP BY a.x, b.x)
+SELECT labels, support FROM s, n WHERE support >= ceil(0.2 * n.n - 1e-9)""",
+)
 def fsm_gspan_deep(spark: SparkSession, d: str) -> DataFrame:
-    return plain(graphs.frequent_subgraphs(_order_graphs(read(spark, d, "lineitem")), 0.2, 2).select("code", "labels", "support"))
+    found = graphs.frequent_subgraphs(_order_graphs(read(spark, d, "lineitem")), 0.2, 2)
+    return plain(found.select(F.array_sort("labels").alias("labels"), "support"))
 
 
 @query("episodes_maxfem")
@@ -701,9 +746,25 @@ def stats_medians(spark: SparkSession, d: str) -> DataFrame:
     return stats.medians(read(spark, d, "lineitem"), ["l_quantity"])
 
 
-@query("stats_monotonicity", "SELECT 'o_orderkey' AS \"column\", 'ascending' AS kind")
+def _monotonicity_sql(column: str) -> str:
+    return f"""SELECT '{column}' AS "column", CASE WHEN up = 0 AND down = 0 THEN 'equal' WHEN down = 0 THEN 'ascending' WHEN up = 0 THEN 'descending' ELSE 'none' END AS kind FROM (
+SELECT count(*) FILTER (v > p) AS up, count(*) FILTER (v < p) AS down FROM (SELECT {column} AS v, lag({column}) OVER (ORDER BY o_orderkey) AS p FROM orders))"""
+
+
+@query("stats_monotonicity", " UNION ALL ".join(_monotonicity_sql(c) for c in ("o_orderkey", "o_totalprice")))
 def stats_monotonicity(spark: SparkSession, d: str) -> DataFrame:
-    return stats.monotonicity(read(spark, d, "orders"), "o_orderkey", ["o_orderkey"])
+    orders = read(spark, d, "orders")
+    return stats.monotonicity(orders, "o_orderkey", ["o_orderkey"]).unionByName(stats.monotonicity(orders, "o_totalprice", ["o_orderkey"]))
+
+
+@query(
+    "stats_moments_of_order",
+    """WITH m AS (SELECT avg(l_quantity) AS a, stddev_samp(l_quantity) AS s FROM lineitem)
+SELECT 'l_quantity' AS "column", round(avg(pow(l_quantity - a, 5)), 3) AS central_5, round(avg(pow((l_quantity - a) / s, 6)), 6) AS standardized_6 FROM lineitem, m""",
+)
+def stats_moments_of_order(spark: SparkSession, d: str) -> DataFrame:
+    found = stats.moments_of_order(read(spark, d, "lineitem"), {"central_5": (5, False), "standardized_6": (6, True)}, ["l_quantity"])
+    return found.select("column", F.round("central_5", 3).alias("central_5"), F.round("standardized_6", 6).alias("standardized_6"))
 
 
 @query(
@@ -771,12 +832,60 @@ def stats_diacritics(spark: SparkSession, d: str) -> DataFrame:
     return stats.diacritics(read(spark, d, "documents"), "text")
 
 
-@query("types_infer", "SELECT * FROM (VALUES ('n_nationkey', 'int'), ('n_name', 'string'), ('n_regionkey', 'int')) t(\"column\", kind)")
+_INT_FORM = "bool_and(regexp_full_match(CAST({0} AS VARCHAR), '[+-]?[0-9]{{1,19}}'))"
+
+
+@query("types_infer", " UNION ALL ".join(f"SELECT '{c}' AS \"column\", CASE WHEN {_INT_FORM.format(c)} THEN 'int' ELSE 'string' END AS kind FROM nation" for c in ("n_nationkey", "n_name", "n_regionkey")))
 def types_infer(spark: SparkSession, d: str) -> DataFrame:
     found = tables.infer_types(read(spark, d, "nation"))
     return spark.createDataFrame(list(found.items()), "column string, kind string")
 
 
+def _scratch(spark: SparkSession) -> str:
+    """A folder of its own that driver and executors share."""
+    return f"{(spark.conf.get('spark.checkpoint.dir', None) or tempfile.gettempdir() + '/checkpoints').rstrip('/')}/scratch-{uuid.uuid4().hex}"
+
+
+@query("csv_scan", "SELECT n_nationkey, n_name, n_regionkey FROM nation")
+def csv_scan(spark: SparkSession, d: str) -> DataFrame:
+    """nation through a CSV file with rows that are too short and too long, which a scan drops."""
+    line = F.concat_ws("|", "n_nationkey", "n_name", "n_regionkey")
+    lines = read(spark, d, "nation").select(F.explode(F.array(line, F.concat(line, F.lit("|more")), F.col("n_name"))).alias("value"))
+    path = _scratch(spark)
+    lines.write.text(path)
+    schema = "n_nationkey string, n_name string, n_regionkey string"
+    found = tables.cast_inferred(tables.read_csv(spark, path, "|", False, schema=schema))
+    return found.select(F.col("n_nationkey").cast("int"), "n_name", F.col("n_regionkey").cast("int"))
+
+
+@query("baskets_from_columns", "SELECT p_partkey AS tid, array_to_string(list_sort(list_distinct([p_brand, p_type, CAST(p_size AS VARCHAR)])), ',') AS items FROM part")
+def baskets_from_columns(spark: SparkSession, d: str) -> DataFrame:
+    rows = read(spark, d, "part").select("p_partkey", "p_brand", "p_type", F.col("p_size").cast("string"))
+    return plain(tables.baskets_from_columns(rows, "p_partkey"))
+
+
+@query("dot_round_trip", "SELECT r_regionkey AS id, 'region' AS label, r_name AS name, 0 AS edges FROM region UNION ALL SELECT n_nationkey + 1000, 'nation', n_name, 1 FROM nation")
+def dot_round_trip(spark: SparkSession, d: str) -> DataFrame:
+    """Vertices of the regions' and nations' graph, written as dot and read again, with the edges they start."""
+    vertices, edges = _graph(spark, d)
+    vertices, edges = vertices.where("label <> 'supplier'"), edges.where("label = 'in'")
+    vertices, edges = tables.parse_dot(spark, tables.format_dot(vertices, edges, directed=True))
+    out = edges.groupBy(F.col("src").alias("id")).agg(F.count("*").cast("int").alias("edges"))
+    return vertices.join(out, "id", "left").select(F.col("id").cast("int"), "label", F.col("attrs")["name"].alias("name"), F.coalesce("edges", F.lit(0)).alias("edges"))
+
+
+@query("gspan_round_trip", "SELECT CAST(n_regionkey AS BIGINT) AS graph_id, CAST(count(*) + 1 AS INTEGER) AS vertices, CAST(count(*) AS INTEGER) AS edges FROM nation GROUP BY 1")
+def gspan_round_trip(spark: SparkSession, d: str) -> DataFrame:
+    """A star of nations for each region, written as graph lines and read again."""
+    stars: dict[int, graphs.SmallGraph] = {}
+    for r in read(spark, d, "nation").orderBy("n_nationkey").collect():
+        star = stars.setdefault(r["n_regionkey"], graphs.SmallGraph({0: "region"}))
+        star.labels[len(star.labels)] = "nation"
+        star.edges.append((0, len(star.labels) - 1, "in"))
+    back = graphs.graph_frame(spark, graphs.parse_graphs(graphs.format_graphs(sorted(stars.items()))))
+    return back.select("graph_id", F.size("vertices").alias("vertices"), F.size("edges").alias("edges"))
+
+
 @query("baskets_from_rows", "SELECT l_orderkey AS tid, string_agg(DISTINCT CAST(l_suppkey AS VARCHAR), ',' ORDER BY CAST(l_suppkey AS VARCHAR)) AS items FROM lineitem GROUP BY 1")
 def baskets_from_rows(spark: SparkSession, d: str) -> DataFrame:
     return plain(tables.baskets_from_rows(read(spark, d, "lineitem"), "l_orderkey", "l_suppkey"))
@@ -811,12 +920,26 @@ def typo_mining(spark: SparkSession, d: str) -> DataFrame:
     return cleaning.typos(c, ["c_mktsegment"], "v").select(F.col("lhs.c_mktsegment").alias("segment"), "value", "n", "likely", "likely_n")
 
 
-@query("dedupe_pairs")
+@query(
+    "dedupe_pairs",
+    """WITH o AS (SELECT *, row_number() OVER (PARTITION BY p_brand ORDER BY p_type, p_partkey) AS k FROM part),
+p AS (SELECT a.p_partkey AS "first", b.p_partkey AS "second", CAST(a.p_type = b.p_type AS INTEGER) + CAST(a.p_size = b.p_size AS INTEGER) AS equal FROM o a JOIN o b ON a.p_brand = b.p_brand AND b.k - a.k BETWEEN 1 AND 2)
+SELECT "first", "second", equal FROM p WHERE equal >= 2""",
+)
 def dedupe_pairs(spark: SparkSession, d: str) -> DataFrame:
     return cleaning.duplicate_pairs(read(spark, d, "part"), "p_partkey", ["p_brand", "p_type"], ["p_type", "p_size"], 3, 2)
 
 
-@query("anomaly_lost_fds")
+def _lost_sql() -> str:
+    """Of single columns, as no column of nation is constant."""
+    pairs_ = [(x, a) for x in NATION_FD for a in NATION_FD if x != a]
+    bad = lambda t, x, a: f"(SELECT coalesce(sum(s * s - q) FILTER (nd > 1), 0)::DOUBLE / (sum(s) * (sum(s) - 1)) FROM (SELECT {x}, sum(c)::DOUBLE AS s, count(*) AS nd, sum(c * c)::DOUBLE AS q FROM (SELECT {x}, {a}, count(*) AS c FROM {t} GROUP BY ALL) GROUP BY {x}))"
+    return f"""WITH b AS (SELECT n_nationkey, CASE WHEN n_nationkey < 2 THEN 'SAME' ELSE n_name END AS n_name, CASE WHEN n_nationkey = 0 THEN 99 ELSE n_regionkey END AS n_regionkey FROM nation),
+c AS ({' UNION ALL '.join(f"SELECT '{x}' AS lhs, '{a}' AS rhs, {bad('nation', x, a)} AS was, {bad('b', x, a)} AS error" for x, a in pairs_)})
+SELECT lhs, rhs, round(error, 6) AS error FROM c WHERE was = 0 AND error > 0"""
+
+
+@query("anomaly_lost_fds", _lost_sql())
 def anomaly_lost_fds(spark: SparkSession, d: str) -> DataFrame:
     nation = read(spark, d, "nation")
     broken = nation.withColumn("n_regionkey", F.when(F.col("n_nationkey") == 0, 99).otherwise(F.col("n_regionkey"))).withColumn("n_name", F.when(F.col("n_nationkey") < 2, "SAME").otherwise(F.col("n_name")))

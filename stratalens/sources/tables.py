@@ -21,14 +21,17 @@ TYPE_PATTERNS = (
 _SPARK_TYPE = {"int": "bigint", "bigint": "decimal(38,0)", "double": "double", "bool": "boolean", "date": "date"}
 
 
-def read_csv(spark: SparkSession, path: str, sep: str = ",", header: bool = True, infer: bool = False) -> DataFrame:
-    """A CSV file as text columns, named "0", "1", ... without a header; NULL is null and empty stays empty.
+def read_csv(spark: SparkSession, path: str, sep: str = ",", header: bool = True, infer: bool = False, schema: str | None = None) -> DataFrame:
+    """A CSV file as text columns, named "0", "1", ... without a header or a schema; NULL is null and empty stays empty.
 
-    Rows of the wrong width are dropped. infer casts each column by infer_types().
+    Rows of the wrong width are dropped; without a schema, the first row's width
+    counts. infer casts each column by infer_types().
     """
     reader = spark.read.option("sep", sep).option("header", header).option("quote", '"').option("escape", '"').option("mode", "DROPMALFORMED")
-    df = reader.option("nullValue", "NULL").option("emptyValue", "").csv(path)
-    if not header:
+    reader = reader.option("nullValue", "NULL").option("emptyValue", "")
+    # Whole rows are asked for: a scan that prunes columns would not see a row's width.
+    df = (reader.schema(schema) if schema else reader).option("columnPruning", "false").csv(path)
+    if not header and not schema:
         df = df.toDF(*[str(i) for i in range(len(df.columns))])
     return cast_inferred(df) if infer else df
 
