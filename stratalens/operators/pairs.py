@@ -7,10 +7,13 @@ the size of a join group by nature.
 
 from __future__ import annotations
 
+import math
 import operator
 import re
+from collections import Counter
 from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass
+from functools import reduce
 from itertools import combinations
 
 import numpy as np
@@ -155,24 +158,61 @@ def _distance(df: DataFrame, column: str) -> Callable[[Column, Column], Column]:
 Limits = Mapping[str, tuple[float, float]]
 
 
-def _distance_classes(df: DataFrame, limits: Mapping[str, Sequence[tuple[float, float]]], metrics: Mapping[str, Callable] | None = None) -> DataFrame:
-    """(bits, n): unordered pairs of rows by which of the intervals hold; equal rows are paired by their counts."""
+_WORD = 62
+
+
+def _flags(conditions: Sequence[Column]) -> list[Column]:
+    """Conditions as bits of as many longs b0, b1, ... as they need."""
+    out = []
+    for at in range(0, max(1, len(conditions)), _WORD):
+        bits = F.lit(0).cast("long")
+        for i, c in enumerate(conditions[at : at + _WORD]):
+            bits = bits + F.when(c, F.lit(1 << i)).otherwise(0).cast("long")
+        out.append(bits.alias(f"b{at // _WORD}"))
+    return out
+
+
+def _by_flags(pairs: DataFrame, conditions: Sequence[Column], n: Column) -> list[tuple[int, int]]:
+    """(bits, pairs) of all combinations of conditions that some pair has."""
+    flags = _flags(conditions)
+    names = [f"b{i}" for i in range(len(flags))]
+    found = pairs.select(*flags, n.alias("n")).groupBy(*names).agg(F.sum("n").alias("n")).where("n > 0").collect()
+    return [(sum(r[b] << _WORD * i for i, b in enumerate(names)), r["n"]) for r in found]
+
+
+def _distinct_rows(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """(v, n, k): distinct rows of some columns as a struct, how often each occurs, and a hash that orders them."""
+    v = F.struct(*[F.col(f"`{c}`") for c in columns])
+    return df.groupBy(v.alias("v")).agg(F.count("*").alias("n")).withColumn("k", F.xxhash64("v"))
+
+
+def _near(rows: DataFrame, column: str, kind: T.DataType, width: float) -> DataFrame:
+    """Pairs (a, b) of distinct rows whose values of a number or date column are at most `width` apart: bands of that width join their neighbours."""
+    cell = F.col(f"v.`{column}`")
+    cell = F.datediff(cell, F.lit("1970-01-01")) if isinstance(kind, (T.DateType, T.TimestampType)) else cell.cast("double")
+    band = F.floor(cell / F.lit(float(width))) if width > 0 else cell
+    whole = F.struct(*rows.columns)
+    # Two bands to each side, as quotients are rounded.
+    near = F.explode(F.sequence(band - 2, band + 2)) if width > 0 else band
+    return rows.where(cell.isNotNull()).select(whole.alias("a"), near.alias("band")).join(rows.select(whole.alias("b"), band.alias("band")), "band").drop("band")
+
+
+def _distance_pairs(df: DataFrame, limits: Mapping[str, Sequence[tuple[float, float]]], metrics: Mapping[str, Callable] | None = None, near: tuple[str, float] | None = None) -> tuple[DataFrame, list[Column], Column]:
+    """Unordered pairs of rows, which of the intervals hold, and how often the pair occurs; equal rows are paired by their counts.
+
+    near: only pairs whose values of that column lie within that distance, found without pairing all rows.
+    """
     cols = list(limits)
-    rows = df.groupBy(*[F.col(f"`{c}`") for c in cols]).agg(F.count("*").alias("c"))
-    rows = rows.withColumn("k", F.xxhash64(*[F.col(f"`{c}`") for c in cols]))
-    a = rows.select(F.struct(*rows.columns).alias("a"))
-    b = rows.select(F.struct(*rows.columns).alias("b"))
-    own = F.col("a.k") == F.col("b.k")
-    pairs = a.join(b, F.col("a.k") <= F.col("b.k"))
-    n = F.when(own, F.expr("a.c * (a.c - 1) div 2")).otherwise(F.col("a.c") * F.col("b.c"))
-    bits, at = F.lit(0).cast("long"), 0
+    rows = _distinct_rows(df, cols)
+    both = _near(rows, near[0], df.schema[near[0]].dataType, near[1]) if near else rows.select(F.struct(*rows.columns).alias("a")).join(rows.select(F.struct(*rows.columns).alias("b")))
+    pairs = both.where(F.col("a.k") <= F.col("b.k"))
+    n = F.when(F.col("a.k") == F.col("b.k"), F.expr("a.n * (a.n - 1) div 2")).otherwise(F.col("a.n") * F.col("b.n"))
+    held = []
     for c in cols:
         custom = (metrics or {}).get(c)
-        d = (similarity.pairwise(custom) if custom else _distance(df, c))(F.col(f"a.`{c}`"), F.col(f"b.`{c}`"))
-        for low, high in limits[c]:
-            bits = bits + F.when((d >= low) & (d <= high), F.lit(1 << at)).otherwise(0).cast("long")
-            at += 1
-    return pairs.select(bits.alias("bits"), n.alias("n")).groupBy("bits").agg(F.sum("n").alias("n")).where("n > 0")
+        d = (similarity.pairwise(custom) if custom else _distance(df, c))(F.col(f"a.v.`{c}`"), F.col(f"b.v.`{c}`"))
+        held += [(d >= low) & (d <= high) for low, high in limits[c]]
+    return pairs, held, n
 
 
 def verify_dd(df: DataFrame, lhs: Limits, rhs: Limits, metrics: Mapping[str, Callable] | None = None) -> DataFrame:
@@ -186,14 +226,14 @@ def verify_dd(df: DataFrame, lhs: Limits, rhs: Limits, metrics: Mapping[str, Cal
             pick(df, [c])
             limits.setdefault(c, []).append(interval)
             where.append((c, len(limits[c]) - 1, left))
-    base, at = {}, 0
-    for c, intervals in limits.items():
-        base[c] = at
-        at += len(intervals)
-    mask = lambda left: sum(1 << (base[c] + i) for c, i, is_left in where if is_left == left)
-    on_left = F.col("bits").bitwiseAND(F.lit(mask(True))) == mask(True)
-    bad = on_left & (F.col("bits").bitwiseAND(F.lit(mask(False))) != mask(False))
-    got = _distance_classes(df, limits, metrics).agg(F.coalesce(F.sum(F.when(on_left, F.col("n"))), F.lit(0)).alias("lhs_pairs"), F.coalesce(F.sum(F.when(bad, F.col("n"))), F.lit(0)).alias("violating_pairs"))
+    # Numbers and dates of the left side bound which rows can be near; without any, all pairs are compared.
+    banded = [(c, high) for c, (_, high) in lhs.items() if c not in (metrics or {}) and not isinstance(df.schema[c].dataType, T.StringType) and math.isfinite(high)]
+    pairs, held, n = _distance_pairs(df, limits, metrics, banded[0] if banded else None)
+    place = {(c, i): k for k, (c, i) in enumerate((c, i) for c, intervals in limits.items() for i in range(len(intervals)))}
+    side_holds = lambda left: reduce(lambda x, y: x & y, (F.coalesce(held[place[c, i]], F.lit(False)) for c, i, is_left in where if is_left == left), F.lit(True))
+    found = pairs.select(side_holds(True).alias("on_left"), side_holds(False).alias("on_right"), n.alias("n"))
+    bad = F.col("on_left") & ~F.col("on_right")
+    got = found.agg(F.coalesce(F.sum(F.when(F.col("on_left"), F.col("n"))), F.lit(0)).alias("lhs_pairs"), F.coalesce(F.sum(F.when(bad, F.col("n"))), F.lit(0)).alias("violating_pairs"))
     error = F.when(F.col("lhs_pairs") > 0, F.col("violating_pairs") / F.col("lhs_pairs")).otherwise(0.0)
     return got.select((F.col("violating_pairs") == 0).alias("holds"), error.alias("error"), "lhs_pairs", "violating_pairs")
 
@@ -205,11 +245,10 @@ def mine_dds(df: DataFrame, limits: Mapping[str, Sequence[tuple[float, float]]],
     wider or smaller ones implies the same right side, and of right intervals
     the narrowest.
     """
-    require(sum(len(v) for v in limits.values()) <= 62, "at most 62 intervals")
     cols = list(limits)
     index = [(c, i) for c in cols for i in range(len(limits[c]))]
     bit = {ci: 1 << k for k, ci in enumerate(index)}
-    classes = [(r["bits"], r["n"]) for r in _distance_classes(df, limits).collect()]
+    classes = _by_flags(*_distance_pairs(df, limits))
     inside = lambda a, b: b[0] <= a[0] and a[1] <= b[1]
     out: list[tuple[dict, str, tuple]] = []
     for size in range(1, max_lhs + 1):
@@ -295,13 +334,18 @@ def verify_md(left: DataFrame, right: DataFrame | None, lhs: Sequence[Match], rh
     return Verdict(summary, pairs.where(F.col("sim") < rhs.bound).drop("ln", "rn"))
 
 
-def mine_mds(left: DataFrame, right: DataFrame | None, matches: Sequence[Match], bounds: Sequence[float] = (0.5, 0.75, 1.0), min_support: int = 1, max_lhs: int = 2) -> DataFrame:
+def mine_mds(left: DataFrame, right: DataFrame | None, matches: Sequence[Match], bounds: Sequence[float] = (0.5, 0.75, 1.0), min_support: int = 1, max_lhs: int = 2, prune_nondisjoint: bool = True, level_definition: str = "cardinality") -> DataFrame:
     """Matching dependencies over the column matches: rows (lhs map, rhs, bound, support).
 
     Pairs of distinct rows are reduced to the vector of bound levels reached;
     the search runs on those vectors. Kept are, per right side, the highest
-    bound and the most general left side.
+    bound and the most general left side. Without prune_nondisjoint, a right
+    match may stand on the left too, with a lower bound. level_definition is
+    the order of the search: by number of left matches ('cardinality') or by
+    their levels together ('lattice'); the rules kept are the same. Matches of
+    the same columns by several measures are told apart by the measure's name.
     """
+    require(level_definition in ("cardinality", "lattice"), "level_definition must be cardinality or lattice")
     right = left if right is None else right
     cols_l, cols_r = list(dict.fromkeys(m.left for m in matches)), list(dict.fromkeys(m.right for m in matches))
     a = left.groupBy(*[F.col(f"`{c}`").alias(f"l_{c}") for c in cols_l]).agg(F.count("*").alias("ln"))
@@ -316,24 +360,30 @@ def mine_mds(left: DataFrame, right: DataFrame | None, matches: Sequence[Match],
         names.append(f"v{i}")
     classes = [(tuple(r[n] for n in names), r["n"]) for r in pairs.groupBy(*names).agg(F.sum(F.col("ln") * F.col("rn")).alias("n")).collect()]
     levels = sorted(bounds)
-    label = lambda i: f"{matches[i].left}~{matches[i].right}"
-    out: list[tuple[dict, int, int, int]] = []
+    same = Counter((m.left, m.right) for m in matches)
+    measure = lambda m: m.measure if isinstance(m.measure, str) else getattr(m.measure, "__name__", "custom")
+    label = lambda i: f"{matches[i].left}~{matches[i].right}" + (f":{measure(matches[i])}" if same[matches[i].left, matches[i].right] > 1 else "")
+    sides: list[dict] = []
     for size in range(max_lhs + 1):
         for group in combinations(range(len(matches)), size):
             choices: list[dict] = [{}]
             for i in group:
                 choices = [{**c, i: v} for c in choices for v in range(1, len(levels) + 1)]
-            for lhs in choices:
-                met = [(v, n) for v, n in classes if all(v[i] >= k for i, k in lhs.items())]
-                support = sum(n for _, n in met)
-                if support < min_support:
-                    continue
-                for r in range(len(matches)):
-                    if r in lhs:
-                        continue
-                    top = min(v[r] for v, _ in met)
-                    if top and not any(orr == r and ot >= top and all(lhs.get(i, 0) >= k for i, k in ol.items()) for ol, orr, ot, _ in out):
-                        out.append((lhs, r, top, support))
+            sides += choices
+    if level_definition == "lattice":
+        sides.sort(key=lambda lhs: sum(lhs.values()))
+    out: list[tuple[dict, int, int, int]] = []
+    for lhs in sides:
+        met = [(v, n) for v, n in classes if all(v[i] >= k for i, k in lhs.items())]
+        support = sum(n for _, n in met)
+        if support < min_support or not met:
+            continue
+        for r in range(len(matches)):
+            if r in lhs and prune_nondisjoint:
+                continue
+            top = min(v[r] for v, _ in met)
+            if top > lhs.get(r, 0) and not any(orr == r and ot >= top and all(lhs.get(i, 0) >= k for i, k in ol.items()) for ol, orr, ot, _ in out):
+                out.append((lhs, r, top, support))
     rows = [({label(i): levels[k - 1] for i, k in lhs.items()}, label(r), levels[t - 1], n) for lhs, r, t, n in out]
     return left.sparkSession.createDataFrame(rows, "lhs map<string,double>, rhs string, bound double, support long")
 
@@ -417,8 +467,8 @@ def predicate_space(df: DataFrame, columns: Sequence[str], shared: float = 0.3,
     return out
 
 
-def mine_dcs(df: DataFrame, columns: Sequence[str], threshold: float = 0.0, shared: float = 0.3, comparable: float = 0.1, max_predicates: int = 3) -> DataFrame:
-    """Minimal denial constraints of up to `max_predicates` two-tuple predicates: rows (constraint, violating_pairs).
+def mine_dcs(df: DataFrame, columns: Sequence[str], threshold: float = 0.0, shared: float = 0.3, comparable: float = 0.1, max_predicates: int | None = 3) -> DataFrame:
+    """Minimal denial constraints of up to `max_predicates` (None: any number of) two-tuple predicates: rows (constraint, violating_pairs).
 
     Ordered row pairs become bit sets of the predicates they satisfy; equal
     rows are paired by count. A constraint is reported if at most `threshold`
@@ -426,20 +476,17 @@ def mine_dcs(df: DataFrame, columns: Sequence[str], threshold: float = 0.0, shar
     of a constraint and its mirror image one.
     """
     preds = predicate_space(df, columns, shared, comparable)
-    require(len(preds) <= 62, "too many predicates; name fewer columns")
     cols = pick(df, columns)
-    rows = df.groupBy(*[F.col(f"`{c}`") for c in cols]).agg(F.count("*").alias("c")).withColumn("k", F.xxhash64(*[F.col(f"`{c}`") for c in cols]))
+    rows = _distinct_rows(df, cols)
     a, b = rows.select(F.struct(*rows.columns).alias("t")), rows.select(F.struct(*rows.columns).alias("s"))
-    n = F.when(F.col("t.k") == F.col("s.k"), F.expr("t.c * (t.c - 1)")).otherwise(F.col("t.c") * F.col("s.c"))
-    bits = F.lit(0).cast("long")
-    for i, (x, op, y) in enumerate(preds):
-        bits = bits + F.when(_OPS[op](F.col(f"t.`{x}`"), F.col(f"s.`{y}`")), F.lit(1 << i)).otherwise(0).cast("long")
-    evidence = [(r["bits"], r["n"]) for r in a.join(b).select(bits.alias("bits"), n.alias("n")).groupBy("bits").agg(F.sum("n").alias("n")).where("n > 0").collect()]
+    n = F.when(F.col("t.k") == F.col("s.k"), F.expr("t.n * (t.n - 1)")).otherwise(F.col("t.n") * F.col("s.n"))
+    evidence = _by_flags(a.join(b), [_OPS[op](F.col(f"t.v.`{x}`"), F.col(f"s.v.`{y}`")) for x, op, y in preds], n)
     total = sum(k for _, k in evidence)
     mirrored = {i: preds.index((y, _FLIPPED[op], x)) if (y, _FLIPPED[op], x) in preds else None for i, (x, op, y) in enumerate(preds)}
     found: list[frozenset] = []
     out = []
-    for size in range(1, max_predicates + 1):
+    operands = len({(x, y) for x, _, y in preds})
+    for size in range(1, min(operands, max_predicates or operands) + 1):
         for group in combinations(range(len(preds)), size):
             chosen = frozenset(group)
             if len({(preds[i][0], preds[i][2]) for i in group}) < size or any(f <= chosen for f in found):
