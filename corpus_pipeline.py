@@ -51,7 +51,8 @@ STAGES = [
     ("best_fit_packing", best_fit_packing),
 ]
 
-#: Trained weights, hashed draws and tokenizer ids are beyond SQL; tests compare run() with a plain version.
+#: Trained weights, hashed draws and tokenizer ids are beyond SQL; tests compare the filtering stages with plain versions
+#: and the packed tokens with the mix.
 ORACLE_SQL = None
 
 

@@ -17,12 +17,22 @@ TABLE = [
     ("1", "3", "3", "0", "9", "6"), ("1", "3", "3", "0", "9", "6"), ("1", "3", None, "999", "-", "7"),
     ("1", "4", "4", "hjkl", "555", "8"), ("1", "4", "4", "hjkl", "555", "8"), ("1", "4", "abc", "hjkl", "555", "9"),
 ]
+#: Fixed rows.
 TENNIS = [
-    row.split(",") for row in (
-        "sunny,hot,high,false,no sunny,hot,high,true,no overcast,hot,high,false,yes rainy,mild,high,false,yes rainy,cool,normal,false,yes "
-        "rainy,cool,normal,true,no overcast,cool,normal,true,yes sunny,mild,high,false,no sunny,cool,normal,false,yes rainy,mild,normal,false,yes "
-        "sunny,mild,normal,true,yes overcast,mild,high,true,yes overcast,hot,normal,false,yes rainy,mild,high,true,no"
-    ).split()
+    ("sunny", "hot", "high", "false", "no"),
+    ("sunny", "hot", "high", "true", "no"),
+    ("overcast", "hot", "high", "false", "yes"),
+    ("rainy", "mild", "high", "false", "yes"),
+    ("rainy", "cool", "normal", "false", "yes"),
+    ("rainy", "cool", "normal", "true", "no"),
+    ("overcast", "cool", "normal", "true", "yes"),
+    ("sunny", "mild", "high", "false", "no"),
+    ("sunny", "cool", "normal", "false", "yes"),
+    ("rainy", "mild", "normal", "false", "yes"),
+    ("sunny", "mild", "normal", "true", "yes"),
+    ("overcast", "mild", "high", "true", "yes"),
+    ("overcast", "hot", "normal", "false", "yes"),
+    ("rainy", "mild", "high", "true", "no"),
 ]
 
 

@@ -49,6 +49,7 @@ def test_list_orders(spark):
     assert order.orders(df, ["a"], ["c"]).first()["swap"]
 
 
+#: Fixed rows.
 DC_ROWS = [("NewYork", 3000, 0.2), ("NewYork", 4000, 0.25), ("NewYork", 5000, 0.3), ("Wisconsin", 5000, 0.15), ("Wisconsin", 6000, 0.2), ("Wisconsin", 4000, 0.1), ("Texas", 1000, 0.15), ("Texas", 2000, 0.25), ("Texas", 3000, 0.3), ("Texas", 3000, 0.31)]
 
 
@@ -102,6 +103,7 @@ def test_metric(spark):
     assert pairs.verify_metric(df, ["k"], ["x"], 3).summary.first()["holds"]
 
 
+#: Fixed rows.
 BOOK = [(1, "Bread"), (1, "Butter"), (3, "Cheese"), (2, "Eggs"), (1, "Milk"), (2, "Milk"), (2, "Yogurt"), (3, "Bread"), (3, "Eggs"), (3, "Milk"), (4, "Eggs"), (4, "Milk"), (4, "Yogurt"), (5, "Cheese"), (5, "Milk"), (5, "Yogurt")]
 
 
@@ -173,6 +175,7 @@ def test_deep_subgraphs_read_whole_orders(spark, tmp_path):
 
 
 def test_episodes(spark):
+    # Fixed lines.
     lines = ["1 3|1", "1|2", "1 2|3", "1|6", "1 2|7", "3|8", "2|9", "4|11"]
     seq = tables.sequence_from_lines(spark, lines)
     data = {int(x.split("|")[1]): set(map(int, x.split("|")[0].split())) for x in lines}
