@@ -15,6 +15,10 @@ from ..plans.options import pick, require, share
 from .fd import Verdict
 
 
+#: Right lists judged by one job.
+_AT_ONCE = 50
+
+
 def _ctx(context: list[str]) -> Column:
     return F.struct(*[F.col(f"`{c}`") for c in context]) if context else F.struct(F.lit(0).alias("all"))
 
@@ -33,6 +37,27 @@ def swaps(df: DataFrame, context: Sequence[str], left: str, right: str, descendi
     return ext.withColumn("before", F.max("hi").over(w)).where("before > lo").select("context", "left", F.col("lo.v").alias("lo"), F.col("before.v").alias("before"))
 
 
+def _varying(df: DataFrame, context: Sequence[str], columns: Sequence[str]) -> set[str]:
+    """Columns that have several values in some group of the context, in one job; a null is a value."""
+    cell = lambda c: F.struct(F.col(f"`{c}`").isNotNull().alias("some"), F.col(f"`{c}`").alias("v"))
+    groups = df.groupBy(_ctx(list(context)).alias("context")).agg(*[(F.min(cell(c)) != F.max(cell(c))).alias(f"d{i}") for i, c in enumerate(columns)])
+    found = groups.agg(*[F.max(f"d{i}").alias(f"d{i}") for i in range(len(columns))]).first()
+    return {c for i, c in enumerate(columns) if found[f"d{i}"]}
+
+
+def _swapping(df: DataFrame, context: Sequence[str], left: str, rights: Sequence[str]) -> set[tuple[str, bool]]:
+    """(right, descending) for which swaps() has a row, in one job for all of them."""
+    cell = lambda c: F.struct(F.col(f"`{c}`").isNotNull().alias("some"), F.col(f"`{c}`").alias("v"))
+    ends = [x for i, c in enumerate(rights) for x in (F.min(cell(c)).alias(f"lo{i}"), F.max(cell(c)).alias(f"hi{i}"))]
+    ext = df.groupBy(_ctx(list(context)).alias("context"), F.col(f"`{left}`").alias("left")).agg(*ends)
+    over = lambda by: Window.partitionBy("context").orderBy(by).rowsBetween(Window.unboundedPreceding, -1)
+    seen = {False: over(F.col("left").asc()), True: over(F.col("left").desc())}
+    flags = {(c, down): f"s{i}{int(down)}" for i, c in enumerate(rights) for down in seen}
+    rows = ext.select(*[(F.max(f"hi{i}").over(seen[down]) > F.col(f"lo{i}")).alias(flags[c, down]) for i, c in enumerate(rights) for down in seen])
+    found = rows.agg(*[F.max(name).alias(name) for name in flags.values()]).first()
+    return {key for key, name in flags.items() if found[name]}
+
+
 def longest_kept(values: np.ndarray) -> np.ndarray:
     """Positions of a longest non-decreasing subsequence, by patience sorting."""
     tails: list[int] = []
@@ -118,26 +143,29 @@ def mine_set_based(df: DataFrame, columns: Sequence[str] | None = None, max_cont
     try:
         for size in range(max_context + 1):
             for ctx in map(frozenset, combinations(cols, size)):
-                for a in cols:
-                    if a in ctx or any(k <= ctx for k in constant[a]):
-                        continue
-                    if ofd_removal_set(cached, "_id", sorted(ctx), a).count() <= error * n:
-                        constant[a].append(ctx)
-                        out.append(("ofd", sorted(ctx), None, a, False))
+                open_ = [a for a in cols if a not in ctx and not any(k <= ctx for k in constant[a])]
+                if error == 0:
+                    varying = _varying(cached, sorted(ctx), open_) if open_ else set()
+                    held = [a for a in open_ if a not in varying]
+                else:
+                    held = [a for a in open_ if ofd_removal_set(cached, "_id", sorted(ctx), a).count() <= error * n]
+                for a in held:
+                    constant[a].append(ctx)
+                    out.append(("ofd", sorted(ctx), None, a, False))
             for ctx in map(frozenset, combinations(cols, size)):
-                for a, b in combinations(cols, 2):
-                    if {a, b} & ctx or any(k <= ctx for c in (a, b) for k in constant[c]):
-                        continue
-                    for down in (False, True):
-                        if any(k <= ctx for k in compatible.get((a, b, down), [])):
-                            continue
-                        if error == 0:
-                            ok = not swaps(cached, sorted(ctx), a, b, down).take(1)
-                        else:
-                            ok = oc_removal_set(cached, "_id", sorted(ctx), a, b, down).count() <= error * n
-                        if ok:
-                            compatible.setdefault((a, b, down), []).append(ctx)
-                            out.append(("oc", sorted(ctx), a, b, down))
+                pairs = [(a, b) for a, b in combinations(cols, 2) if not {a, b} & ctx and not any(k <= ctx for c in (a, b) for k in constant[c])]
+                todo = [(a, b, down) for a, b in pairs for down in (False, True) if not any(k <= ctx for k in compatible.get((a, b, down), []))]
+                if error == 0:
+                    by: dict[str, list[str]] = {}
+                    for a, b, _ in todo:
+                        by.setdefault(a, []).append(b)
+                    swapped = {(a, *key) for a, rights in by.items() for key in _swapping(cached, sorted(ctx), a, list(dict.fromkeys(rights)))}
+                    fine = [t for t in todo if t not in swapped]
+                else:
+                    fine = [t for t in todo if oc_removal_set(cached, "_id", sorted(ctx), *t).count() <= error * n]
+                for t in fine:
+                    compatible.setdefault(t, []).append(ctx)
+                    out.append(("oc", sorted(ctx), *t))
     finally:
         cached.unpersist()
     return df.sparkSession.createDataFrame(out, "kind string, context array<string>, left string, right string, descending boolean")
@@ -151,14 +179,23 @@ def orders(df: DataFrame, left: Sequence[str], right: Sequence[str]) -> DataFram
     in the lists are left out.
     """
     x, y = pick(df, left, "left"), pick(df, right, "right")
-    s = lambda cols: F.struct(*[F.col(f"`{c}`") for c in cols])
     whole = F.lit(True)
     for c in {*x, *y}:
         whole = whole & F.col(f"`{c}`").isNotNull()
-    ext = df.where(whole).groupBy(s(x).alias("x")).agg(F.min(s(y)).alias("lo"), F.max(s(y)).alias("hi"))
+    found = _ordered(df.where(whole), x, [y])
+    a, b = F.col("swaps0"), F.col("merges0")
+    return found.select(((a == 0) & (b == 0)).alias("valid"), (a > 0).alias("swap"), (b > 0).alias("merge"))
+
+
+def _ordered(df: DataFrame, left: Sequence[str], rights: Sequence[Sequence[str]]) -> DataFrame:
+    """One row of swaps<i> and merges<i>: values of the left list that break its order of the i-th right list."""
+    s = lambda cols: F.struct(*[F.col(f"`{c}`") for c in cols])
+    ends = [x for i, y in enumerate(rights) for x in (F.min(s(y)).alias(f"lo{i}"), F.max(s(y)).alias(f"hi{i}"))]
+    ext = df.groupBy(s(left).alias("x")).agg(*ends)
     w = Window.orderBy("x").rowsBetween(Window.unboundedPreceding, -1)
-    seen = ext.withColumn("before", F.max("hi").over(w))
-    return seen.agg(F.count_if(F.col("before") > F.col("lo")).alias("a"), F.count_if(F.col("before") == F.col("lo")).alias("b")).select(((F.col("a") == 0) & (F.col("b") == 0)).alias("valid"), (F.col("a") > 0).alias("swap"), (F.col("b") > 0).alias("merge"))
+    seen = ext.select(*[x for i in range(len(rights)) for x in (F.col(f"lo{i}"), F.max(f"hi{i}").over(w).alias(f"before{i}"))])
+    before, lo = (lambda i: F.col(f"before{i}")), (lambda i: F.col(f"lo{i}"))
+    return seen.agg(*[x for i in range(len(rights)) for x in (F.count_if(before(i) > lo(i)).alias(f"swaps{i}"), F.count_if(before(i) == lo(i)).alias(f"merges{i}"))])
 
 
 def mine_list_based(df: DataFrame, columns: Sequence[str] | None = None, max_size: int = 2) -> DataFrame:
@@ -178,15 +215,19 @@ def mine_list_based(df: DataFrame, columns: Sequence[str] | None = None, max_siz
                 if ln > max_size or rn > max_size:
                     continue
                 for x in permutations(cols, ln):
+                    open_ = []
                     for y in permutations([c for c in cols if c not in x], rn):
                         prefixes = [state.get((x, y[:i])) for i in range(1, rn)]
                         shorter = [state.get((x[:i], y)) for i in range(1, ln)]
-                        if any(p in ("valid", "swap") for p in prefixes) or any(p in ("valid", "swap") for p in shorter):
-                            continue
-                        r = orders(whole, x, y).first()
-                        state[x, y] = "valid" if r["valid"] else "swap" if r["swap"] else "merge"
-                        if r["valid"]:
-                            out.append((list(x), list(y)))
+                        if not any(p in ("valid", "swap") for p in (*prefixes, *shorter)):
+                            open_.append(y)
+                    for at in range(0, len(open_), _AT_ONCE):
+                        some = open_[at : at + _AT_ONCE]
+                        r = _ordered(whole, x, some).first()
+                        for i, y in enumerate(some):
+                            state[x, y] = "swap" if r[f"swaps{i}"] else "merge" if r[f"merges{i}"] else "valid"
+                            if state[x, y] == "valid":
+                                out.append((list(x), list(y)))
     finally:
         whole.unpersist()
     return df.sparkSession.createDataFrame(out, "lhs array<string>, rhs array<string>")
