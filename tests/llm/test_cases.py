@@ -133,3 +133,20 @@ def test_tokens_of_texts_without_words():
     token, context, n = pitman_yor._tokens(pa.chunked_array([pa.array(["", None, " \n", "a"])]))
     assert n.tolist() == [1, 1, 1, 2] and collections.Counter(token.tolist())[int(pitman_yor._END)] == 4
     assert (context[:3] == pitman_yor._START).all()
+
+
+@pytest.mark.parametrize("representatives", [1, 16])
+def test_blocks_lose_no_link(spark, monkeypatch, representatives):
+    """A chain in which only neighbours link, and texts that share shingles with it without linking, in blocks of a few."""
+    from test_dedup import brute_components
+
+    monkeypatch.setattr(jaccard, "_REPRESENTATIVES", representatives)
+    word = [f"c{i}" for i in range(600)]
+    rows = [(i, " ".join(word[3 * i : 3 * i + 100])) for i in range(40)]
+    rows += [(100 + i, " ".join([*word[12 * i : 12 * i + 60], *(f"own{i}x{j}" for j in range(40))])) for i in range(12)]
+    rows += [(200 + i, " ".join([*word[:98], f"near{i}"])) for i in range(15)]
+    random.Random(1).shuffle(rows)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((False, r["doc_id"], r["n_shingles"], r["component_id"]) for r in jaccard.near_duplicates(df, block_rows=6).collect())
+    assert got == brute_components(rows, 3, 90)
+    assert len({c for *_, c in got}) > 3
