@@ -8,6 +8,7 @@ pattern's edges, with labels filtered before each join.
 from __future__ import annotations
 
 import math
+import re
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
 from functools import lru_cache
@@ -45,6 +46,41 @@ class GFD:
     conclusions: tuple[Literal, ...] = ()
 
 
+_ATTRIBUTE = re.compile(r"(\d+)\.([^\W\d]\w*)")
+
+
+def parse_gfd(text: str) -> GFD:
+    """A dependency: a line of premises, a line of conclusions, then its pattern as a dot graph.
+
+    Literals are apart by blanks: `0.name=1.name`, or `0.name=value` for a constant.
+    """
+    head, found, graph = text.partition("{")
+    lines = head.rsplit("\n", 1)[0].split("\n") if found else []
+    require(len(lines) == 2, "a dependency starts with a line of premises and one of conclusions")
+
+    def literals(line: str) -> tuple[Literal, ...]:
+        out = []
+        for item in line.split():
+            left, _, right = item.partition("=")
+            own, other = _ATTRIBUTE.fullmatch(left), _ATTRIBUTE.fullmatch(right)
+            require(own is not None and right != "", f"not a literal: {item}")
+            out.append(Literal(int(own[1]), own[2], *((int(other[1]), other[2]) if other else (-1, right))))
+        return tuple(out)
+
+    labels = {int(v): x.strip() for v, x in re.findall(r"^\s*(\d+)\s*\[\s*label\s*=\s*\"?([^\"\];,]*)", graph, re.M)}
+    edges = [(int(a), int(b), x.strip()) for a, b, x in re.findall(r"(\d+)\s*-[->]\s*(\d+)\s*(?:\[\s*label\s*=\s*\"?([^\"\];,]*))?", graph)]
+    require(sorted(labels) == list(range(len(labels))) and all(v in labels for a, b, _ in edges for v in (a, b)), "vertices must be numbered from 0")
+    return GFD(Pattern(tuple(labels[v] for v in sorted(labels)), tuple(edges)), literals(lines[0]), literals(lines[1]))
+
+
+def format_gfd(gfd: GFD) -> str:
+    """The text that parse_gfd() reads."""
+    literals = lambda items: " ".join(f"{x.vertex}.{x.attr}={x.value if x.other == -1 else f'{x.other}.{x.value}'}" for x in items)
+    vertices = [f"{v}[label={x}];" for v, x in enumerate(gfd.pattern.labels)]
+    edges = [f"{a}--{b} [label={x}];" for a, b, x in gfd.pattern.edges]
+    return "\n".join([literals(gfd.premises), literals(gfd.conclusions), "graph G {", *vertices, *edges, "}", ""])
+
+
 def embeddings(vertices: DataFrame, edges: DataFrame, pattern: Pattern, directed: bool = False, injective: bool = True) -> DataFrame:
     """Columns v0, v1, ... of vertex ids and a0, a1, ... of their attributes: every place the pattern occurs.
 
