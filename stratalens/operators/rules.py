@@ -200,7 +200,9 @@ def numeric_rules(
     text = [c for c in cols if c not in numeric]
     span = df.agg(F.count("*").alias("n"), *[f(F.col(f"`{c}`").cast("double")).alias(f"{p}{i}") for i, c in enumerate(numeric) for p, f in (("lo", F.min), ("hi", F.max))]).first()
     n = span["n"]
-    values = {c: [r[0] for r in df.groupBy(F.col(f"`{c}`").cast("string")).count().orderBy(F.desc("count")).limit(50).collect() if r[0] is not None] for c in text}
+    # A rule has no more support than a category in it, so only those above the minimum can matter: 1 / min_support at most.
+    common = lambda c: df.groupBy(F.col(f"`{c}`").cast("string").alias("v")).count().where((F.col("count") > min_support * n) & F.col("v").isNotNull())
+    values = {c: [r["v"] for r in common(c).orderBy(F.desc("count"), "v").collect()] for c in text}
     rng = np.random.default_rng(seed)
     size = 4 * len(cols) + 1
 
