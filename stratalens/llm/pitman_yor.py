@@ -6,17 +6,22 @@ of single words, whose base is uniform over the training vocabulary and one
 unknown word. A customer is an occurrence of a word after a context; a table
 sends one customer to the parent.
 
+The seating is sampled by Gibbs steps in blocks that don't depend on one
+another, so that all of a block may be drawn at once, wherever it lies:
+
+1. Each restaurant draws a gamma variate of strength / discount + its tables.
+   Given it, a table weighs the same whatever else the restaurant seats.
+2. The parent's own distribution is drawn given its seating: a gamma variate of
+   customers - discount * tables for each word, and a share of what the parent
+   left to its base, which is a Pitman-Yor process again.
+3. Given both, the tables of each (context, word) are drawn, then those of each
+   word in the parent.
+
 Counts live in buckets by word, so a word's tables in all contexts, and with
-them its customers in the parent, lie in one place. A Gibbs sweep redraws the
-number of tables of each (context, word) given all others' from the seating
-distribution; what a sweep needs from other buckets are table totals per
-context. These are added up between sweeps in buckets by context, which send
-every bucket of words the totals of its own contexts. Predictive probabilities
-are averaged over the kept sweeps.
-
-Up to EXACT customers, tables are drawn from the exact conditional with
-generalised Stirling numbers; beyond, from the limit those numbers approach, a
-negative binomial distribution.
+them its customers in the parent, lie in one place. What a sweep needs from
+other buckets are the contexts' variates: bucket of contexts add up tables and
+answer every bucket of words. Predictive probabilities are averaged over the
+kept sweeps.
 """
 
 from __future__ import annotations
@@ -30,291 +35,292 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .blobs import cuts, pack, rows, run_lengths, runs, unpack
-from .hashing import Words, slices
+from .blobs import cuts, dealt, hashed, narrow, pack, rows, runs, unpack
+from .hashing import slices
+from .seating import draw_tables, rest_masses, stirling, tables_at
 from .storage import stage, unstage, width
 
 _U = np.uint64
 _LOW = (1 << 32) - 1
-EXACT = 64
+_stirling = stirling
+# Megabytes of input a bucket, and bytes of input a message, at least: a bucket's tables are held a few times over.
+_BUCKETS = (3, 1024)
 _END, _START = _U(0x5851F42D4C957F2D), _U(0x14057B7EF767814F)
-_COUNTS = (_U, np.uint32, _U, np.uint32, np.uint32)  # words, contexts per word, the bucket's contexts, each pair's among them, customers
-_ROOMS = (_U, np.int64, np.int64)  # contexts, their customers and tables
-_SEATS = (np.uint32, np.uint32)  # tables per (word, context), tables per word in the parent
-
-
-def _tokens(batches: Iterator[pa.RecordBatch], text_bytes: int = 3 << 20, most_docs: int = 60_000) -> Iterator[tuple]:
-    """Runs of documents as (doc_ids, words, contexts, owners): a run's tokens with their contexts and documents."""
-    parts: list[tuple] = []
-    held = docs = 0
-
-    def out() -> tuple:
-        ids = [x for p in parts for x in p[0]]
-        counts = np.concatenate([p[2] for p in parts])
-        words = np.concatenate([p[1] for p in parts])
-        owner = np.repeat(np.arange(len(counts)), counts)
-        at = np.arange(len(words)) + owner
-        total = len(words) + len(counts)
-        token, before = np.full(total, _END), np.full(total, _START)
-        token[at] = words
-        before[at + 1] = words
-        return ids, token, before, np.repeat(np.arange(len(counts)), counts + 1)
-
-    for batch in batches:
-        batch = batch.select(["doc_id", "text"])
-        for some in (batch.slice(at, most_docs) for at in range(0, batch.num_rows, most_docs)):
-            for piece in slices(some, "text"):
-                w = Words(piece.column(1))
-                if parts and (held + len(w.data) > text_bytes or docs + piece.num_rows > most_docs):
-                    yield out()
-                    parts, held, docs = [], 0, 0
-                parts.append((piece.column(0).to_pylist(), w.hashes(0, True), w.counts))
-                held += len(w.data)
-                docs += piece.num_rows
-    if parts:
-        yield out()
-
-
-def _counter(buckets: int):
+
+
+def _tokens(texts: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Words of texts, each text's followed by its end; the contexts they stand in; tokens per text."""
+    words, first = hashed(texts, lower=True)
+    counts = np.diff(first)
+    at = np.arange(len(words)) + np.repeat(np.arange(len(counts)), counts)
+    token, before = np.full(len(words) + len(counts), _END), np.full(len(words) + len(counts), _START)
+    token[at] = words
+    before[at + 1] = words
+    return token, before, counts + 1
+
+
+def _pairs(token: np.ndarray, context: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Distinct words and contexts, the distinct pairs of their numbers (word above context), and each token's pair."""
+    words, code = np.unique(token, return_inverse=True)
+    contexts, spot = np.unique(context, return_inverse=True)
+    pair, which = np.unique((code << 32) | spot, return_inverse=True)
+    return words, contexts, pair, which
+
+
+def _counter(buckets: int, text_bytes: int):
+    """Counts of runs of texts by bucket of words: words, contexts per word, contexts, each pair's context among them, customers."""
+
+    def counted(texts: list[pa.Array]) -> pa.RecordBatch:
+        token, context, _ = _tokens(pa.chunked_array(texts))
+        words, contexts, pair, which = _pairs(token, context)
+        many = np.bincount(which, minlength=len(pair))
+        at = np.searchsorted(pair, np.arange(len(words) + 1) << 32)
+        names, bounds = cuts(words, buckets)
+        blobs = []
+        for a, b in zip(bounds[:-1], bounds[1:], strict=True):
+            own, place = np.unique(pair[at[a] : at[b]] & _LOW, return_inverse=True)
+            n = many[at[a] : at[b]]
+            blobs.append(pack(words[a:b], np.diff(at[a : b + 1]).astype(np.uint32), contexts[own], narrow(place, len(own)), narrow(n, int(n.max()) + 1)))
+        return pa.RecordBatch.from_arrays([pa.array(names, pa.int32()), pa.array(blobs, pa.binary())], ["bucket", "blob"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, token, context, _ in _tokens(batches):
-            words, code = np.unique(token, return_inverse=True)
-            contexts, spot = np.unique(context, return_inverse=True)
-            pair, many = np.unique((code.astype(np.int64) << 32) | spot, return_counts=True)
-            at = np.searchsorted(pair, np.arange(len(words) + 1) << 32)
-            names, bounds = cuts(words, buckets)
-            blobs = []
-            for a, b in zip(bounds[:-1], bounds[1:], strict=True):
-                own, place = np.unique(pair[at[a] : at[b]] & _LOW, return_inverse=True)
-                blobs.append(pack(words[a:b], np.diff(at[a : b + 1]).astype(np.uint32), contexts[own], place.astype(np.uint32), many[at[a] : at[b]].astype(np.uint32)))
-            yield pa.RecordBatch.from_arrays([pa.array(names, pa.int32()), pa.array(blobs, pa.binary())], ["bucket", "counts"])
+        held: list[pa.Array] = []
+        size = 0
+        for batch in batches:
+            for some in slices(batch, "text"):
+                held.append(some.column(0))
+                size += some.column(0).nbytes
+                if size >= text_bytes:
+                    yield counted(held)
+                    held, size = [], 0
+        if held:
+            yield counted(held)
 
     return run
 
 
-_STATE = {"bucket": pa.int32(), "counts": pa.binary(), "seats": pa.binary(), "kept": pa.list_(pa.binary())}
-_STATE_DDL = "bucket int, counts binary, seats binary, kept array<binary>"
+_ROWS = {"bucket": pa.int32(), "pid": pa.int32(), "kind": pa.int32(), "blob": pa.binary()}
+_ROWS_DDL = "bucket int, pid int, kind int, blob binary"
+# A bucket of words also has, per word, customers and tables in the parent, and their sums.
+_STATE = {**_ROWS, "parents": pa.binary(), "customers": pa.int64(), "tables": pa.int64()}
+_STATE_DDL = _ROWS_DDL + ", parents binary, customers long, tables long"
+_COUNTS, _SEATS, _TOLD, _ROOMS, _HOME, _PARENTS, _ASKED = range(7)
 
 
-def _merged(table: pa.Table) -> pa.Table:
-    """A bucket's counts from all parts, every (word, context) with one table."""
-    parts = [unpack(x, *_COUNTS) for x in table["counts"].to_pylist()]
-    # Words repeat once a part, pairs far more often: only the words are sorted at full width.
-    words, code = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
-    contexts, spot = np.unique(np.concatenate([p[2] for p in parts]), return_inverse=True)
-    pair = np.repeat(code.astype(np.int64) << 32, np.concatenate([p[1] for p in parts]))
-    first = np.cumsum([0, *(len(p[2]) for p in parts)])
-    pair |= np.concatenate([spot[a : a + len(p[2])][p[3]] for a, p in zip(first, parts, strict=False)])
-    order = np.argsort(pair, kind="stable")
-    pair = pair[order]
-    start = runs(pair)
-    many = np.add.reduceat(np.concatenate([p[4] for p in parts])[order].astype(np.int64), start)
-    pair = pair[start]
-    at = np.searchsorted(pair, np.arange(len(words) + 1) << 32)
-    counts = pack(words, np.diff(at).astype(np.uint32), contexts, (pair & _LOW).astype(np.uint32), np.minimum(many, 2**32 - 1).astype(np.uint32))
-    seats = pack(np.ones(len(pair), np.uint32), np.ones(len(words), np.uint32))
-    return rows(_STATE, bucket=[table["bucket"][0].as_py()], counts=[counts], seats=[seats], kept=[[]])
+def _least(values: np.ndarray) -> np.ndarray:
+    top = int(values.max(initial=0))
+    return narrow(values, top + 1) if top < 1 << 32 else values.astype(np.int64)
+
+
+def _told(bucket: int, counts: list[np.ndarray], tables: np.ndarray, customers: np.ndarray, parent: np.ndarray, sums: np.ndarray, buckets: int) -> dict[str, list]:
+    """Rows of a seated bucket of words: its seating, and what it tells each bucket of contexts of its contexts."""
+    _, _, contexts, place, many = counts
+    names, bounds = cuts(contexts, buckets)
+    own = [_least(np.bincount(place, x, len(contexts)).astype(np.int64)) for x in (many, tables)]
+    blobs = [pack(contexts[a:b], *(x[a:b] for x in own)) for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+    n = len(blobs)
+    return {
+        "bucket": [bucket, *names], "pid": [0, *[bucket] * n], "kind": [_SEATS, *[_TOLD] * n], "blob": [pack(_least(tables), _least(sums)), *blobs],
+        "parents": [pack(customers.astype(np.int64), parent.astype(np.int64)), *[None] * n],
+        "customers": [int(customers.sum()), *[None] * n], "tables": [int(parent.sum()), *[None] * n],
+    }
+
+
+def _word_of(per: np.ndarray) -> np.ndarray:
+    return np.repeat(np.arange(len(per)), per)
+
+
+def _merged(buckets: int):
+    """A bucket's counts from all parts, and a seating with one table for every (word, context)."""
+
+    def run(table: pa.Table) -> pa.Table:
+        parts = [unpack(x) for x in table["blob"].to_pylist()]
+        # Words repeat once a part, pairs far more often: only the words are sorted at full width.
+        words, code = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
+        contexts, spot = np.unique(np.concatenate([p[2] for p in parts]), return_inverse=True)
+        pair = np.repeat(code << 32, np.concatenate([p[1] for p in parts]))
+        first = np.cumsum([0, *(len(p[2]) for p in parts)])
+        pair |= np.concatenate([spot[a : a + len(p[2])][p[3]] for a, p in zip(first, parts, strict=False)])
+        order = np.argsort(pair, kind="stable")
+        pair = pair[order]
+        start = runs(pair)
+        many = np.add.reduceat(np.concatenate([p[4].astype(np.int64) for p in parts])[order], start)
+        pair = pair[start]
+        per = np.diff(np.searchsorted(pair, np.arange(len(words) + 1) << 32))
+        counts = [words, per.astype(np.uint32), contexts, narrow(pair & _LOW, len(contexts)), _least(many)]
+        bucket = table["bucket"][0].as_py()
+        out = _told(bucket, counts, np.ones(len(pair), np.int64), per, np.ones(len(words), np.int64), np.zeros(len(pair), np.int64), buckets)
+        own = {"bucket": bucket, "pid": 0, "kind": _COUNTS, "blob": pack(*counts), "parents": None, "customers": None, "tables": None}
+        return rows(_STATE, **{k: [own[k], *v] for k, v in out.items()})
+
+    return run
 
 
 @dataclass
 class _Totals:
     """Sums over all buckets; its size does not depend on the corpus."""
 
-    tables: float  # in all contexts: the customers of the parent
-    parent_tables: float
-    tokens: int
-    vocabulary: int
-    ones: tuple[float, float] = (0, 0)  # (word, context) pairs and words with one customer
-    twos: tuple[float, float] = (0, 0)
+    tables: int  # in all contexts: the customers of the parent
+    parent_tables: int
+    tokens: int = 0
+    vocabulary: int = 0
 
 
 @dataclass
 class Model:
-    """A fitted model: the staged buckets and what every bucket needs to know of the others."""
+    """A fitted model: staged buckets of words and contexts, and what all of them share."""
 
-    state: DataFrame
+    counts: DataFrame
     buckets: int
     now: _Totals
     discount: tuple[float, float] = (0.8, 0.5)  # contexts, parent
     strength: tuple[float, float] = (1.0, 1.0)
+    seats: DataFrame | None = None  # the last sweep's, with tables added up over kept sweeps
     samples: list[_Totals] = field(default_factory=list)
-    contexts: list[DataFrame] = field(default_factory=list)  # a sample's customers and tables per context
+    parents: list[DataFrame] = field(default_factory=list)  # a kept sweep's customers and tables of words in the parent
+    homes: list[DataFrame] = field(default_factory=list)  # and its customers and tables of contexts
+    settled: list[int] = field(default_factory=list)  # tables in all contexts after each sweep
 
     @property
     def train_tokens(self) -> int:
         return self.now.tokens
 
 
-def _sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    total = np.zeros(8)
-    for batch in batches:
-        for row in batch.select(["counts", "seats"]).to_pylist():
-            words, per, _, _, many = unpack(row["counts"], *_COUNTS)
-            tables, parent = unpack(row["seats"], *_SEATS)
-            total += [tables.sum(), parent.sum(), many.sum(), len(words), (many == 1).sum(), (many == 2).sum(), (per == 1).sum(), (per == 2).sum()]
-    yield pa.RecordBatch.from_arrays([pa.array(range(8), pa.int64()), pa.array(total)], ["at", "total"])
+def _summed(df: DataFrame, column: str, each, width_: int) -> np.ndarray:
+    """Sums over the rows of `df` of the `width_` numbers that each(bucket, arrays of the column) gives."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(width_)
+        for batch in batches:
+            for row in batch.to_pylist():
+                total += each(row["bucket"], unpack(row[column]))
+        yield pa.RecordBatch.from_arrays([pa.array(range(width_), pa.int64()), pa.array(total)], ["at", "total"])
 
-def _totals(state: DataFrame) -> _Totals:
-    got = state.select("counts", "seats").mapInArrow(_sums, "at long, total double").groupBy("at").agg(F.sum("total").alias("total")).toArrow()
-    v = np.zeros(8)
-    v[got["at"].to_numpy()] = got["total"].to_numpy()
-    tables, parent, tokens, vocabulary, a1, a2, b1, b2 = v
-    return _Totals(tables, parent, int(tokens), int(vocabulary), (a1, b1), (a2, b2))
+    got = df.select("bucket", column).mapInArrow(run, "at long, total double").groupBy("at").agg(F.sum("total").alias("total")).toArrow()
+    out = np.zeros(width_)
+    out[got["at"].to_numpy()] = got["total"].to_numpy()
+    return out
 
 
-_ROOM = {"home": pa.int32(), "bucket": pa.int32(), "rooms": pa.binary()}
-_ROOM_DDL = "home int, bucket int, rooms binary"
+def _counted_sums(_: int, x: list[np.ndarray]) -> list[float]:
+    words, per, _, _, many = x
+    return [int(many.sum(dtype=np.int64)), len(words), (many == 1).sum(), (many == 2).sum(), (per == 1).sum(), (per == 2).sum()]
 
 
-def _teller(buckets: int):
-    """A bucket of words tells each bucket of contexts what it has of its contexts."""
+def _added(discount: float, strength: float, seed: int):
+    """A bucket of contexts: its totals, and for each bucket of words the variates of the contexts it told of."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in batch.to_pylist():
-                _, _, contexts, place, many = unpack(row["counts"], *_COUNTS)
-                tables, _ = unpack(row["seats"], *_SEATS)
-                customers, tables = (np.bincount(place, x, len(contexts)).astype(np.int64) for x in (many, tables))
-                names, bounds = cuts(contexts, buckets)
-                blobs = [pack(contexts[a:b], customers[a:b], tables[a:b]) for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
-                yield from rows(_ROOM, home=names, bucket=[row["bucket"]] * len(blobs), rooms=blobs).to_batches()
+    def run(table: pa.Table) -> pa.Table:
+        home, pids = table["bucket"][0].as_py(), table["pid"].to_pylist()
+        told = [unpack(x) for x in table["blob"].to_pylist()]
+        contexts, spot = np.unique(np.concatenate([x[0] for x in told]), return_inverse=True)
+        customers, tables = (np.bincount(spot, np.concatenate([x[k] for x in told]), len(contexts)).astype(np.int64) for k in (1, 2))
+        gamma = np.random.default_rng([seed, 1, home]).gamma(strength / discount + tables)
+        stops = np.cumsum([len(x[0]) for x in told])
+        blobs = [pack(gamma[spot[b - len(x[0]) : b]].astype(np.float32)) for x, b in zip(told, stops, strict=True)]
+        # Parts of a bucket of words follow one another by home, as its contexts do.
+        return rows(_ROWS, bucket=[home, *pids], pid=[-1, *[home] * len(pids)], kind=[_HOME, *[_ROOMS] * len(pids)], blob=[pack(contexts, _least(customers), _least(tables)), *blobs])
 
     return run
 
 
-def _added(table: pa.Table) -> pa.Table:
-    """A bucket of contexts: its totals under bucket -1, and the table totals that each bucket of words asks for."""
-    told = [unpack(x, *_ROOMS) for x in table["rooms"].to_pylist()]
-    contexts, spot = np.unique(np.concatenate([x[0] for x in told]), return_inverse=True)
-    customers, tables = (np.bincount(spot, np.concatenate([x[k] for x in told]), len(contexts)).astype(np.int64) for k in (1, 2))
-    stops = np.cumsum([len(x[0]) for x in told])
-    blobs = [pack(tables[spot[b - len(x[0]) : b]]) for x, b in zip(told, stops, strict=True)]
-    return rows(_ROOM, home=[table["home"][0].as_py()] * (len(told) + 1), bucket=[-1, *table["bucket"].to_pylist()], rooms=[pack(contexts, customers, tables), *blobs])
-
-
-def _rooms(state: DataFrame, buckets: int) -> DataFrame:
-    told = state.select("bucket", "counts", "seats").mapInArrow(_teller(buckets), _ROOM_DDL)
-    return stage(told.groupBy("home").applyInArrow(_added, _ROOM_DDL), "rooms")
-
-
-def _stirling(discount: float) -> np.ndarray:
-    """Logs of generalised Stirling numbers, [customers, tables]."""
-    s = np.full((EXACT + 1, EXACT + 1), -np.inf)
-    s[1, 1] = 0
-    for c in range(1, EXACT):
-        t = np.arange(1, c + 2)
-        with np.errstate(divide="ignore"):
-            stay = s[c, 1 : c + 2] + np.log(np.maximum(c - discount * t, 0))
-        s[c + 1, 1 : c + 2] = np.logaddexp(s[c, : c + 1], stay)
-    return s
-
-
-def draw_tables(customers: np.ndarray, base: np.ndarray, others: np.ndarray, discount: float, strength: float, rng: np.random.Generator, stirling: np.ndarray) -> np.ndarray:
-    """Tables of dishes with `customers` each, given a dish's parent probability and the other tables of its restaurant."""
-    out = np.ones(len(customers), np.int64)
-    log_base = np.log(base)
-    small = np.flatnonzero((customers > 1) & (customers <= EXACT))
-    for c in np.unique(customers[small]):
-        at = small[customers[small] == c]
-        for some in np.array_split(at, max(1, len(at) * int(c) // 400_000)):
-            t = np.arange(c)
-            weight = np.cumsum(np.log(strength + discount * (others[some, None] + t)), axis=1) + log_base[some, None] * (t + 1) + stirling[c, 1 : c + 1]
-            out[some] = 1 + np.argmax(weight + rng.gumbel(size=weight.shape), axis=1)
-    # With many customers, weights of t and t + 1 tables stand as (strength / discount + others + t) * base to t:
-    # the tables beyond the first follow a negative binomial distribution.
-    at = np.flatnonzero(customers > EXACT)
-    if len(at):
-        beyond = rng.negative_binomial(np.maximum(strength / discount + others[at] + 1, 1e-9), 1 - np.minimum(base[at], 1 - 1e-9))
-        out[at] = np.minimum(1 + beyond, customers[at])
-    return out
-
-
-def _word_of(per: np.ndarray) -> np.ndarray:
-    return np.repeat(np.arange(len(per)), per)
+def _masses(bucket: int, customers: np.ndarray, tables: np.ndarray, rest: float, vocabulary: int, discount: float, seed: int) -> np.ndarray:
+    """The parent's distribution given its seating, by word and not yet divided by its sum; the same whenever it is asked for."""
+    rng = np.random.default_rng([seed, 2, bucket])
+    return rng.gamma(customers - discount * tables) + rest_masses(len(customers), rest / (vocabulary + 1), discount, rng)
 
 
-def _parent(customers: np.ndarray, tables: np.ndarray, t: _Totals, discount: float, strength: float) -> np.ndarray:
-    """Predictive probabilities of words in the parent restaurant."""
-    new = (strength + discount * t.parent_tables) / (t.vocabulary + 1)
-    return (np.maximum(customers - discount * tables, 0) + new) / (strength + t.tables)
-
-
-def _sweeper(now: _Totals, discount: tuple, strength: tuple, seed: int, keep: bool):
-    def run(state: pa.Table, rooms: pa.Table) -> pa.Table:
-        logs = [_stirling(d) for d in discount]
-        row = state.to_pylist()[0]
-        words, per, _, place, many = unpack(row["counts"], *_COUNTS)
-        tables, parent = (x.astype(np.int64) for x in unpack(row["seats"], *_SEATS))
-        # Buckets of contexts follow one another as contexts do.
-        totals = np.concatenate([unpack(x, np.int64)[0] for x in rooms.sort_by("home")["rooms"].to_pylist()])
-        rng, word = np.random.default_rng([seed, row["bucket"]]), _word_of(per)
-        base = _parent(np.bincount(word, tables, len(words)), parent, now, discount[1], strength[1])
-        tables = draw_tables(many.astype(np.int64), base[word], totals[place] - tables, discount[0], strength[0], rng, logs[0])
-        up = np.bincount(word, tables, len(words)).astype(np.int64)
-        flat = np.full(len(words), 1 / (now.vocabulary + 1))
-        parent = draw_tables(up, flat, np.maximum(now.parent_tables - parent, 0), discount[1], strength[1], rng, logs[1])
-        seats = pack(tables.astype(np.uint32), parent.astype(np.uint32))
-        return rows(_STATE, bucket=[row["bucket"]], counts=[row["counts"]], seats=[seats], kept=[row["kept"] + [seats] * keep])
+def _sweeper(now: _Totals, discount: tuple, strength: tuple, rest: float, mass: float, own: float, seed: int, keep: bool, buckets: int):
+    def run(table: pa.Table) -> pa.Table:
+        table = table.sort_by("pid")
+        kinds, blobs, bucket = table["kind"].to_pylist(), table["blob"].to_pylist(), table["bucket"][0].as_py()
+        counts = unpack(blobs[kinds.index(_COUNTS)])
+        words, per, _, place, many = counts
+        _, sums = unpack(blobs[kinds.index(_SEATS)])
+        customers, parent = unpack(table["parents"][kinds.index(_SEATS)].as_py())
+        gamma = np.concatenate([unpack(x)[0] for k, x in zip(kinds, blobs, strict=True) if k == _ROOMS])
+        rng, word = np.random.default_rng([seed, 3, bucket]), _word_of(per)
+        base = np.maximum(_masses(bucket, customers, parent, rest, now.vocabulary, discount[1], seed) / mass, 1e-300)
+        tables = tables_at(many.astype(np.int64), gamma[place] * base[word], discount[0], rng, stirling(discount[0]))
+        customers = np.bincount(word, tables, len(words)).astype(np.int64)
+        parent = tables_at(customers, np.full(len(words), own / (now.vocabulary + 1)), discount[1], rng, stirling(discount[1]))
+        return rows(_STATE, **_told(bucket, counts, tables, customers, parent, sums.astype(np.int64) + tables * keep, buckets))
 
     return run
 
 
-def train(docs: DataFrame, burn_in: int = 1, keep: int = 2, seed: int = 11) -> Model:
-    """Fit to all of `docs(doc_id, text)`: `burn_in` sweeps, then `keep` sweeps whose seatings are kept.
+def train(docs: DataFrame, burn_in: int = 3, keep: int = 3, seed: int = 11, settle: float = 0.01, most: int = 20) -> Model:
+    """Fit to all of `docs(doc_id, text)`: sweeps until tables settle, then `keep` sweeps whose seatings are kept.
 
-    Texts are lower-cased (A-Z) and end in an end token. Null and empty texts
-    count as one end token. Discounts follow from the numbers of pairs and
-    words seen once and twice. An empty table gives the uniform model.
+    Sweeps count as settled once the number of tables changes by less than a
+    share of `settle` and two of its square roots (at least `burn_in` sweeps,
+    `most` at most). Texts are
+    lower-cased (A-Z) and end in an end token. Null and empty texts count as
+    one end token. Discounts follow from the numbers of pairs and words seen
+    once and twice. An empty table gives the uniform model.
     """
-    n = width(docs, 8, 1)
-    counted = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_counter(n), "bucket int, counts binary")
-    state = stage(counted.groupBy("bucket").applyInArrow(_merged, _STATE_DDL), "seating")
-    model = Model(state, n, _totals(state))
-    model.discount = tuple(min(0.95, max(0.05, a / (a + 2 * b))) if a else d for a, b, d in zip(model.now.ones, model.now.twos, model.discount, strict=True))
-    rooms = _rooms(state, n)
-    for sweep in range(burn_in + keep):
-        kept = sweep >= burn_in
-        asked = rooms.where("bucket >= 0").groupBy("bucket")
-        drawn = model.state.groupBy("bucket").cogroup(asked).applyInArrow(_sweeper(model.now, model.discount, model.strength, seed + sweep, kept), _STATE_DDL)
-        state = stage(drawn, "seating")
-        unstage(model.state)
-        if not any(rooms is x for x in model.contexts):
+    n = width(docs, *_BUCKETS)
+    counted = docs.select("text").mapInArrow(_counter(n, 4 << 20), "bucket int, blob binary")
+    first = stage(counted.groupBy("bucket").applyInArrow(_merged(n), _STATE_DDL), "counts")
+    counts = first.where(F.col("kind") == _COUNTS)
+    tokens, vocabulary, a1, a2, b1, b2 = _summed(counts, "blob", _counted_sums, 6)
+    model = Model(counts, n, _Totals(0, 0, int(tokens), int(vocabulary)))
+    model.discount = tuple(min(0.95, max(0.05, x / (x + 2 * y))) if x else d for x, y, d in zip((a1, b1), (a2, b2), model.discount, strict=True))
+    if not vocabulary:
+        return model
+    (da, d0), (sa, s0) = model.discount, model.strength
+    pick = np.random.default_rng([seed, 0])
+    totals = lambda state: _Totals(*state.agg(F.sum("customers"), F.sum("tables")).first(), int(tokens), int(vocabulary))
+    kind = lambda df, k: df.where(F.col("kind") == k)
+    state, now, sweep = first, totals(first), 0
+    while True:
+        salt = seed + 1000 * sweep
+        rooms = stage(kind(state, _TOLD).select(*_ROWS).groupBy("bucket").applyInArrow(_added(da, sa, salt), _ROWS_DDL), "rooms")
+        if len(model.homes) < len(model.samples):
+            model.homes.append(stage(kind(rooms, _HOME), "homes"))
+        if len(model.samples) == keep:
             unstage(rooms)
-        model.state, model.now, rooms = state, _totals(state), _rooms(state, n)
-        if kept:
-            model.samples.append(model.now)
-            model.contexts.append(rooms)
+            break
+        model.settled.append(now.tables)
+        far = sweep < burn_in or abs(now.tables - model.settled[-2]) > settle * now.tables + 2 * math.sqrt(now.tables)
+        held = not far or sweep >= most or bool(model.samples)
+        # Two draws of the parent's variate: one for what it leaves to its base, one for its next tables.
+        rest, own = pick.gamma(s0 / d0 + now.parent_tables), pick.gamma(s0 / d0 + now.parent_tables)
+        weigh = lambda b, x, rest=rest, salt=salt: [_masses(b, *x, rest, int(vocabulary), d0, salt).sum()]
+        mass = _summed(kind(state, _SEATS), "parents", weigh, 1)[0] + rest_masses(1, rest / (vocabulary + 1), d0, pick)[0]
+        sweeper = _sweeper(now, model.discount, model.strength, rest, mass, own, salt, held, n)
+        whole = kind(rooms, _ROOMS).select(*_ROWS, F.lit(None).cast("binary").alias("parents"))
+        for part in (counts, kind(state, _SEATS)):
+            whole = whole.unionByName(part.select(*_ROWS, "parents"))
+        following = stage(whole.groupBy("bucket").applyInArrow(sweeper, _STATE_DDL), "seats")
+        unstage(rooms)
+        if state is not first:
+            unstage(state)
+        state, now, sweep = following, totals(following), sweep + 1
+        if held:
+            model.parents.append(stage(kind(state, _SEATS).select("bucket", "pid", F.lit(_PARENTS).alias("kind"), F.col("parents").alias("blob")), "parents"))
+            model.samples.append(now)
+    model.seats = stage(kind(state, _SEATS).select(*_ROWS), "seats")
+    unstage(state)
+    model.now = now
     return model
 
 
-_ASK = {"bucket": pa.int32(), "chunk": pa.int64(), "kind": pa.int32(), "blob": pa.binary()}
-_ASK_DDL = "bucket int, chunk long, kind int, blob binary"
-_DOCS, _WORDS, _CONTEXTS = 0, 1, 2
-
-
 def _asker(buckets: int):
-    """A run of documents asks buckets of words for its words and pairs, and buckets of contexts, numbered after them, for its contexts."""
+    """A group of documents asks buckets of words for its words and pairs, and buckets of contexts, numbered after them, for its contexts."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
-
-        base = TaskContext.get().partitionId() << 32
-        for k, (ids, token, context, owner) in enumerate(_tokens(batches)):
-            words, code = np.unique(token, return_inverse=True)
-            contexts, spot = np.unique(context, return_inverse=True)
-            pair, token = np.unique((code.astype(np.int64) << 32) | spot, return_inverse=True)
-            at, place = np.searchsorted(pair, np.arange(len(words) + 1) << 32), pair & _LOW
-            per = np.diff(at).astype(np.uint32)
-            names, bounds = cuts(words, buckets)
-            blobs = [pack(words[a:b], per[a:b], contexts[place[at[a] : at[b]]]) for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
-            homes, bounds = cuts(contexts, buckets)
-            rooms = [pack(contexts[a:b]) for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
-            null = np.array([x is None for x in ids])
-            own = pack(np.array([x or 0 for x in ids], np.int64), null.astype(np.uint8), np.bincount(owner, minlength=len(ids)), per, place.astype(np.uint32), token.astype(np.uint32))
-            kinds = [_WORDS] * len(blobs) + [_CONTEXTS] * len(rooms) + [_DOCS]
-            columns = {"bucket": [*names, *(homes + buckets), k % buckets], "chunk": [base + k] * len(kinds), "kind": kinds, "blob": [*blobs, *rooms, own]}
-            yield from rows(_ASK, **columns).to_batches()
+    def run(table: pa.Table) -> pa.Table:
+        token, context, _ = _tokens(table["text"])
+        words, contexts, pair, _ = _pairs(token, context)
+        at, place = np.searchsorted(pair, np.arange(len(words) + 1) << 32), pair & _LOW
+        names, bounds = cuts(words, buckets)
+        blobs = []
+        for a, b in zip(bounds[:-1], bounds[1:], strict=True):
+            own, spot = np.unique(place[at[a] : at[b]], return_inverse=True)
+            blobs.append(pack(words[a:b], _least(np.diff(at[a : b + 1])), contexts[own], narrow(spot, len(own))))
+        homes, bounds = cuts(contexts, buckets)
+        blobs += [pack(contexts[a:b]) for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+        return rows(_ROWS, bucket=[*names, *(homes + buckets)], pid=[table["pid"][0].as_py()] * len(blobs), kind=[_ASKED] * len(blobs), blob=blobs)
 
     return run
 
@@ -327,48 +333,46 @@ def _found(sorted_values: np.ndarray, asked: np.ndarray) -> tuple[np.ndarray, np
     return at, sorted_values[at] == asked
 
 
-def _answerer(samples: list[_Totals], discount: tuple, strength: tuple, buckets: int):
-    def words_of(held: pa.Table):
-        words, per, contexts, place, many = (np.zeros(0, kind) for kind in _COUNTS)
-        kept = [(np.zeros(0), np.zeros(0)) for _ in samples]
-        if held.num_rows:
-            words, per, contexts, place, many = unpack(held["counts"][0].as_py(), *_COUNTS)
-            kept = [unpack(x, *_SEATS) for x in held["kept"][0].as_py()]
+def _answerer(buckets: int):
+    """Buckets of words answer with occurrences, then customers and tables of each sample, by word, and customers and summed tables by pair; those of contexts with customers and tables of each sample."""
+
+    def words_of(counts: list[np.ndarray], sums: np.ndarray, parents: list[list[np.ndarray]]):
+        words, per, contexts, place, many = counts
         word = _word_of(per)
         pair = (word << 32) | place
-        seen = np.append(np.bincount(word, many, len(words)), 0)
-        parents = [_parent(np.append(np.bincount(word, t, len(words)), 0), np.append(p, 0), s, discount[1], strength[1]) for (t, p), s in zip(kept, samples, strict=True)]
+        seen = np.append(np.bincount(word, many, len(words)).astype(np.int64), 0)
+        by_word = [np.append(x, 0) for sample in parents for x in sample]
 
         def answer(blob: bytes) -> bytes:
-            asked, each, context = unpack(blob, _U, np.uint32, _U)
+            asked, each, context, own = unpack(blob)
             spot, known = _found(words, asked)
             code = np.where(known, spot, len(words))
             room, met = _found(contexts, context)
-            at, found = _found(pair, (np.repeat(code, each) << 32) | room)
-            found &= met
-            own = [np.zeros(len(context)) for _ in samples]
-            for x, (tables, _) in zip(own, kept, strict=True):
-                x[found] = np.maximum(many[at[found]] - discount[0] * tables[at[found]], 0)
-            return pack(seen[code], np.concatenate([p[code] for p in parents]), np.concatenate(own))
+            at, found = _found(pair, (np.repeat(code, each) << 32) | room[own])
+            found &= met[own]
+            return pack(*(_least(x[code]) for x in (seen, *by_word)), *(_least(np.where(found, x[at], 0)) for x in (many, sums)))
 
         return answer
 
-    def contexts_of(held: pa.Table):
-        held = [unpack(x, *_ROOMS) for x in held.sort_by("sample")["counts"].to_pylist()] or [[np.zeros(0, kind) for kind in _ROOMS]] * len(samples)
-
+    def contexts_of(held: list[list[np.ndarray]]):
         def answer(blob: bytes) -> bytes:
-            at, known = _found(held[0][0], unpack(blob, _U)[0])
-            return pack(*(np.concatenate([x for _, *pair in held for x in [np.where(known, pair[k][at], 0) if len(pair[k]) else np.zeros(len(at), np.int64)]]) for k in (0, 1)))
+            at, known = _found(held[0][0], unpack(blob)[0])
+            return pack(*(_least(np.where(known, x[at], 0)) for x in (held[0][1], *(h[2] for h in held))))
 
         return answer
 
     def run(held: pa.Table, asked: pa.Table) -> pa.Table:
-        if not asked.num_rows:
-            return rows(_ASK, bucket=[], chunk=[], kind=[], blob=[])
+        if not asked.num_rows or not held.num_rows:
+            return rows(_ROWS, bucket=[], pid=[], kind=[], blob=[])
         bucket = asked["bucket"][0].as_py()
-        answer = words_of(held) if bucket < buckets else contexts_of(held)
-        blobs = [x if kind == _DOCS else answer(x) for kind, x in zip(asked["kind"].to_pylist(), asked["blob"].to_pylist(), strict=True)]
-        return rows(_ASK, bucket=asked["bucket"].to_pylist(), chunk=asked["chunk"].to_pylist(), kind=asked["kind"].to_pylist(), blob=blobs)
+        held = held.sort_by("pid")
+        parts = [(k, unpack(x)) for k, x in zip(held["kind"].to_pylist(), held["blob"].to_pylist(), strict=True)]
+        if bucket < buckets:
+            answer = words_of(next(x for k, x in parts if k == _COUNTS), next(x[1] for k, x in parts if k == _SEATS), [x for k, x in parts if k == _PARENTS])
+        else:
+            answer = contexts_of([x for _, x in parts])
+        n = asked.num_rows
+        return rows(_ROWS, bucket=[bucket] * n, pid=asked["pid"].to_pylist(), kind=[_ASKED] * n, blob=[answer(x) for x in asked["blob"].to_pylist()])
 
     return run
 
@@ -376,46 +380,72 @@ def _answerer(samples: list[_Totals], discount: tuple, strength: tuple, buckets:
 _SCORES = "doc_id long, n_tokens long, n_known long, base_score double, score double"
 
 
-def _gatherer(now: _Totals, samples: int, discount: float, strength: float):
-    def run(table: pa.Table) -> pa.Table:
-        # Answers follow one another by bucket as words and contexts do in the run of documents.
-        table = table.sort_by("bucket")
-        kinds, blobs = table["kind"].to_pylist(), table["blob"].to_pylist()
-        ids, null, n, per, place, token = unpack(blobs[kinds.index(_DOCS)], np.int64, np.uint8, np.int64, np.uint32, np.uint32, np.uint32)
-        by = lambda want, *types: [np.concatenate(x, axis=-1) for x in zip(*([y.reshape(samples, -1) for y in unpack(b, *types)[-2:]] for k, b in zip(kinds, blobs, strict=True) if k == want), strict=True)]
-        seen = np.concatenate([unpack(b, np.float64, np.float64, np.float64)[0] for k, b in zip(kinds, blobs, strict=True) if k == _WORDS])
-        parent, own = by(_WORDS, np.float64, np.float64, np.float64)
-        customers, tables = by(_CONTEXTS, np.int64, np.int64)
-        word, p = _word_of(per), np.zeros(len(place))
-        for k in range(samples):
-            p += (own[k] + (strength + discount * tables[k][place]) * parent[k][word]) / (strength + customers[k][place])
-        count, owner = seen[word], np.repeat(np.arange(len(ids)), n)
-        total = lambda x: np.bincount(owner, x[token], len(ids))
-        base = total(np.log10((count + 1) / (now.tokens + now.vocabulary + 1)))
-        known = total(count > 0).astype(np.int64)
-        return pa.table({"doc_id": pa.array(ids, mask=null.astype(bool)), "n_tokens": n, "n_known": known, "base_score": base, "score": total(np.log10(p / samples))})
+def _gatherer(now: _Totals, samples: list[_Totals], discount: tuple, strength: tuple, buckets: int, end: bool):
+    def run(docs: pa.Table, answers: pa.Table) -> pa.Table:
+        token, context, n = _tokens(docs["text"])
+        words, contexts, pair, which = _pairs(token, context)
+        word, place = pair >> 32, pair & _LOW
+        told = {b: unpack(x) for b, x in zip(answers["bucket"].to_pylist(), answers["blob"].to_pylist(), strict=True)}
+        many = 3 + 2 * len(samples)
+
+        def joined(values: np.ndarray, first: int, wide: int, take: slice) -> list[np.ndarray]:
+            """The answers' arrays one after another, zeros from buckets that hold nothing."""
+            names, bounds = cuts(values, buckets)
+            sizes = np.diff(np.searchsorted(word, bounds)) if take.start else np.diff(bounds)
+            parts = [told.get(first + b, [None] * (take.stop or 0))[take] for b in names.tolist()]
+            return [np.concatenate([np.zeros(size, np.int64) if p[k] is None else p[k].astype(np.int64) for p, size in zip(parts, sizes, strict=True)] or [np.zeros(0, np.int64)]) for k in range(wide)]
+
+        seen, *by_word = joined(words, 0, many - 2, slice(0, many - 2))
+        own, sums = joined(words, 0, 2, slice(many - 2, many))
+        customers, *tables = joined(contexts, buckets, 1 + len(samples), slice(0, 1 + len(samples)))
+        (da, d0), (sa, s0) = discount, strength
+        p = len(samples) * own - da * sums
+        for k, s in enumerate(samples):
+            parent = (by_word[2 * k] - d0 * by_word[2 * k + 1] + (s0 + d0 * s.parent_tables) / (s.vocabulary + 1)) / (s0 + s.tables)
+            p = p + (sa + da * tables[k][place]) * parent[word]
+        p = p / (sa + customers[place]) / len(samples) if samples else np.full(len(pair), 1.0)
+        owner = np.repeat(np.arange(len(n)), n)
+        total = lambda x: np.bincount(owner, x[which], len(n))
+        base = total(np.log10((seen + 1) / (now.tokens + now.vocabulary + 1))[word])
+        logs = np.log10(p)
+        score = total(logs) if end else total(logs) - logs[which][np.cumsum(n) - 1]
+        return pa.table({"doc_id": docs["doc_id"].cast(pa.int64()), "n_tokens": n, "n_known": total(seen[word] > 0).astype(np.int64), "base_score": base, "score": score})
 
     return run
 
 
-def score(model: Model, docs: DataFrame) -> DataFrame:
+def score(model: Model, docs: DataFrame, end: bool = True, passes: int = 4) -> DataFrame:
     """doc_id, n_tokens, n_known, base_score and score (log10 probability) for each row of `docs(doc_id, text)`.
 
     Tokens are words and one end; null and empty texts are the end alone.
     n_known counts tokens of the training texts; base_score is the add-one
-    unigram score. Perplexity is 10 ** (-score / n_tokens). Null doc_ids and
+    unigram score. Perplexity is 10 ** (-score / n_tokens). Without `end`, score
+    is that of all texts which begin with the text's words. Null doc_ids and
     repeated rows are scored like others; empty tables give no rows; extra
-    columns are ignored; texts of any length are scored whole. `docs` should
-    be a scan or a written table, as parts are numbered by partition.
+    columns are ignored; texts of any length are scored whole.
+
+    Documents are scored in `passes` parts, one after another, so that no more
+    than one part's questions and answers take disk at a time.
     """
-    asked = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_asker(model.buckets), _ASK_DDL)
-    held = model.state.select("bucket", "counts", "kept", F.lit(0).alias("sample"))
-    for k, rooms in enumerate(model.contexts):
-        none = F.array().cast("array<binary>").alias("kept")
-        held = held.union(rooms.where("bucket < 0").select((F.col("home") + model.buckets).alias("bucket"), F.col("rooms").alias("counts"), none, F.lit(k).alias("sample")))
-    answer = _answerer(model.samples, model.discount, model.strength, model.buckets)
-    answers = held.groupBy("bucket").cogroup(asked.groupBy("bucket")).applyInArrow(answer, _ASK_DDL)
-    return answers.groupBy("chunk").applyInArrow(_gatherer(model.now, len(model.samples), model.discount[0], model.strength[0]), _SCORES)
+    n = model.buckets
+    docs = docs.select(F.col("doc_id").cast("long"), "text")
+    groups = max(1, math.ceil(width(docs, *_BUCKETS) / passes))
+    held = model.counts.select(*_ROWS)
+    if model.seats is not None:
+        held = held.unionByName(model.seats)
+    for k, (parents, home) in enumerate(zip(model.parents, model.homes, strict=True)):
+        order = F.lit(k).cast("int").alias("pid")
+        held = held.unionByName(parents.select("bucket", order, "kind", "blob"))
+        held = held.unionByName(home.select((F.col("bucket") + n).alias("bucket"), order, "kind", "blob"))
+    gather = _gatherer(model.now, model.samples, model.discount, model.strength, n, end)
+    out = None
+    for k in range(passes):
+        laid = dealt(docs.where(F.pmod(F.hash("doc_id", "text"), F.lit(passes)) == k), groups)
+        asked = laid.groupBy("pid").applyInArrow(_asker(n), _ROWS_DDL)
+        answers = held.groupBy("bucket").cogroup(asked.groupBy("bucket")).applyInArrow(_answerer(n), _ROWS_DDL)
+        part = stage(laid.groupBy("pid").cogroup(answers.groupBy("pid")).applyInArrow(gather, _SCORES), "scores")
+        out = part if out is None else out.unionByName(part)
+    return out
 
 
 def held_out(doc_id, parts: int = 7, part: int = 2):

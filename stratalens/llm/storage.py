@@ -62,15 +62,13 @@ def unstage(df: DataFrame) -> None:
 
 
 def _bytes(df: DataFrame) -> int:
-    """Size of the data behind `df`: the plan's statistics, bounded by those of its leaves, or measured where a leaf has none."""
+    """Size of the tables behind `df`: of its plan's leaves, as estimates of single columns miss how long texts are, or measured where a leaf has none."""
     plan, unknown = df._jdf.queryExecution().optimizedPlan(), df.sparkSession._jsparkSession.sessionState().conf().defaultSizeInBytes()
-    size_of = lambda node: int(str(node.stats().sizeInBytes()))
     found = plan.collectLeaves()
-    leaves = [size_of(found.apply(i)) for i in range(found.size())]
+    leaves = [int(str(found.apply(i).stats().sizeInBytes())) for i in range(found.size())]
     if max(leaves, default=0) >= unknown:
         return int(df.agg(F.sum(F.octet_length("text"))).first()[0] or 0)
-    # A join's estimate is the product of its sides; what the leaves hold is nearer.
-    return min(size_of(plan), sum(leaves))
+    return sum(leaves)
 
 
 def groups_of(size: int, partitions: int, mb_each: float = 4, row_bytes: int = 4096) -> int:
@@ -85,6 +83,6 @@ def groups_of(size: int, partitions: int, mb_each: float = 4, row_bytes: int = 4
     return max(1, math.ceil(size / each), min(partitions, size >> 20))
 
 
-def width(df: DataFrame, mb_each: float = 4) -> int:
+def width(df: DataFrame, mb_each: float = 4, row_bytes: int = 4096) -> int:
     """groups_of() the documents of `df`, from the plan's size statistics (file sizes, no job), or one scan where it has none."""
-    return groups_of(_bytes(df), int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), mb_each)
+    return groups_of(_bytes(df), int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), mb_each, row_bytes)
