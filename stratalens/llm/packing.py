@@ -348,7 +348,7 @@ def pack(parts: DataFrame, capacity: int = 2048) -> DataFrame:
         raise ValueError("piece lengths must lie between 1 and the capacity")
     places = _places(configurations(counts, capacity))
     # Rank among equal lengths in two levels: within a share of them, and shares before it.
-    shares = max(1, math.ceil(sum(counts.values()) / 20_000))
+    shares = max(1, math.ceil(sum(counts.values()) / 5_000))
     dealt = parts.withColumn(_SHARE, F.pmod(F.xxhash64("doc_id", "piece"), F.lit(shares)))
     before = dealt.groupBy("length", _SHARE).agg(F.count("*").alias("n"))
     before = before.select("length", _SHARE, (F.sum("n").over(Window.partitionBy("length").orderBy(_SHARE)) - F.col("n")).alias(_BASE))

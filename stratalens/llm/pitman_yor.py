@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 
 from .blobs import cuts, dealt, hashed, narrow, pack, rows, runs, unpack
 from .hashing import slices
-from .seating import draw_tables, rest_masses, stirling, tables_at
+from .seating import draw_tables, rest_masses, stirling, tables_at  # noqa: F401
 from .storage import stage, unstage, width
 
 _U = np.uint64

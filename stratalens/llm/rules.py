@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .blobs import run_lengths, runs
+from .blobs import run_lengths
 from .hashing import Words, byte_hash, slices, windows
 from .storage import stage
 

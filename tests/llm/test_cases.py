@@ -135,12 +135,10 @@ def test_tokens_of_texts_without_words():
     assert (context[:3] == pitman_yor._START).all()
 
 
-@pytest.mark.parametrize("representatives", [1, 16])
-def test_blocks_lose_no_link(spark, monkeypatch, representatives):
+def test_blocks_lose_no_link(spark):
     """A chain in which only neighbours link, and texts that share shingles with it without linking, in blocks of a few."""
     from test_dedup import brute_components
 
-    monkeypatch.setattr(jaccard, "_REPRESENTATIVES", representatives)
     word = [f"c{i}" for i in range(600)]
     rows = [(i, " ".join(word[3 * i : 3 * i + 100])) for i in range(40)]
     rows += [(100 + i, " ".join([*word[12 * i : 12 * i + 60], *(f"own{i}x{j}" for j in range(40))])) for i in range(12)]
