@@ -36,6 +36,44 @@ def test_top_k(spark):
     assert [r["score"] for r in topk.top_k(big, big.where("vec_id = 0")).orderBy("rank").collect()] == [2**63 - 1, -(2**63)]
 
 
+def test_top_k_grid():
+    """Copies of either side stay within a few times the candidates, however many partitions there are."""
+    for candidates, many, partitions in [(20_000_000, 400_000, 600), (20_000_000, 400_000, 12), (1000, 1000, 600), (500, 10, 12), (0, 0, 12), (5, 0, 12)]:
+        lanes, groups = topk.grid(candidates, many, partitions)
+        assert lanes >= 1 and groups >= 1 and lanes * many + groups * candidates <= 6 * candidates
+        assert candidates <= lanes << 20
+
+
+def test_top_k_neither_copies_queries_by_partition_nor_broadcasts(spark):
+    df = spark.range(400).selectExpr("id vec_id", "array(cast(id % 7 as float), cast(id % 11 as float)) embedding")
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "500")
+    try:
+        out = topk.top_k(df, df.where("vec_id % 2 = 0"), query_block=50)
+        plan = out._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert "BroadcastHashJoin" not in plan and "SortMergeJoin" in plan and "499" not in plan
+
+
+def test_top_k_kinds_of_sums():
+    """Floats, 64-bit and Python integers give the same best, over blocks seen one after another."""
+    rng = np.random.default_rng(5)
+    for top in (3, 300, 100_000, 2**24, 2**30, 2**40):
+        data = rng.integers(-top, top, (90, 7)) * (rng.random((90, 7)) < [1, 1, 1, 0.3, 0.1, 0, 1])
+        data[40:60] = data[3]
+        ids, asked = rng.permutation(90), data[[0, 3, 45, 89], :5]
+        best = topk._Best(ids[[0, 3, 45, 89]], asked, 5)
+        for at in (0, 4, 30, 64, 90):
+            if at < 90:
+                to = {0: 4, 4: 30, 30: 64, 64: 90}[at]
+                best.see(topk._Block(ids[at:to], np.ascontiguousarray(data[at:to].T)))
+        for n, (q, (scores, names)) in enumerate(zip([0, 3, 45, 89], best.held, strict=True)):
+            sums = [sum(int(a) * int(b) for a, b in zip(asked[n], v, strict=False)) for v in data]
+            want = sorted((-s, int(i)) for s, i, j in zip(sums, ids, range(90), strict=True) if j != q)[:5]
+            assert [(-int(s), int(i)) for s, i in zip(scores, names, strict=True)] == want
+
+
 URLS = [
     "https://Www.Example.com/en/1?q", "http://example.com/en/", "http://example.com/en", "http://badexample.com/en/x", "http://a.net/es/1", "http://net/fr/", "http://a.net/de/",
     None, "no scheme", "://com/", "http://x.com", "http://x.com/", "http://com/?x#y", "ftp://a.b.c.example.com/en/deep/er", "",
