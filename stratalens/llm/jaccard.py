@@ -6,7 +6,8 @@
    shared ones are out.
 2. The leading tokens left are ordered by how many distinct sets have them;
    the rarest, as many as the overlap bound leaves open, are the prefix.
-3. Documents that share a prefix token are dealt together. There, documents of
+3. Documents that share a prefix token are dealt together, large clusters in
+   blocks by size, which only meet blocks of like size. There, documents of
    equal prefix and size collapse into groups, pairs of groups are filtered by
    prefix and size, and members are expanded and verified on whole sets.
 Links are returned as a forest that connects whatever is linked, so thousands
@@ -17,7 +18,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .blobs import bucket_of, cuts, dealt, hashed, narrow, pack, rows, run_lengths, runs, unpack
@@ -252,6 +253,31 @@ def _verified(percent: int):
     return run
 
 
+def meetings(nodes: DataFrame, percent: int, block_rows: int, block_tokens: int) -> DataFrame:
+    """node, cluster, i, j, side: the pairs of blocks in which each of `nodes(node, n, cluster)` is compared; side is null in small clusters.
+
+    A cluster beyond block_rows members or block_tokens tokens is cut into
+    blocks in order of size, and only blocks whose sizes allow a link meet. Places
+    in that order come from counts by size, a hash breaking ties. A node weighs
+    block_tokens, or block_rows for each token, of a block's block_rows * block_tokens.
+    """
+    room, span = block_rows * block_tokens, Window.partitionBy("cluster")
+    sized = nodes.groupBy("cluster", "n").agg(F.count("*").alias("many")).withColumn("weight", F.greatest(F.lit(block_tokens).cast("long"), F.col("n") * block_rows))
+    sized = sized.withColumn("all", F.sum(F.expr("many * weight")).over(span)).where(F.col("all") > room)
+    sized = sized.withColumn("before", F.sum(F.expr("many * weight")).over(span.orderBy("n")) - F.expr("many * weight")).drop("all")
+    at = lambda place: F.expr(f"(before + weight * {place}) div {room}")
+    blocks = sized.select("cluster", "n", F.explode(F.sequence(at("0"), at("(many - 1)"))).alias("side"))
+    blocks = blocks.groupBy("cluster", "side").agg(F.min("n").alias("low"), F.max("n").alias("high"))
+    others = blocks.select("cluster", F.col("side").alias("other"), F.col("low").alias("other_low"), F.col("high").alias("other_high"))
+    alike = (percent * F.col("other_low") <= 100 * F.col("high")) & (percent * F.col("low") <= 100 * F.col("other_high"))
+    met = blocks.join(others, "cluster").where(alike).groupBy("cluster", "side").agg(F.collect_list("other").alias("others"))
+    placed = nodes.join(sized, ["cluster", "n"], "left").select("node", "cluster", at("pmod(xxhash64(node), many)").alias("side"))
+    placed = placed.join(met, ["cluster", "side"], "left")
+    placed = placed.withColumn("other", F.explode(F.coalesce("others", F.array(F.lit(0).cast("long")))))
+    own = F.coalesce("side", F.lit(0))
+    return placed.select("node", "cluster", F.least(own, "other").alias("i"), F.greatest(own, "other").alias("j"), "side")
+
+
 def near_duplicates(docs: DataFrame, shingle: int = 3, percent: int = 90, block_rows: int = 2000, block_tokens: int = 1_000_000) -> DataFrame:
     """doc_id, n_shingles, component_id for each row of `docs(doc_id, text)`.
 
@@ -265,7 +291,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, percent: int = 90, block_
     extra columns are ignored.
 
     A cluster beyond block_rows members or block_tokens tokens is split into
-    blocks whose pairs are verified in tasks of their own.
+    blocks by size, whose pairs of like size are verified in tasks of their own.
     """
     docs = docs.select(F.col("doc_id").cast("long"), "text")
     n = width(docs)
@@ -285,19 +311,13 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, percent: int = 90, block_
     hub = near.groupBy("token").agg(F.min("near").alias("hub"))
     edges = posting.join(near, ["token", "salt"]).select(F.col("node").alias("a"), F.col("near").alias("b"))
     clusters = components(edges.unionByName(near.join(hub, "token").select(F.col("near").alias("a"), F.col("hub").alias("b"))))
-    alive = alive.join(clusters, "node").withColumnRenamed("component", "cluster")
-    bulk = alive.groupBy("cluster").agg(F.count("*").alias("n"), F.sum(F.length("tokens") / 8).alias("t"))
-    split = F.greatest(F.lit(1), F.ceil(F.col("n") / block_rows), F.ceil(F.col("t") / block_tokens)).cast("int")
-    # Only large clusters have a row here, one for block_rows documents or more.
-    bulk = bulk.select("cluster", split.alias("blocks")).where("blocks > 1")
-    alive = alive.join(bulk, "cluster", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
-    alive = alive.withColumn("side", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    alive = alive.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    alive = alive.withColumn("i", F.least("side", "other")).withColumn("j", F.greatest("side", "other"))
+    nodes = alive.select("node", (F.length("tokens") / 8).cast("long").alias("n")).join(clusters.withColumnRenamed("component", "cluster"), "node")
+    met = meetings(nodes, percent, block_rows, block_tokens)
     # Small clusters share a task; blocks of a large one get one for each pair.
-    bin_ = F.when(F.col("blocks") == 1, F.pmod(F.xxhash64("cluster"), F.lit(4 * n))).otherwise(F.col("cluster") + 4 * n)
-    work = alive.withColumn("bin", bin_).select("bin", "i", "j", "side", "node", "prefix", "tokens")
+    bin_ = F.when(F.col("side").isNull(), F.pmod(F.xxhash64("cluster"), F.lit(4 * n))).otherwise(F.col("cluster") + 4 * n)
+    work = alive.join(met, "node").withColumn("bin", bin_).select("bin", "i", "j", "side", "node", "prefix", "tokens")
     links = components(work.groupBy("bin", "i", "j").applyInArrow(_verified(percent), "a long, b long"))
+    unstage(alive)
 
     named = classes.join(links, "node", "left").select(*key, F.coalesce("component", "node").alias("component_id"))
     plain = every.select("doc_id", *key)

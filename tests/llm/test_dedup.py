@@ -108,3 +108,21 @@ def test_components(spark):
     real = [(a, b) for a, b in edges if a is not None and a != b]
     want = reach({x for e in real for x in e}, real)
     assert {r["node"]: r["component"] for r in components.components(df).collect()} == want
+
+
+def test_blocks_meet_by_size(spark):
+    """All pairs of like size meet once, and a large cluster's members are not sent to all of its blocks."""
+    rng = random.Random(6)
+    nodes = [(i, int(20 * 1.0025**i) if i % 5 else 100, 7) for i in range(1500)] + [(2000 + i, 40 + i, 8) for i in range(10)]
+    rows = jaccard.meetings(spark.createDataFrame(nodes, "node long, n long, cluster long"), 90, 20, 10**6).collect()
+    size, met = {i: n for i, n, _ in nodes}, {}
+    for r in rows:
+        met.setdefault((r["cluster"], r["i"], r["j"]), []).append((r["node"], r["side"]))
+    assert {r["side"] for r in rows if r["cluster"] == 8} == {None} and len(met[8, 0, 0]) == 10
+    got = [frozenset((a, b)) for (_, i, j), some in met.items() for (a, x), (b, y) in itertools.combinations(some, 2) if i == j or x != y]
+    pairs = set(got)
+    assert len(got) == len(pairs)
+    for a, b in ((rng.randrange(1500), rng.randrange(1500)) for _ in range(40_000)):
+        if a != b and 90 * max(size[a], size[b]) <= 100 * min(size[a], size[b]):
+            assert frozenset((a, b)) in pairs
+    assert len(rows) <= 15 * 1500  # blocks by a hash of the node send each to all 75
