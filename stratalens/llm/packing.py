@@ -17,10 +17,10 @@ import logging
 import math
 import os
 import zlib
-from array import array
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -31,7 +31,9 @@ from .hashing import byte_hash, slices, text_bytes
 from .storage import stage
 
 _LOG = logging.getLogger(__name__)
-_CACHE_ENTRIES = 400_000
+_CACHE_ENTRIES = 1_500_000
+# Bytes of text encoded at once, in which equal stretches are looked up once.
+_SLICE = 4 << 20
 _SHARE, _BASE = "share of a length", "pieces before a share"
 # Kinds of ASCII bytes. Apostrophes and the characters of special tokens are cut at neither side.
 _LETTER, _PUNCT, _OTHER = 1, 2, 3
@@ -53,7 +55,9 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.cache: dict[int, tuple[int, bytes]] = {}
+        # Kept stretches by their first hash, in order: second hash, and where their ids are.
+        self.names, self.checks = np.zeros(0, np.uint64), np.zeros(0, np.uint64)
+        self.begin, self.size, self.flat = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
 
     def encode(self, data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts data[bounds[i]:bounds[i+1]], and the bounds of each text's ids."""
@@ -67,26 +71,42 @@ class Encoder:
         odd = np.flatnonzero(second != second[at][code])
         code[odd] = len(at) + np.arange(len(odd))
         at = np.append(at, odd)
-        keys, checks = [*names.tolist(), *[None] * len(odd)], second[at].tolist()
-        known = [x[1] if x is not None and x[0] == c else None for x, c in zip(map(self.cache.get, keys), checks, strict=True)]
-        missing = [i for i, x in enumerate(known) if x is None]
-        if missing:
+        checks, kept = second[at], len(names)
+        spot = np.searchsorted(self.names, names)
+        there = np.zeros(kept, bool)
+        inside = np.flatnonzero(spot < len(self.names))
+        there[inside] = self.names[spot[inside]] == names[inside]
+        begin, sizes = np.zeros(len(at), np.int64), np.zeros(len(at), np.int64)
+        hit = np.zeros(len(at), bool)
+        hit[np.flatnonzero(there)] = self.checks[spot[there]] == checks[:kept][there]
+        place = spot[hit[:kept]]
+        begin[hit], sizes[hit], flat = self.begin[place], self.size[place], self.flat
+        missing = np.flatnonzero(~hit)
+        if len(missing):
             raw = data.tobytes()
-            texts = [raw[begins[at[i]] : ends[at[i]]].decode() for i in missing]
+            texts = [raw[a:b].decode() for a, b in zip(begins[at[missing]].tolist(), ends[at[missing]].tolist(), strict=True)]
+            found = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+            many = np.fromiter(map(len, found), np.int64, len(found))
+            stops = np.cumsum(many)
+            begin[missing], sizes[missing] = len(flat) + stops - many, many
+            flat = np.concatenate([flat, np.fromiter(chain.from_iterable(found), np.uint32, int(stops[-1]))])
             # What comes first is what comes often: a full cache is kept as it is.
-            room = _CACHE_ENTRIES - len(self.cache)
-            for i, e in zip(missing, self.tokenizer.encode_batch_fast(texts, add_special_tokens=False), strict=True):
-                known[i] = array("I", e.ids).tobytes()
-                if room > 0 and keys[i] is not None and keys[i] not in self.cache:
-                    self.cache[keys[i]] = checks[i], known[i]
-                    room -= 1
-        sizes = np.array([len(x) // 4 for x in known])
-        flat = np.frombuffer(b"".join(known), np.uint32)
+            new = np.flatnonzero(~there)[: max(0, _CACHE_ENTRIES - len(self.names))]
+            if len(new):
+                self._keep(spot[new], names[new], checks[new], sizes[new], begin[new], flat)
         each = sizes[code]
         stop = np.cumsum(each)
-        ids = flat[np.repeat((np.cumsum(sizes) - sizes)[code] - (stop - each), each) + np.arange(int(stop[-1]))]
+        ids = flat[np.repeat(begin[code] - (stop - each), each) + np.arange(int(stop[-1]))]
         return ids, np.concatenate([[0], stop])[np.searchsorted(begins, bounds)]
 
+    def _keep(self, spot: np.ndarray, names: np.ndarray, checks: np.ndarray, sizes: np.ndarray, begin: np.ndarray, flat: np.ndarray) -> None:
+        """Add new stretches before places `spot`, their ids being in `flat`."""
+        stops = np.cumsum(sizes)
+        ids = flat[np.repeat(begin - (stops - sizes), sizes) + np.arange(int(stops[-1]))]
+        self.names, self.checks = np.insert(self.names, spot, names), np.insert(self.checks, spot, checks)
+        self.begin, self.size = np.insert(self.begin, spot, len(self.flat) + stops - sizes), np.insert(self.size, spot, sizes)
+        self.flat = np.concatenate([self.flat, ids])
+
     @staticmethod
     def _cut(data: np.ndarray, bounds: np.ndarray) -> np.ndarray:
         """Where stretches begin: places at which the pre-tokenizer cuts whatever stands around them.
@@ -133,7 +153,7 @@ def _piecer(path: str, capacity: int, end_id: int):
         end = np.uint32(end_id).tobytes()
         for batch in batches:
             batch = batch.set_column(1, "text", batch.column(1).fill_null(""))
-            for some in slices(batch, "text", 1 << 20):
+            for some in slices(batch, "text", _SLICE):
                 ids, first = encoder.encode(*text_bytes(some.column(1)))
                 out: tuple[list, ...] = ([], [], [], [], [])
                 for i, doc in enumerate(some.column(0).to_pylist()):

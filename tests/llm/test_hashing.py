@@ -114,3 +114,40 @@ def test_stretches_that_share_a_first_hash(monkeypatch):
         data, bounds = hashing.text_bytes(pa.array(texts))
         ids, first = encoder.encode(data, bounds)
         assert [ids[a:b].tolist() for a, b in zip(first[:-1], first[1:], strict=True)] == [library.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+def test_encoder_keeps_stretches(monkeypatch):
+    """Kept stretches are not encoded again, a full cache or another stretch under a kept hash changes no id, and ids are held flat."""
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = str(public_tokenizers.path("byte_bpe_50k.json"))
+    library = Tokenizer.from_file(path)
+    texts = [f"some words{i} and w{i * 7} again, again\n{i}" for i in range(60)]
+
+    def agrees(encoder, texts):
+        col = pa.array(texts)
+        ids, first = encoder.encode(*hashing.text_bytes(col))
+        for i, t in enumerate(texts):
+            assert ids[first[i] : first[i + 1]].tolist() == library.encode(t, add_special_tokens=False).ids
+
+    encoder = packing.Encoder(path)
+    agrees(encoder, texts)
+    real, asked = encoder.tokenizer, []
+
+    class Counting:
+        def encode_batch_fast(self, some, **how):
+            asked.extend(some)
+            return real.encode_batch_fast(some, **how)
+
+    encoder.tokenizer = Counting()
+    agrees(encoder, texts[::-1])
+    assert not asked and (np.diff(encoder.names) > 0).all() and int(encoder.size.sum()) == len(encoder.flat)
+    encoder.checks[::2] ^= np.uint64(1)  # as if another stretch had the first hash
+    agrees(encoder, texts)
+    assert asked
+    monkeypatch.setattr(packing, "_CACHE_ENTRIES", 10)
+    small = packing.Encoder(path)
+    for _ in range(2):
+        agrees(small, texts)
+    assert len(small.names) == 10
