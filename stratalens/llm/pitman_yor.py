@@ -20,7 +20,8 @@ another, so that all of a block may be drawn at once, wherever it lies:
 Counts live in buckets by word, so a word's tables in all contexts, and with
 them its customers in the parent, lie in one place. What a sweep needs from
 other buckets are the contexts' variates: bucket of contexts add up tables and
-answer every bucket of words. Predictive probabilities are averaged over the
+answer every bucket of words. Contexts are told by name once; from then on both
+sides know their order, and only numbers travel. Predictive probabilities are averaged over the
 kept sweeps.
 """
 
@@ -51,29 +52,43 @@ _END, _START = _U(0x5851F42D4C957F2D), _U(0x14057B7EF767814F)
 def _tokens(texts: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Words of texts, each text's followed by its end; the contexts they stand in; tokens per text."""
     words, first = hashed(texts, lower=True)
+    return *_laid(words, first, _END, _START), np.diff(first) + 1
+
+
+def _laid(words: np.ndarray, first: np.ndarray, end, start) -> tuple[np.ndarray, np.ndarray]:
     counts = np.diff(first)
     at = np.arange(len(words)) + np.repeat(np.arange(len(counts)), counts)
-    token, before = np.full(len(words) + len(counts), _END), np.full(len(words) + len(counts), _START)
+    token, before = np.full(len(words) + len(counts), end, words.dtype), np.full(len(words) + len(counts), start, words.dtype)
     token[at] = words
     before[at + 1] = words
-    return token, before, counts + 1
+    return token, before
+
 
+def _pairs(texts: pa.ChunkedArray, extra: str | None = None) -> tuple[np.ndarray, ...]:
+    """Distinct words and contexts, the distinct pairs of their numbers (word above context), tokens per text, and by `extra` each token's pair ("which") or tokens of each pair ("many").
 
-def _pairs(token: np.ndarray, context: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Distinct words and contexts, the distinct pairs of their numbers (word above context), and each token's pair."""
-    words, code = np.unique(token, return_inverse=True)
-    contexts, spot = np.unique(context, return_inverse=True)
-    pair, which = np.unique((code << 32) | spot, return_inverse=True)
-    return words, contexts, pair, which
+    Every word is a context too, of the next word or the end, so that one sort numbers both.
+    """
+    hashes, first = hashed(texts, lower=True)
+    every, code = np.unique(np.append(hashes, [_END, _START]), return_inverse=True)
+    end, start = code[-2:].tolist()
+    word, spot = _laid(code[:-2].astype(np.int64), first, end, start)
+    words, contexts = every, every
+    if len(first) > 1 and not (code[:-2] == end).any() and not (code[:-2] == start).any():
+        word, words = word - (word > start), np.delete(every, start)
+        spot, contexts = spot - (spot > end), np.delete(every, end)
+    else:  # no text at all, or a word with the hash of a text's start or end
+        (words, word), (contexts, spot) = np.unique(every[word], return_inverse=True), np.unique(every[spot], return_inverse=True)
+    got = np.unique((word << 32) | spot, return_inverse=extra == "which", return_counts=extra == "many")
+    pair, more = got if extra else (got, None)
+    return words, contexts, pair, np.diff(first) + 1, more
 
 
 def _counter(buckets: int, text_bytes: int):
     """Counts of runs of texts by bucket of words: words, contexts per word, contexts, each pair's context among them, customers."""
 
     def counted(texts: list[pa.Array]) -> pa.RecordBatch:
-        token, context, _ = _tokens(pa.chunked_array(texts))
-        words, contexts, pair, which = _pairs(token, context)
-        many = np.bincount(which, minlength=len(pair))
+        words, contexts, pair, _, many = _pairs(pa.chunked_array(texts), "many")
         at = np.searchsorted(pair, np.arange(len(words) + 1) << 32)
         names, bounds = cuts(words, buckets)
         blobs = []
@@ -104,7 +119,7 @@ _ROWS_DDL = "bucket int, pid int, kind int, blob binary"
 # A bucket of words also has, per word, customers and tables in the parent, and their sums.
 _STATE = {**_ROWS, "parents": pa.binary(), "customers": pa.int64(), "tables": pa.int64()}
 _STATE_DDL = _ROWS_DDL + ", parents binary, customers long, tables long"
-_COUNTS, _SEATS, _TOLD, _ROOMS, _HOME, _PARENTS, _ASKED = range(7)
+_COUNTS, _SEATS, _TOLD, _ROOMS, _HOME, _PARENTS, _ASKED, _SHAPE, _NAMES, _INDEX = range(10)
 
 
 def _least(values: np.ndarray) -> np.ndarray:
@@ -112,20 +127,46 @@ def _least(values: np.ndarray) -> np.ndarray:
     return narrow(values, top + 1) if top < 1 << 32 else values.astype(np.int64)
 
 
-def _told(bucket: int, counts: list[np.ndarray], tables: np.ndarray, customers: np.ndarray, parent: np.ndarray, sums: np.ndarray, buckets: int) -> dict[str, list]:
-    """Rows of a seated bucket of words: its seating, and what it tells each bucket of contexts of its contexts."""
-    _, _, contexts, place, many = counts
-    names, bounds = cuts(contexts, buckets)
-    own = [_least(np.bincount(place, x, len(contexts)).astype(np.int64)) for x in (many, tables)]
-    blobs = [pack(contexts[a:b], *(x[a:b] for x in own)) for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+def _seated(bucket: int, homes: np.ndarray, blobs: list[bytes], tables: np.ndarray, customers: np.ndarray, parent: np.ndarray, sums: np.ndarray) -> dict[str, list]:
+    """Rows of a seated bucket of words: its seating, and what it tells each bucket of contexts."""
     n = len(blobs)
     return {
-        "bucket": [bucket, *names], "pid": [0, *[bucket] * n], "kind": [_SEATS, *[_TOLD] * n], "blob": [pack(_least(tables), _least(sums)), *blobs],
+        "bucket": [bucket, *homes], "pid": [0, *[bucket] * n], "kind": [_SEATS, *[_TOLD] * n], "blob": [pack(_least(tables), _least(sums)), *blobs],
         "parents": [pack(customers.astype(np.int64), parent.astype(np.int64)), *[None] * n],
         "customers": [int(customers.sum()), *[None] * n], "tables": [int(parent.sum()), *[None] * n],
     }
 
 
+def _told(bucket: int, counts: list[np.ndarray], tables: np.ndarray, customers: np.ndarray, parent: np.ndarray, sums: np.ndarray, buckets: int) -> dict[str, list]:
+    """_seated() rows that tell contexts by name, with their customers and tables."""
+    _, _, contexts, place, many = counts
+    homes, bounds = cuts(contexts, buckets)
+    own = [_least(np.bincount(place, x, len(contexts)).astype(np.int64)) for x in (many, tables)]
+    blobs = [pack(contexts[a:b], *(x[a:b] for x in own)) for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+    return _seated(bucket, homes, blobs, tables, customers, parent, sums)
+
+
+def _retold(bucket: int, shape: list[np.ndarray], tables: np.ndarray, customers: np.ndarray, parent: np.ndarray, sums: np.ndarray) -> dict[str, list]:
+    """_seated() rows that tell the tables of contexts, in the order in which they were named."""
+    _, place, _, homes, sizes = shape
+    stops = np.cumsum(sizes, dtype=np.int64)
+    own = _least(np.bincount(place, tables, int(stops[-1])).astype(np.int64))
+    blobs = [pack(own[b - n : b]) for b, n in zip(stops, sizes.astype(np.int64), strict=True)]
+    return _seated(bucket, homes, blobs, tables, customers, parent, sums)
+
+
+def _shape(counts: list[np.ndarray], buckets: int) -> list[np.ndarray]:
+    """What sweeps need of a bucket's counts: contexts per word, each pair's context, customers, and how many contexts lie in which bucket."""
+    _, per, contexts, place, many = counts
+    homes, bounds = cuts(contexts, buckets)
+    return [per, place, many, homes, _least(np.diff(bounds))]
+
+
+def _whole(shape: list[np.ndarray], names: list[np.ndarray]) -> list[np.ndarray]:
+    """A bucket's counts from their shape, and words and contexts."""
+    return [names[0], shape[0], names[1], shape[1], shape[2]]
+
+
 def _word_of(per: np.ndarray) -> np.ndarray:
     return np.repeat(np.arange(len(per)), per)
 
@@ -150,8 +191,8 @@ def _merged(buckets: int):
         counts = [words, per.astype(np.uint32), contexts, narrow(pair & _LOW, len(contexts)), _least(many)]
         bucket = table["bucket"][0].as_py()
         out = _told(bucket, counts, np.ones(len(pair), np.int64), per, np.ones(len(words), np.int64), np.zeros(len(pair), np.int64), buckets)
-        own = {"bucket": bucket, "pid": 0, "kind": _COUNTS, "blob": pack(*counts), "parents": None, "customers": None, "tables": None}
-        return rows(_STATE, **{k: [own[k], *v] for k, v in out.items()})
+        own = {"bucket": [bucket] * 2, "pid": [0] * 2, "kind": [_SHAPE, _NAMES], "blob": [pack(*_shape(counts, buckets)), pack(words, contexts)]}
+        return rows(_STATE, **{k: [*own.get(k, [None] * 2), *v] for k, v in out.items()})
 
     return run
 
@@ -175,10 +216,11 @@ class Model:
     now: _Totals
     discount: tuple[float, float] = (0.8, 0.5)  # contexts, parent
     strength: tuple[float, float] = (1.0, 1.0)
+    index: DataFrame | None = None  # contexts by bucket, and where what is told of them belongs
     seats: DataFrame | None = None  # the last sweep's, with tables added up over kept sweeps
     samples: list[_Totals] = field(default_factory=list)
     parents: list[DataFrame] = field(default_factory=list)  # a kept sweep's customers and tables of words in the parent
-    homes: list[DataFrame] = field(default_factory=list)  # and its customers and tables of contexts
+    homes: list[DataFrame] = field(default_factory=list)  # and its tables of contexts
     settled: list[int] = field(default_factory=list)  # tables in all contexts after each sweep
 
     @property
@@ -203,23 +245,34 @@ def _summed(df: DataFrame, column: str, each, width_: int) -> np.ndarray:
 
 
 def _counted_sums(_: int, x: list[np.ndarray]) -> list[float]:
-    words, per, _, _, many = x
-    return [int(many.sum(dtype=np.int64)), len(words), (many == 1).sum(), (many == 2).sum(), (per == 1).sum(), (per == 2).sum()]
+    per, _, many, _, _ = x
+    return [int(many.sum(dtype=np.int64)), len(per), (many == 1).sum(), (many == 2).sum(), (per == 1).sum(), (per == 2).sum()]
 
 
 def _added(discount: float, strength: float, seed: int):
-    """A bucket of contexts: its totals, and for each bucket of words the variates of the contexts it told of."""
+    """A bucket of contexts: its tables, and for each bucket of words the variates of the contexts it told of; where those were told by name, the index too."""
 
     def run(table: pa.Table) -> pa.Table:
-        home, pids = table["bucket"][0].as_py(), table["pid"].to_pylist()
-        told = [unpack(x) for x in table["blob"].to_pylist()]
-        contexts, spot = np.unique(np.concatenate([x[0] for x in told]), return_inverse=True)
-        customers, tables = (np.bincount(spot, np.concatenate([x[k] for x in told]), len(contexts)).astype(np.int64) for k in (1, 2))
-        gamma = np.random.default_rng([seed, 1, home]).gamma(strength / discount + tables)
-        stops = np.cumsum([len(x[0]) for x in told])
-        blobs = [pack(gamma[spot[b - len(x[0]) : b]].astype(np.float32)) for x, b in zip(told, stops, strict=True)]
+        table = table.sort_by("pid")
+        home, kinds, blobs = table["bucket"][0].as_py(), table["kind"].to_pylist(), table["blob"].to_pylist()
+        pids = [p for p, k in zip(table["pid"].to_pylist(), kinds, strict=True) if k == _TOLD]
+        told = [unpack(x) for x, k in zip(blobs, kinds, strict=True) if k == _TOLD]
+        if _INDEX in kinds:
+            contexts, _, spot = unpack(blobs[kinds.index(_INDEX)])
+        else:
+            contexts, spot = np.unique(np.concatenate([x[0] for x in told]), return_inverse=True)
+        tables = np.bincount(spot, np.concatenate([x[-1] for x in told]), len(contexts)).astype(np.int64)
+        gamma = np.random.default_rng([seed, 1, home]).gamma(strength / discount + tables).astype(np.float32)
+        stops = np.cumsum([len(x[-1]) for x in told])
+        out = [pack(gamma[spot[b - len(x[-1]) : b]]) for x, b in zip(told, stops, strict=True)]
         # Parts of a bucket of words follow one another by home, as its contexts do.
-        return rows(_ROWS, bucket=[home, *pids], pid=[-1, *[home] * len(pids)], kind=[_HOME, *[_ROOMS] * len(pids)], blob=[pack(contexts, _least(customers), _least(tables)), *blobs])
+        own, own_kinds = [pack(_least(tables))], [_HOME]
+        if _INDEX not in kinds:
+            customers = np.bincount(spot, np.concatenate([x[1] for x in told]), len(contexts)).astype(np.int64)
+            own.append(pack(contexts, _least(customers), narrow(spot, len(contexts))))
+            own_kinds.append(_INDEX)
+        n = len(own)
+        return rows(_ROWS, bucket=[*[home] * n, *pids], pid=[*[-1] * n, *[home] * len(pids)], kind=[*own_kinds, *[_ROOMS] * len(pids)], blob=[*own, *out])
 
     return run
 
@@ -234,17 +287,19 @@ def _sweeper(now: _Totals, discount: tuple, strength: tuple, rest: float, mass:
     def run(table: pa.Table) -> pa.Table:
         table = table.sort_by("pid")
         kinds, blobs, bucket = table["kind"].to_pylist(), table["blob"].to_pylist(), table["bucket"][0].as_py()
-        counts = unpack(blobs[kinds.index(_COUNTS)])
-        words, per, _, place, many = counts
+        by_name = _COUNTS in kinds
+        counts = unpack(blobs[kinds.index(_COUNTS if by_name else _SHAPE)])
+        per, place, many = (counts[1], *counts[3:]) if by_name else counts[:3]
         _, sums = unpack(blobs[kinds.index(_SEATS)])
         customers, parent = unpack(table["parents"][kinds.index(_SEATS)].as_py())
         gamma = np.concatenate([unpack(x)[0] for k, x in zip(kinds, blobs, strict=True) if k == _ROOMS])
         rng, word = np.random.default_rng([seed, 3, bucket]), _word_of(per)
         base = np.maximum(_masses(bucket, customers, parent, rest, now.vocabulary, discount[1], seed) / mass, 1e-300)
         tables = tables_at(many.astype(np.int64), gamma[place] * base[word], discount[0], rng, stirling(discount[0]))
-        customers = np.bincount(word, tables, len(words)).astype(np.int64)
-        parent = tables_at(customers, np.full(len(words), own / (now.vocabulary + 1)), discount[1], rng, stirling(discount[1]))
-        return rows(_STATE, **_told(bucket, counts, tables, customers, parent, sums.astype(np.int64) + tables * keep, buckets))
+        customers = np.bincount(word, tables, len(per)).astype(np.int64)
+        parent = tables_at(customers, np.full(len(per), own / (now.vocabulary + 1)), discount[1], rng, stirling(discount[1]))
+        sums = sums.astype(np.int64) + tables * keep
+        return rows(_STATE, **(_told(bucket, counts, tables, customers, parent, sums, buckets) if by_name else _retold(bucket, counts, tables, customers, parent, sums)))
 
     return run
 
@@ -262,8 +317,9 @@ def train(docs: DataFrame, burn_in: int = 3, keep: int = 3, seed: int = 11, sett
     n = width(docs, *_BUCKETS)
     counted = docs.select("text").mapInArrow(_counter(n, 4 << 20), "bucket int, blob binary")
     first = stage(counted.groupBy("bucket").applyInArrow(_merged(n), _STATE_DDL), "counts")
-    counts = first.where(F.col("kind") == _COUNTS)
-    tokens, vocabulary, a1, a2, b1, b2 = _summed(counts, "blob", _counted_sums, 6)
+    counts = first.where(F.col("kind").isin(_SHAPE, _NAMES))
+    shapes = first.where(F.col("kind") == _SHAPE)
+    tokens, vocabulary, a1, a2, b1, b2 = _summed(shapes, "blob", _counted_sums, 6)
     model = Model(counts, n, _Totals(0, 0, int(tokens), int(vocabulary)))
     model.discount = tuple(min(0.95, max(0.05, x / (x + 2 * y))) if x else d for x, y, d in zip((a1, b1), (a2, b2), model.discount, strict=True))
     if not vocabulary:
@@ -275,7 +331,12 @@ def train(docs: DataFrame, burn_in: int = 3, keep: int = 3, seed: int = 11, sett
     state, now, sweep = first, totals(first), 0
     while True:
         salt = seed + 1000 * sweep
-        rooms = stage(kind(state, _TOLD).select(*_ROWS).groupBy("bucket").applyInArrow(_added(da, sa, salt), _ROWS_DDL), "rooms")
+        told = kind(state, _TOLD).select(*_ROWS)
+        if model.index is not None:
+            told = told.unionByName(model.index)
+        rooms = stage(told.groupBy("bucket").applyInArrow(_added(da, sa, salt), _ROWS_DDL), "rooms")
+        if model.index is None:
+            model.index = stage(kind(rooms, _INDEX), "index")
         if len(model.homes) < len(model.samples):
             model.homes.append(stage(kind(rooms, _HOME), "homes"))
         if len(model.samples) == keep:
@@ -290,7 +351,7 @@ def train(docs: DataFrame, burn_in: int = 3, keep: int = 3, seed: int = 11, sett
         mass = _summed(kind(state, _SEATS), "parents", weigh, 1)[0] + rest_masses(1, rest / (vocabulary + 1), d0, pick)[0]
         sweeper = _sweeper(now, model.discount, model.strength, rest, mass, own, salt, held, n)
         whole = kind(rooms, _ROOMS).select(*_ROWS, F.lit(None).cast("binary").alias("parents"))
-        for part in (counts, kind(state, _SEATS)):
+        for part in (shapes, kind(state, _SEATS)):
             whole = whole.unionByName(part.select(*_ROWS, "parents"))
         following = stage(whole.groupBy("bucket").applyInArrow(sweeper, _STATE_DDL), "seats")
         unstage(rooms)
@@ -310,8 +371,7 @@ def _asker(buckets: int):
     """A group of documents asks buckets of words for its words and pairs, and buckets of contexts, numbered after them, for its contexts."""
 
     def run(table: pa.Table) -> pa.Table:
-        token, context, _ = _tokens(table["text"])
-        words, contexts, pair, _ = _pairs(token, context)
+        words, contexts, pair, _, _ = _pairs(table["text"])
         at, place = np.searchsorted(pair, np.arange(len(words) + 1) << 32), pair & _LOW
         names, bounds = cuts(words, buckets)
         blobs = []
@@ -354,10 +414,10 @@ def _answerer(buckets: int):
 
         return answer
 
-    def contexts_of(held: list[list[np.ndarray]]):
+    def contexts_of(index: list[np.ndarray], tables: list[np.ndarray]):
         def answer(blob: bytes) -> bytes:
-            at, known = _found(held[0][0], unpack(blob)[0])
-            return pack(*(_least(np.where(known, x[at], 0)) for x in (held[0][1], *(h[2] for h in held))))
+            at, known = _found(index[0], unpack(blob)[0])
+            return pack(*(_least(np.where(known, x[at], 0)) for x in (index[1], *tables)))
 
         return answer
 
@@ -368,9 +428,10 @@ def _answerer(buckets: int):
         held = held.sort_by("pid")
         parts = [(k, unpack(x)) for k, x in zip(held["kind"].to_pylist(), held["blob"].to_pylist(), strict=True)]
         if bucket < buckets:
-            answer = words_of(next(x for k, x in parts if k == _COUNTS), next(x[1] for k, x in parts if k == _SEATS), [x for k, x in parts if k == _PARENTS])
+            one = dict(parts)
+            answer = words_of(_whole(one[_SHAPE], one[_NAMES]), next(x[1] for k, x in parts if k == _SEATS), [x for k, x in parts if k == _PARENTS])
         else:
-            answer = contexts_of([x for _, x in parts])
+            answer = contexts_of(next(x for k, x in parts if k == _INDEX), [x[0] for k, x in parts if k == _HOME])
         n = asked.num_rows
         return rows(_ROWS, bucket=[bucket] * n, pid=asked["pid"].to_pylist(), kind=[_ASKED] * n, blob=[answer(x) for x in asked["blob"].to_pylist()])
 
@@ -382,8 +443,7 @@ _SCORES = "doc_id long, n_tokens long, n_known long, base_score double, score do
 
 def _gatherer(now: _Totals, samples: list[_Totals], discount: tuple, strength: tuple, buckets: int, end: bool):
     def run(docs: pa.Table, answers: pa.Table) -> pa.Table:
-        token, context, n = _tokens(docs["text"])
-        words, contexts, pair, which = _pairs(token, context)
+        words, contexts, pair, n, which = _pairs(docs["text"], "which")
         word, place = pair >> 32, pair & _LOW
         told = {b: unpack(x) for b, x in zip(answers["bucket"].to_pylist(), answers["blob"].to_pylist(), strict=True)}
         many = 3 + 2 * len(samples)
@@ -433,6 +493,8 @@ def score(model: Model, docs: DataFrame, end: bool = True, passes: int = 4) -> D
     held = model.counts.select(*_ROWS)
     if model.seats is not None:
         held = held.unionByName(model.seats)
+    if model.index is not None:
+        held = held.unionByName(model.index.select((F.col("bucket") + n).alias("bucket"), "pid", "kind", "blob"))
     for k, (parents, home) in enumerate(zip(model.parents, model.homes, strict=True)):
         order = F.lit(k).cast("int").alias("pid")
         held = held.unionByName(parents.select("bucket", order, "kind", "blob"))

@@ -126,7 +126,9 @@ def _listed(customers: np.ndarray, weigh: Callable[[np.ndarray, np.ndarray], np.
         c = int(customers[some[0]])
         for at in np.array_split(some, max(1, len(some) * c // 400_000)):
             weight = weigh(at, np.arange(1, c + 1)) + logs[c, 1 : c + 1]
-            out[at] = 1 + np.argmax(weight + rng.gumbel(size=weight.shape), axis=1)
+            upto = np.cumsum(np.exp(weight - weight.max(axis=1, keepdims=True)), axis=1)
+            u = rng.random(len(at)) * upto[:, -1]
+            out[at] = 1 + np.minimum(np.count_nonzero(upto <= u[:, None], axis=1), c - 1)
 
 
 def tables_at(customers: np.ndarray, rate: np.ndarray, discount: float, rng: np.random.Generator, logs: np.ndarray) -> np.ndarray:

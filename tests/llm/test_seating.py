@@ -150,3 +150,40 @@ def test_blocks_sample_the_same_seating():
             total += pitman_yor.unpack(state["blob"][0])[0]
     for p, mean in zip(order, total / sweeps, strict=True):
         assert abs(mean - want[p]) < 0.12 + 0.04 * want[p], (p, mean, want[p])
+
+
+def test_pairs_number_words_and_contexts_by_one_sort(monkeypatch):
+    """As by sorting both, with no text, and with words that hash like a text's start or end."""
+    for clash in (None, "_END", "_START"):
+        with monkeypatch.context() as m:
+            if clash:
+                m.setattr(pitman_yor, clash, pitman_yor.hashed(pa.chunked_array([["b"]]), lower=True)[0][0])
+            for texts in ([], ["", None, " "], ["a b a", None, "B c", "c a b a b"]):
+                col = pa.chunked_array([pa.array(texts, pa.string())])
+                token, context, n = pitman_yor._tokens(col)
+                words, contexts, pair, sizes, which = pitman_yor._pairs(col, "which")
+                assert words.tolist() == np.unique(token).tolist() and contexts.tolist() == np.unique(context).tolist() and sizes.tolist() == n.tolist()
+                assert words[(pair >> 32)[which]].tolist() == token.tolist() and contexts[(pair & pitman_yor._LOW)[which]].tolist() == context.tolist()
+                assert pitman_yor._pairs(col)[2].tolist() == pair.tolist()
+                assert pitman_yor._pairs(col, "many")[4].tolist() == np.bincount(which, minlength=len(pair)).tolist()
+
+
+def test_contexts_are_named_once():
+    """After the first sweep a bucket tells tables alone, in the order of the names, and the index turns them into the same variates."""
+    rng = np.random.default_rng(3)
+    contexts = np.unique(rng.integers(0, 2**63, 40).astype(np.uint64) * np.uint64(2))
+    place = np.concatenate([np.arange(len(contexts)), rng.integers(0, len(contexts), 20)])
+    per = np.array([len(contexts), 20], np.uint32)
+    counts = [np.array([5, 9], np.uint64), per, contexts, place.astype(np.uint8), rng.integers(1, 9, len(place))]
+    tables = np.minimum(counts[4], 3)
+    rest = (tables, per.astype(np.int64), np.ones(2, np.int64), np.zeros(len(place), np.int64))
+    named, plain = pitman_yor._told(0, counts, *rest, 3), pitman_yor._retold(0, pitman_yor._shape(counts, 3), *rest)
+    assert {k: v for k, v in named.items() if k != "blob"} == {k: v for k, v in plain.items() if k != "blob"}
+    for home in range(3):
+        row = lambda state, home=home: [{k: state[k][i] for k in pitman_yor._ROWS} for i, b in enumerate(state["bucket"]) if i and b == home]
+        schema = pa.schema(list(pitman_yor._ROWS.items()))
+        first = pitman_yor._added(0.5, 1.0, 7)(pa.Table.from_pylist(row(named), schema=schema)).to_pylist()
+        index = [r for r in first if r["kind"] == pitman_yor._INDEX]
+        again = pitman_yor._added(0.5, 1.0, 7)(pa.Table.from_pylist(row(plain) + index, schema=schema)).to_pylist()
+        assert again == [r for r in first if r["kind"] != pitman_yor._INDEX]
+        assert len(row(plain)[0]["blob"]) < len(row(named)[0]["blob"]) / 2
