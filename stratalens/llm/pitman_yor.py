@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .blobs import cuts, dealt, hashed, narrow, pack, rows, runs, unpack
+from .blobs import cuts, dealt, hashed, narrow, pack, rows, run_lengths, runs, unpack
 from .hashing import slices
 from .seating import draw_tables, rest_masses, stirling, tables_at  # noqa: F401
 from .storage import stage, unstage, width
@@ -45,7 +45,7 @@ _U = np.uint64
 _LOW = (1 << 32) - 1
 _stirling = stirling
 # Megabytes of input a bucket, and bytes of input a message, at least: a bucket's tables are held a few times over.
-_BUCKETS = (3, 1024)
+_BUCKETS = (5, 1024)
 _END, _START = _U(0x5851F42D4C957F2D), _U(0x14057B7EF767814F)
 
 
@@ -79,8 +79,14 @@ def _pairs(texts: pa.ChunkedArray, extra: str | None = None) -> tuple[np.ndarray
         spot, contexts = spot - (spot > end), np.delete(every, end)
     else:  # no text at all, or a word with the hash of a text's start or end
         (words, word), (contexts, spot) = np.unique(every[word], return_inverse=True), np.unique(every[spot], return_inverse=True)
-    got = np.unique((word << 32) | spot, return_inverse=extra == "which", return_counts=extra == "many")
-    pair, more = got if extra else (got, None)
+    pair, more = (word << 32) | spot, None
+    if extra == "which":
+        pair, more = np.unique(pair, return_inverse=True)
+    else:  # sorted in place: np.unique alone would hash, which takes longer
+        pair.sort()
+        start = runs(pair)
+        more = run_lengths(start, len(pair)) if extra == "many" else None
+        pair = pair[start]
     return words, contexts, pair, np.diff(first) + 1, more
 
 
@@ -474,7 +480,7 @@ def _gatherer(now: _Totals, samples: list[_Totals], discount: tuple, strength: t
     return run
 
 
-def score(model: Model, docs: DataFrame, end: bool = True, passes: int = 4) -> DataFrame:
+def score(model: Model, docs: DataFrame, end: bool = True, passes: int = 3) -> DataFrame:
     """doc_id, n_tokens, n_known, base_score and score (log10 probability) for each row of `docs(doc_id, text)`.
 
     Tokens are words and one end; null and empty texts are the end alone.
