@@ -21,8 +21,11 @@ Counts live in buckets by word, so a word's tables in all contexts, and with
 them its customers in the parent, lie in one place. What a sweep needs from
 other buckets are the contexts' variates: bucket of contexts add up tables and
 answer every bucket of words. Contexts are told by name once; from then on both
-sides know their order, and only numbers travel. Predictive probabilities are averaged over the
-kept sweeps.
+sides know their order, and only numbers travel. A pair seen once has one table
+in every seating, so sweeps carry pairs seen more often alone, with what the
+others add to their words and contexts; and of words that have no such pair only
+the sum of their shares of the parent counts, which is one draw. Predictive
+probabilities are averaged over the kept sweeps.
 """
 
 from __future__ import annotations
@@ -36,9 +39,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .blobs import cuts, dealt, hashed, narrow, pack, rows, run_lengths, runs, unpack
+from .blobs import cuts, dealt, hashed, narrow, numbered, numbered_within, ordered, pack, rows, run_lengths, runs, unpack
 from .hashing import slices
-from .seating import draw_tables, rest_masses, stirling, tables_at  # noqa: F401
+from .seating import draw_tables, rest_mass, rest_masses, stirling, tables_at  # noqa: F401
 from .storage import stage, unstage, width
 
 _U = np.uint64
@@ -70,7 +73,7 @@ def _pairs(texts: pa.ChunkedArray, extra: str | None = None) -> tuple[np.ndarray
     Every word is a context too, of the next word or the end, so that one sort numbers both.
     """
     hashes, first = hashed(texts, lower=True)
-    every, code = np.unique(np.append(hashes, [_END, _START]), return_inverse=True)
+    every, code = numbered(np.append(hashes, [_END, _START]))
     end, start = code[-2:].tolist()
     word, spot = _laid(code[:-2].astype(np.int64), first, end, start)
     words, contexts = every, every
@@ -79,15 +82,27 @@ def _pairs(texts: pa.ChunkedArray, extra: str | None = None) -> tuple[np.ndarray
         spot, contexts = spot - (spot > end), np.delete(every, end)
     else:  # no text at all, or a word with the hash of a text's start or end
         (words, word), (contexts, spot) = np.unique(every[word], return_inverse=True), np.unique(every[spot], return_inverse=True)
-    pair, more = (word << 32) | spot, None
     if extra == "which":
-        pair, more = np.unique(pair, return_inverse=True)
+        at, pair = ordered(word, spot)
     else:  # sorted in place: np.unique alone would hash, which takes longer
+        pair = (word << 32) | spot
         pair.sort()
-        start = runs(pair)
-        more = run_lengths(start, len(pair)) if extra == "many" else None
-        pair = pair[start]
-    return words, contexts, pair, np.diff(first) + 1, more
+    start = runs(pair)
+    more = run_lengths(start, len(pair)) if extra else None
+    if extra == "which":
+        which = np.empty(len(pair), np.int64)
+        which[at] = np.repeat(np.arange(len(start)), more)
+        more = which
+    return words, contexts, pair[start], np.diff(first) + 1, more
+
+
+def _parted(pair: np.ndarray, words: np.ndarray, buckets: int) -> tuple[np.ndarray, ...]:
+    """Pairs by their words' bucket: buckets, bounds of words and of pairs, pairs per word, contexts of each bucket, their bounds, and each pair's among them."""
+    at = np.searchsorted(pair, np.arange(len(words) + 1) << 32)
+    names, bounds = cuts(words, buckets)
+    edges, per = at[bounds], np.diff(at)
+    contexts, starts, place = numbered_within(np.repeat(np.arange(len(names)), np.diff(edges)), pair & _LOW, len(names))
+    return names, bounds, edges, per, contexts, starts, place
 
 
 def _counter(buckets: int, text_bytes: int):
@@ -95,13 +110,11 @@ def _counter(buckets: int, text_bytes: int):
 
     def counted(texts: list[pa.Array]) -> pa.RecordBatch:
         words, contexts, pair, _, many = _pairs(pa.chunked_array(texts), "many")
-        at = np.searchsorted(pair, np.arange(len(words) + 1) << 32)
-        names, bounds = cuts(words, buckets)
+        names, bounds, edges, per, own, starts, place = _parted(pair, words, buckets)
         blobs = []
-        for a, b in zip(bounds[:-1], bounds[1:], strict=True):
-            own, place = np.unique(pair[at[a] : at[b]] & _LOW, return_inverse=True)
-            n = many[at[a] : at[b]]
-            blobs.append(pack(words[a:b], np.diff(at[a : b + 1]).astype(np.uint32), contexts[own], narrow(place, len(own)), narrow(n, int(n.max()) + 1)))
+        for k in range(len(names)):
+            (a, b), (c, d), (e, f) = bounds[k : k + 2], edges[k : k + 2], starts[k : k + 2]
+            blobs.append(pack(words[a:b], per[a:b].astype(np.uint32), contexts[own[e:f]], narrow(place[c:d], f - e), _least(many[c:d])))
         return pa.RecordBatch.from_arrays([pa.array(names, pa.int32()), pa.array(blobs, pa.binary())], ["bucket", "blob"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -123,9 +136,12 @@ def _counter(buckets: int, text_bytes: int):
 _ROWS = {"bucket": pa.int32(), "pid": pa.int32(), "kind": pa.int32(), "blob": pa.binary()}
 _ROWS_DDL = "bucket int, pid int, kind int, blob binary"
 # A bucket of words also has, per word, customers and tables in the parent, and their sums.
+# In sweeps these are words after several contexts, those with repeated pairs first, and how many of those there are.
 _STATE = {**_ROWS, "parents": pa.binary(), "customers": pa.int64(), "tables": pa.int64()}
 _STATE_DDL = _ROWS_DDL + ", parents binary, customers long, tables long"
 _COUNTS, _SEATS, _TOLD, _ROOMS, _HOME, _PARENTS, _ASKED, _SHAPE, _NAMES, _INDEX = range(10)
+# Of an index: where what is told belongs, and the contexts' names and customers.
+_SPOTS, _NAMED = -2, -1
 
 
 def _least(values: np.ndarray) -> np.ndarray:
@@ -133,13 +149,13 @@ def _least(values: np.ndarray) -> np.ndarray:
     return narrow(values, top + 1) if top < 1 << 32 else values.astype(np.int64)
 
 
-def _seated(bucket: int, homes: np.ndarray, blobs: list[bytes], tables: np.ndarray, customers: np.ndarray, parent: np.ndarray, sums: np.ndarray) -> dict[str, list]:
-    """Rows of a seated bucket of words: its seating, and what it tells each bucket of contexts."""
+def _seated(bucket: int, homes: np.ndarray, blobs: list[bytes], tables: np.ndarray, customers: np.ndarray, parent: np.ndarray, sums: np.ndarray, drawn: int | None = None, once: int = 0) -> dict[str, list]:
+    """Rows of a seated bucket of words: its seating, and what it tells each bucket of contexts. drawn: how many of the words have repeated pairs; once: words seen in one pair once, which are left out."""
     n = len(blobs)
     return {
         "bucket": [bucket, *homes], "pid": [0, *[bucket] * n], "kind": [_SEATS, *[_TOLD] * n], "blob": [pack(_least(tables), _least(sums)), *blobs],
-        "parents": [pack(customers.astype(np.int64), parent.astype(np.int64)), *[None] * n],
-        "customers": [int(customers.sum()), *[None] * n], "tables": [int(parent.sum()), *[None] * n],
+        "parents": [pack(_least(customers), _least(parent), *([] if drawn is None else [np.array([drawn])])), *[None] * n],
+        "customers": [int(customers.sum()) + once, *[None] * n], "tables": [int(parent.sum()) + once, *[None] * n],
     }
 
 
@@ -154,11 +170,11 @@ def _told(bucket: int, counts: list[np.ndarray], tables: np.ndarray, customers:
 
 def _retold(bucket: int, shape: list[np.ndarray], tables: np.ndarray, customers: np.ndarray, parent: np.ndarray, sums: np.ndarray) -> dict[str, list]:
     """_seated() rows that tell the tables of contexts, in the order in which they were named."""
-    _, place, _, homes, sizes = shape
-    stops = np.cumsum(sizes, dtype=np.int64)
-    own = _least(np.bincount(place, tables, int(stops[-1])).astype(np.int64))
-    blobs = [pack(own[b - n : b]) for b, n in zip(stops, sizes.astype(np.int64), strict=True)]
-    return _seated(bucket, homes, blobs, tables, customers, parent, sums)
+    per, place, _, homes, sizes, *more = shape
+    sizes = sizes.astype(np.int64)
+    own = _least(np.bincount(place, tables, sizes.sum()).astype(np.int64))
+    blobs = [pack(own[b - n : b]) for b, n in zip(np.cumsum(sizes), sizes, strict=True)]
+    return _seated(bucket, homes, blobs, tables, customers, parent, sums, *((len(per), int(more[1][0])) if more else ()))
 
 
 def _shape(counts: list[np.ndarray], buckets: int) -> list[np.ndarray]:
@@ -168,37 +184,62 @@ def _shape(counts: list[np.ndarray], buckets: int) -> list[np.ndarray]:
     return [per, place, many, homes, _least(np.diff(bounds))]
 
 
-def _whole(shape: list[np.ndarray], names: list[np.ndarray]) -> list[np.ndarray]:
-    """A bucket's counts from their shape, and words and contexts."""
-    return [names[0], shape[0], names[1], shape[1], shape[2]]
-
-
 def _word_of(per: np.ndarray) -> np.ndarray:
     return np.repeat(np.arange(len(per)), per)
 
 
+def _moving(per: np.ndarray, many: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Words with repeated pairs, and others after several contexts; the rest has one customer and one table in the parent for good."""
+    repeated = np.bincount(_word_of(per)[many > 1], minlength=len(per)) > 0
+    return np.flatnonzero(repeated), np.flatnonzero(~repeated & (per > 1))
+
+
+def _opened(bucket: int, counts: list[np.ndarray], buckets: int) -> dict[str, list]:
+    """Rows of a bucket of words with one table for each pair: its counts; what sweeps need of them; its seating; and what it tells contexts.
+
+    The shape is that of repeated pairs, with the pairs seen once of each word
+    that sweeps carry, and the bucket's sums: words left out, tokens, words,
+    pairs seen once and twice, words after one context and two. Contexts are
+    told with their customers and tables of pairs seen once, then which of them
+    have repeated pairs here, and how many: these will be told again.
+    """
+    words, per, contexts, place, many = counts
+    again, (drawn, others) = many > 1, _moving(per, many)
+    each = np.bincount(_word_of(per)[again], minlength=len(per))
+    moving = np.append(drawn, others)
+    own, spot = np.unique(place[again], return_inverse=True)
+    facts = [len(words) - len(moving), int(many.sum(dtype=np.int64)), len(words), *(int((x == k).sum()) for x in (many, per) for k in (1, 2))]
+    shape = [*_shape([None, each[drawn].astype(np.uint32), contexts[own], narrow(spot, len(own)), many[again]], buckets), _least((per - each)[moving]), np.array(facts)]
+
+    homes, bounds = cuts(contexts, buckets)
+    customers, once, tables = (np.bincount(place, x, len(contexts)).astype(np.int64) for x in (many, ~again, again))
+    edges = np.searchsorted(own, bounds)
+    told = [
+        pack(contexts[a:b], _least(customers[a:b]), _least(once[a:b]), narrow(own[c:d] - a, b - a), _least(tables[own[c:d]]))
+        for a, b, c, d in zip(bounds[:-1], bounds[1:], edges[:-1], edges[1:], strict=True)
+    ]
+    pairs = int(again.sum())
+    out = _seated(bucket, homes, told, np.ones(pairs, np.int64), per[moving].astype(np.int64), np.ones(len(moving), np.int64), np.zeros(pairs, np.int64), len(drawn), facts[0])
+    named = {"bucket": [bucket] * 2, "pid": [0] * 2, "kind": [_SHAPE, _NAMES], "blob": [pack(*shape), pack(*counts)]}
+    return {k: [*named.get(k, [None] * 2), *v] for k, v in out.items()}
+
+
 def _merged(buckets: int):
     """A bucket's counts from all parts, and a seating with one table for every (word, context)."""
 
     def run(table: pa.Table) -> pa.Table:
         parts = [unpack(x) for x in table["blob"].to_pylist()]
         # Words repeat once a part, pairs far more often: only the words are sorted at full width.
-        words, code = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
-        contexts, spot = np.unique(np.concatenate([p[2] for p in parts]), return_inverse=True)
-        pair = np.repeat(code << 32, np.concatenate([p[1] for p in parts]))
+        words, code = numbered(np.concatenate([p[0] for p in parts]))
+        contexts, spot = numbered(np.concatenate([p[2] for p in parts]))
         first = np.cumsum([0, *(len(p[2]) for p in parts)])
-        pair |= np.concatenate([spot[a : a + len(p[2])][p[3]] for a, p in zip(first, parts, strict=False)])
-        order = np.argsort(pair, kind="stable")
-        pair = pair[order]
+        order, pair = ordered(np.repeat(code, np.concatenate([p[1] for p in parts])), np.concatenate([spot[a : a + len(p[2])][p[3]] for a, p in zip(first, parts, strict=False)]))
         start = runs(pair)
         many = np.add.reduceat(np.concatenate([p[4].astype(np.int64) for p in parts])[order], start)
         pair = pair[start]
         per = np.diff(np.searchsorted(pair, np.arange(len(words) + 1) << 32))
         counts = [words, per.astype(np.uint32), contexts, narrow(pair & _LOW, len(contexts)), _least(many)]
-        bucket = table["bucket"][0].as_py()
-        out = _told(bucket, counts, np.ones(len(pair), np.int64), per, np.ones(len(words), np.int64), np.zeros(len(pair), np.int64), buckets)
-        own = {"bucket": [bucket] * 2, "pid": [0] * 2, "kind": [_SHAPE, _NAMES], "blob": [pack(*_shape(counts, buckets)), pack(words, contexts)]}
-        return rows(_STATE, **{k: [*own.get(k, [None] * 2), *v] for k, v in out.items()})
+        return rows(_STATE, **_opened(table["bucket"][0].as_py(), counts, buckets))
 
     return run
 
@@ -250,11 +291,6 @@ def _summed(df: DataFrame, column: str, each, width_: int) -> np.ndarray:
     return out
 
 
-def _counted_sums(_: int, x: list[np.ndarray]) -> list[float]:
-    per, _, many, _, _ = x
-    return [int(many.sum(dtype=np.int64)), len(per), (many == 1).sum(), (many == 2).sum(), (per == 1).sum(), (per == 2).sum()]
-
-
 def _added(discount: float, strength: float, seed: int):
     """A bucket of contexts: its tables, and for each bucket of words the variates of the contexts it told of; where those were told by name, the index too."""
 
@@ -263,22 +299,23 @@ def _added(discount: float, strength: float, seed: int):
         home, kinds, blobs = table["bucket"][0].as_py(), table["kind"].to_pylist(), table["blob"].to_pylist()
         pids = [p for p, k in zip(table["pid"].to_pylist(), kinds, strict=True) if k == _TOLD]
         told = [unpack(x) for x, k in zip(blobs, kinds, strict=True) if k == _TOLD]
+        own, own_kinds, own_pids = [], [_HOME], [-1]
         if _INDEX in kinds:
-            contexts, _, spot = unpack(blobs[kinds.index(_INDEX)])
+            once, spot = unpack(blobs[kinds.index(_INDEX)])
         else:
-            contexts, spot = np.unique(np.concatenate([x[0] for x in told]), return_inverse=True)
-        tables = np.bincount(spot, np.concatenate([x[-1] for x in told]), len(contexts)).astype(np.int64)
+            contexts, spot = numbered(np.concatenate([x[0] for x in told]))
+            customers, once = (np.bincount(spot, np.concatenate(x), len(contexts)).astype(np.int64) for x in ([x[1] for x in told], [x[2] if len(x) > 3 else np.zeros(len(x[0])) for x in told]))
+            # Which are told again: all, or those that have repeated pairs where they are told.
+            starts = np.cumsum([0, *(len(x[0]) for x in told)])
+            spot = np.concatenate([spot[a : a + len(x[0])][x[3] if len(x) > 3 else slice(None)] for a, x in zip(starts, told, strict=False)])
+            own, own_kinds, own_pids = [pack(_least(once), narrow(spot, len(contexts))), pack(contexts, _least(customers))], [_HOME, _INDEX, _INDEX], [-1, _SPOTS, _NAMED]
+        tables = once + np.bincount(spot, np.concatenate([x[-1] for x in told] or [np.zeros(0)]), len(once)).astype(np.int64)
         gamma = np.random.default_rng([seed, 1, home]).gamma(strength / discount + tables).astype(np.float32)
         stops = np.cumsum([len(x[-1]) for x in told])
-        out = [pack(gamma[spot[b - len(x[-1]) : b]]) for x, b in zip(told, stops, strict=True)]
         # Parts of a bucket of words follow one another by home, as its contexts do.
-        own, own_kinds = [pack(_least(tables))], [_HOME]
-        if _INDEX not in kinds:
-            customers = np.bincount(spot, np.concatenate([x[1] for x in told]), len(contexts)).astype(np.int64)
-            own.append(pack(contexts, _least(customers), narrow(spot, len(contexts))))
-            own_kinds.append(_INDEX)
-        n = len(own)
-        return rows(_ROWS, bucket=[*[home] * n, *pids], pid=[*[-1] * n, *[home] * len(pids)], kind=[*own_kinds, *[_ROOMS] * len(pids)], blob=[*own, *out])
+        out = [pack(gamma[spot[b - len(x[-1]) : b]]) for x, b in zip(told, stops, strict=True)]
+        own = [pack(_least(tables)), *own]
+        return rows(_ROWS, bucket=[*[home] * len(own), *pids], pid=[*own_pids, *[home] * len(pids)], kind=[*own_kinds, *[_ROOMS] * len(pids)], blob=[*own, *out])
 
     return run
 
@@ -289,6 +326,16 @@ def _masses(bucket: int, customers: np.ndarray, tables: np.ndarray, rest: float,
     return rng.gamma(customers - discount * tables) + rest_masses(len(customers), rest / (vocabulary + 1), discount, rng)
 
 
+def _weigher(rest: float, vocabulary: int, discount: float, seed: int):
+    """Sums over a bucket's words with repeated pairs: their masses, customers and tables, and how many they are."""
+
+    def sums(bucket: int, parents: list[np.ndarray]) -> list[float]:
+        customers, tables = (x[: int(parents[2][0])] for x in parents[:2])
+        return [_masses(bucket, customers, tables, rest, vocabulary, discount, seed).sum(), customers.sum(dtype=np.int64), tables.sum(dtype=np.int64), len(customers)]
+
+    return sums
+
+
 def _sweeper(now: _Totals, discount: tuple, strength: tuple, rest: float, mass: float, own: float, seed: int, keep: bool, buckets: int):
     def run(table: pa.Table) -> pa.Table:
         table = table.sort_by("pid")
@@ -297,13 +344,14 @@ def _sweeper(now: _Totals, discount: tuple, strength: tuple, rest: float, mass:
         counts = unpack(blobs[kinds.index(_COUNTS if by_name else _SHAPE)])
         per, place, many = (counts[1], *counts[3:]) if by_name else counts[:3]
         _, sums = unpack(blobs[kinds.index(_SEATS)])
-        customers, parent = unpack(table["parents"][kinds.index(_SEATS)].as_py())
-        gamma = np.concatenate([unpack(x)[0] for k, x in zip(kinds, blobs, strict=True) if k == _ROOMS])
-        rng, word = np.random.default_rng([seed, 3, bucket]), _word_of(per)
-        base = np.maximum(_masses(bucket, customers, parent, rest, now.vocabulary, discount[1], seed) / mass, 1e-300)
+        customers, parent = unpack(table["parents"][kinds.index(_SEATS)].as_py())[:2]
+        gamma = np.concatenate([unpack(x)[0] for k, x in zip(kinds, blobs, strict=True) if k == _ROOMS] or [np.zeros(0)])
+        rng, word, n = np.random.default_rng([seed, 3, bucket]), _word_of(per), len(per)
+        base = np.maximum(_masses(bucket, customers[:n], parent[:n], rest, now.vocabulary, discount[1], seed) / mass, 1e-300)
         tables = tables_at(many.astype(np.int64), gamma[place] * base[word], discount[0], rng, stirling(discount[0]))
-        customers = np.bincount(word, tables, len(per)).astype(np.int64)
-        parent = tables_at(customers, np.full(len(per), own / (now.vocabulary + 1)), discount[1], rng, stirling(discount[1]))
+        customers = np.zeros(n, np.int64) if by_name else counts[5].astype(np.int64)
+        customers[:n] += np.bincount(word, tables, n).astype(np.int64)
+        parent = tables_at(customers, np.full(len(customers), own / (now.vocabulary + 1)), discount[1], rng, stirling(discount[1]))
         sums = sums.astype(np.int64) + tables * keep
         return rows(_STATE, **(_told(bucket, counts, tables, customers, parent, sums, buckets) if by_name else _retold(bucket, counts, tables, customers, parent, sums)))
 
@@ -322,11 +370,10 @@ def train(docs: DataFrame, burn_in: int = 3, keep: int = 3, seed: int = 11, sett
     """
     n = width(docs, *_BUCKETS)
     counted = docs.select("text").mapInArrow(_counter(n, 4 << 20), "bucket int, blob binary")
-    first = stage(counted.groupBy("bucket").applyInArrow(_merged(n), _STATE_DDL), "counts")
-    counts = first.where(F.col("kind").isin(_SHAPE, _NAMES))
+    first = stage(counted.groupBy("bucket").applyInArrow(_merged(n), _STATE_DDL), "counts", "kind")
     shapes = first.where(F.col("kind") == _SHAPE)
-    tokens, vocabulary, a1, a2, b1, b2 = _summed(shapes, "blob", _counted_sums, 6)
-    model = Model(counts, n, _Totals(0, 0, int(tokens), int(vocabulary)))
+    tokens, vocabulary, a1, a2, b1, b2 = _summed(shapes, "blob", lambda _, x: x[-1][1:], 6)
+    model = Model(first.where(F.col("kind") == _NAMES), n, _Totals(0, 0, int(tokens), int(vocabulary)))
     model.discount = tuple(min(0.95, max(0.05, x / (x + 2 * y))) if x else d for x, y, d in zip((a1, b1), (a2, b2), model.discount, strict=True))
     if not vocabulary:
         return model
@@ -339,10 +386,10 @@ def train(docs: DataFrame, burn_in: int = 3, keep: int = 3, seed: int = 11, sett
         salt = seed + 1000 * sweep
         told = kind(state, _TOLD).select(*_ROWS)
         if model.index is not None:
-            told = told.unionByName(model.index)
+            told = told.unionByName(model.index.where(F.col("pid") == _SPOTS))
         rooms = stage(told.groupBy("bucket").applyInArrow(_added(da, sa, salt), _ROWS_DDL), "rooms")
         if model.index is None:
-            model.index = stage(kind(rooms, _INDEX), "index")
+            model.index = stage(kind(rooms, _INDEX), "index", "pid").select(*_ROWS)
         if len(model.homes) < len(model.samples):
             model.homes.append(stage(kind(rooms, _HOME), "homes"))
         if len(model.samples) == keep:
@@ -353,8 +400,9 @@ def train(docs: DataFrame, burn_in: int = 3, keep: int = 3, seed: int = 11, sett
         held = not far or sweep >= most or bool(model.samples)
         # Two draws of the parent's variate: one for what it leaves to its base, one for its next tables.
         rest, own = pick.gamma(s0 / d0 + now.parent_tables), pick.gamma(s0 / d0 + now.parent_tables)
-        weigh = lambda b, x, rest=rest, salt=salt: [_masses(b, *x, rest, int(vocabulary), d0, salt).sum()]
-        mass = _summed(kind(state, _SEATS), "parents", weigh, 1)[0] + rest_masses(1, rest / (vocabulary + 1), d0, pick)[0]
+        mass, many, seated, words = _summed(kind(state, _SEATS), "parents", _weigher(rest, int(vocabulary), d0, salt), 4)
+        # Words without repeated pairs, and the unknown word: independent masses of one kind add up to a mass of that kind.
+        mass += pick.gamma(now.tables - many - d0 * (now.parent_tables - seated)) + rest_mass((vocabulary + 1 - words) * rest / (vocabulary + 1), d0, pick)
         sweeper = _sweeper(now, model.discount, model.strength, rest, mass, own, salt, held, n)
         whole = kind(rooms, _ROOMS).select(*_ROWS, F.lit(None).cast("binary").alias("parents"))
         for part in (shapes, kind(state, _SEATS)):
@@ -378,12 +426,11 @@ def _asker(buckets: int):
 
     def run(table: pa.Table) -> pa.Table:
         words, contexts, pair, _, _ = _pairs(table["text"])
-        at, place = np.searchsorted(pair, np.arange(len(words) + 1) << 32), pair & _LOW
-        names, bounds = cuts(words, buckets)
+        names, bounds, edges, per, own, starts, place = _parted(pair, words, buckets)
         blobs = []
-        for a, b in zip(bounds[:-1], bounds[1:], strict=True):
-            own, spot = np.unique(place[at[a] : at[b]], return_inverse=True)
-            blobs.append(pack(words[a:b], _least(np.diff(at[a : b + 1])), contexts[own], narrow(spot, len(own))))
+        for k in range(len(names)):
+            (a, b), (c, d), (e, f) = bounds[k : k + 2], edges[k : k + 2], starts[k : k + 2]
+            blobs.append(pack(words[a:b], _least(per[a:b]), contexts[own[e:f]], narrow(place[c:d], f - e)))
         homes, bounds = cuts(contexts, buckets)
         blobs += [pack(contexts[a:b]) for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
         return rows(_ROWS, bucket=[*names, *(homes + buckets)], pid=[table["pid"][0].as_py()] * len(blobs), kind=[_ASKED] * len(blobs), blob=blobs)
@@ -404,10 +451,14 @@ def _answerer(buckets: int):
 
     def words_of(counts: list[np.ndarray], sums: np.ndarray, parents: list[list[np.ndarray]]):
         words, per, contexts, place, many = counts
-        word = _word_of(per)
+        word, moving = _word_of(per), np.concatenate(_moving(per, many))
         pair = (word << 32) | place
         seen = np.append(np.bincount(word, many, len(words)).astype(np.int64), 0)
-        by_word = [np.append(x, 0) for sample in parents for x in sample]
+        by_word = [np.append(np.ones(len(words), np.int64), 0) for _ in range(2 * len(parents))]
+        for every, x in zip(by_word, (x for sample in parents for x in sample[:2]), strict=True):
+            every[moving] = x
+        repeated, sums = sums, np.full(len(many), len(parents))
+        sums[many > 1] = repeated
 
         def answer(blob: bytes) -> bytes:
             asked, each, context, own = unpack(blob)
@@ -435,7 +486,7 @@ def _answerer(buckets: int):
         parts = [(k, unpack(x)) for k, x in zip(held["kind"].to_pylist(), held["blob"].to_pylist(), strict=True)]
         if bucket < buckets:
             one = dict(parts)
-            answer = words_of(_whole(one[_SHAPE], one[_NAMES]), next(x[1] for k, x in parts if k == _SEATS), [x for k, x in parts if k == _PARENTS])
+            answer = words_of(one[_NAMES], next(x[1] for k, x in parts if k == _SEATS), [x for k, x in parts if k == _PARENTS])
         else:
             answer = contexts_of(next(x for k, x in parts if k == _INDEX), [x[0] for k, x in parts if k == _HOME])
         n = asked.num_rows
@@ -500,7 +551,7 @@ def score(model: Model, docs: DataFrame, end: bool = True, passes: int = 3) -> D
     if model.seats is not None:
         held = held.unionByName(model.seats)
     if model.index is not None:
-        held = held.unionByName(model.index.select((F.col("bucket") + n).alias("bucket"), "pid", "kind", "blob"))
+        held = held.unionByName(model.index.where(F.col("pid") == _NAMED).select((F.col("bucket") + n).alias("bucket"), "pid", "kind", "blob"))
     for k, (parents, home) in enumerate(zip(model.parents, model.homes, strict=True)):
         order = F.lit(k).cast("int").alias("pid")
         held = held.unionByName(parents.select("bucket", order, "kind", "blob"))

@@ -11,7 +11,9 @@ conditional.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
+from functools import lru_cache
 
 import numpy as np
 
@@ -20,6 +22,7 @@ STEPS = 16
 _AT_ONCE = 1 << 20
 
 
+@lru_cache(8)
 def stirling(discount: float) -> np.ndarray:
     """Logs of generalised Stirling numbers, [customers, tables], up to LISTED."""
     s = np.full((LISTED + 1, LISTED + 1), -np.inf)
@@ -29,6 +32,7 @@ def stirling(discount: float) -> np.ndarray:
         with np.errstate(divide="ignore"):
             stay = s[c, 1 : c + 2] + np.log(np.maximum(c - discount * t, 0))
         s[c + 1, 1 : c + 2] = np.logaddexp(s[c, : c + 1], stay)
+    s.flags.writeable = False
     return s
 
 
@@ -177,3 +181,54 @@ def rest_masses(n: int, shape: float, discount: float, rng: np.random.Generator)
             out[left[good]] += mass[good]
             left = left[~good]
     return out
+
+
+def rest_mass(shape: float, discount: float, rng: np.random.Generator) -> float:
+    """One mass as rest_masses() draws, in a time that does not grow with its shape: the sum of that of many dishes.
+
+    Devroye's double rejection for exponentially tilted stable variates (2009),
+    whose tilt to the power of the discount is `shape`.
+    """
+    if shape <= 0:
+        return 0.0
+    a, b, tilt = discount, (1 - discount) / discount, shape ** (1 / discount)
+    half = math.sqrt(math.pi / 2)
+    gamma = shape * a * (1 - a)
+    root = math.sqrt(gamma)
+    xi = ((2 + half) * math.sqrt(2) * root + 1) / math.pi
+    log_psi = math.log((2 + half) * root / math.sqrt(math.pi)) - gamma * math.pi**2 / 8
+    psi = math.exp(log_psi)
+    w1, w2, w3 = xi * math.sqrt(math.pi / 2 / gamma), 2 * psi * math.sqrt(math.pi), xi * math.pi
+    # Zolotarev's function is ratio(u) ** (-1 / (1 - a)), but for its value at 0.
+    at_zero = a**-a * (1 - a) ** (a - 1)
+    while True:
+        while True:
+            if gamma >= 1:
+                u = abs(rng.standard_normal()) / root if rng.random() < w1 / (w1 + w2) else math.pi * (1 - rng.random() ** 2)
+            else:
+                u = math.pi * rng.random() if rng.random() < w3 / (w2 + w3) else math.pi * (1 - rng.random() ** 2)
+            if not 0 < u < math.pi:
+                continue
+            ratio = math.sin(u) / (math.sin(a * u) ** a * math.sin((1 - a) * u) ** (1 - a))
+            zeta = math.sqrt(ratio / at_zero)
+            phi = (root + a * zeta) ** (1 / a)
+            z = phi / (phi - root ** (1 / a))
+            cover = np.logaddexp(math.log(xi) - (gamma * u * u / 2 if gamma >= 1 else 0), log_psi - math.log(math.pi - u) / 2)
+            log_z = math.log(1 - rng.random()) + math.log(math.pi) - shape * (1 - zeta**-2) + cover - math.log((1 + half) * root / zeta + z)
+            if log_z <= 0:
+                break
+        zolotarev = ratio ** (-1 / (1 - a))
+        mode = (b * tilt / zolotarev) ** a
+        spread = math.sqrt(mode * a / zolotarev)
+        left, tail = spread * half, z / zolotarev
+        v, n, e = rng.random() * (left + spread + tail), 0.0, 0.0
+        if v < left:
+            n = rng.standard_normal()
+            x = mode - spread * abs(n)
+        elif v < left + spread:
+            x = mode + spread * rng.random()
+        else:
+            e = rng.exponential()
+            x = mode + spread + e * tail
+        if x > 0 and zolotarev * (x - mode) + tilt * (x**-b - mode**-b) - n * n / 2 - e <= -log_z:
+            return x**-b * shape ** (1 / a)

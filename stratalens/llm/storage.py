@@ -41,13 +41,14 @@ def _released(spark: SparkSession) -> Iterator[None]:
             spark.conf.set(_CLEAN, before)
 
 
-def stage(df: DataFrame, label: str) -> DataFrame:
-    """Write `df` to the shared folder and return a reader of what was written; its shuffle files go at once."""
+def stage(df: DataFrame, label: str, by: str | None = None) -> DataFrame:
+    """Write `df` to the shared folder, apart for each value of `by`, and return a reader of what was written; its shuffle files go at once."""
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
     with _released(spark):
-        df.write.option("compression", "zstd").parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
+        write = df.write.option("compression", "zstd")
+        (write.partitionBy(by) if by else write).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path).select(*df.columns)
     out._staged_path = path
     return out
 

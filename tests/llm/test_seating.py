@@ -6,7 +6,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from stratalens.llm import pitman_yor, seating
+from stratalens.llm import blobs, pitman_yor, seating
 
 
 def exact(c, weight):
@@ -187,3 +187,101 @@ def test_contexts_are_named_once():
         again = pitman_yor._added(0.5, 1.0, 7)(pa.Table.from_pylist(row(plain) + index, schema=schema)).to_pylist()
         assert again == [r for r in first if r["kind"] != pitman_yor._INDEX]
         assert len(row(plain)[0]["blob"]) < len(row(named)[0]["blob"]) / 2
+
+
+def test_blocks_of_repeated_pairs_sample_the_same_seating():
+    """Sweeps as training runs them, over pairs seen more than once: mean tables against one customer at a time, with words that have no such pair."""
+    pairs = {(0, 10): 6, (0, 11): 3, (1, 10): 1, (1, 12): 1, (2, 11): 4, (2, 12): 1, (3, 10): 1, (3, 13): 1, (3, 11): 1}
+    discount, strength, vocabulary = (0.6, 0.4), (1.0, 1.0), 4
+    rng = np.random.default_rng(4)
+    want = seated_one_by_one(pairs, vocabulary, discount, strength, 1200, rng)
+    order = sorted(pairs, key=lambda p: (p[1], p[0]))
+    per = np.array([sum(p[1] == w for p in order) for w in (10, 11, 12, 13)], np.uint32)
+    counts = [np.arange(10, 14, dtype=np.uint64), per, np.arange(4, dtype=np.uint64), np.array([p[0] for p in order], np.uint8), np.array([pairs[p] for p in order], np.uint8)]
+    schema = pa.schema([(k, pitman_yor._STATE[k]) for k in ("bucket", "pid", "kind", "blob", "parents")])
+    line = lambda s, k: {c: s[c][s["kind"].index(k)] for c in schema.names}
+    state = pitman_yor._opened(0, counts, 1)
+    shape, index, sweeps = line(state, pitman_yor._SHAPE), [], 3000
+    assert pitman_yor.unpack(shape["blob"])[-1].tolist() == [1, sum(pairs.values()), 4, 6, 0, 1, 1]
+    repeated = [p for p in order if pairs[p] > 1]
+    total = np.zeros(len(repeated))
+    for sweep in range(sweeps + 100):
+        at = state["kind"].index(pitman_yor._SEATS)
+        now = pitman_yor._Totals(state["customers"][at], state["tables"][at], sum(pairs.values()), vocabulary)
+        rest, own = (rng.gamma(strength[1] / discount[1] + now.parent_tables) for _ in range(2))
+        told = pa.Table.from_pylist([line(state, pitman_yor._TOLD), *index], schema=pa.schema(list(pitman_yor._ROWS.items())))
+        rooms = pitman_yor._added(discount[0], strength[0], sweep)(told).to_pylist()
+        index = index or [r for r in rooms if r["kind"] == pitman_yor._INDEX and r["pid"] == pitman_yor._SPOTS]
+        seats = line(state, pitman_yor._SEATS)
+        mass, many, seated, words = pitman_yor._weigher(rest, vocabulary, discount[1], sweep)(0, pitman_yor.unpack(seats["parents"]))
+        mass += rng.gamma(now.tables - many - discount[1] * (now.parent_tables - seated)) + seating.rest_mass((vocabulary + 1 - words) * rest / (vocabulary + 1), discount[1], rng)
+        held = [shape, seats, *({**r, "parents": None} for r in rooms if r["kind"] == pitman_yor._ROOMS)]
+        out = pitman_yor._sweeper(now, discount, strength, rest, mass, own, sweep, False, 1)(pa.Table.from_pylist(held, schema=schema))
+        state = {c: out[c].to_pylist() for c in out.column_names}
+        if sweep >= 100:
+            total += pitman_yor.unpack(line(state, pitman_yor._SEATS)["blob"])[0]
+    for p, mean in zip(repeated, total / sweeps, strict=True):
+        assert abs(mean - want[p]) < 0.12 + 0.04 * want[p], (p, mean, want[p])
+
+
+def test_sweeps_carry_repeated_pairs_alone():
+    """Of 50,000 pairs a hundred are repeated: sweeps carry those, yet every context has its tables, and its variate is that of all pairs told."""
+    rng = np.random.default_rng(6)
+    pair = np.unique(rng.integers(0, 400, 60_000) << 32 | rng.integers(0, 3_000, 60_000))[:50_000]
+    per = np.bincount(pair >> 32).astype(np.uint32)
+    contexts = np.unique(rng.integers(0, 2**63, 3_100).astype(np.uint64) * np.uint64(2))[:3_000]
+    many = np.ones(len(pair), np.uint8)
+    many[rng.choice(len(pair), 100, replace=False)] = 5
+    table = pa.table({"bucket": pa.array([7], pa.int32()), "blob": [pitman_yor.pack(np.arange(len(per), dtype=np.uint64), per, contexts, (pair & pitman_yor._LOW).astype(np.uint16), many)]})
+    out = pitman_yor._merged(2)(table).to_pylist()
+    size = lambda kind: sum(len(r["blob"]) + len(r["parents"] or b"") for r in out if r["kind"] == kind)
+    assert size(pitman_yor._SHAPE) + size(pitman_yor._SEATS) < 0.1 * size(pitman_yor._NAMES)
+
+    counts = pitman_yor.unpack(next(r["blob"] for r in out if r["kind"] == pitman_yor._NAMES))
+    dense = pitman_yor._told(7, counts, np.ones(len(pair), np.int64), per.astype(np.int64), np.ones(len(per), np.int64), np.zeros(len(pair), np.int64), 2)
+    schema, add = pa.schema(list(pitman_yor._ROWS.items())), pitman_yor._added(0.5, 1.0, 3)
+    for home in range(2):
+        told = [{k: r[k] for k in schema.names} for r in out if r["kind"] == pitman_yor._TOLD and r["bucket"] == home]
+        every = [{k: dense[k][i] for k in schema.names} for i, kind in enumerate(dense["kind"]) if kind == pitman_yor._TOLD and dense["bucket"][i] == home]
+        few, full = (add(pa.Table.from_pylist(x, schema=schema)).to_pylist() for x in (told, every))
+        blob = lambda rows, kind: pitman_yor.unpack(next(r["blob"] for r in rows if r["kind"] == kind))
+        assert blob(few, pitman_yor._HOME)[0].tolist() == blob(full, pitman_yor._HOME)[0].tolist()
+        where = pitman_yor.unpack(told[0]["blob"])[3]
+        assert 0 < len(where) < 100 and blob(few, pitman_yor._ROOMS)[0].tolist() == blob(full, pitman_yor._ROOMS)[0][where].tolist()
+        # A later sweep in which no bucket of words has a repeated pair here.
+        index = [{**r, "blob": pitman_yor.pack(pitman_yor.unpack(r["blob"])[0], np.zeros(0, np.uint8))} for r in few if r["pid"] == pitman_yor._SPOTS]
+        alone = add(pa.Table.from_pylist(index, schema=schema)).to_pylist()
+        assert [r["kind"] for r in alone] == [pitman_yor._HOME] and len(blob(alone, pitman_yor._HOME)[0]) == len(blob(full, pitman_yor._HOME)[0])
+
+
+def test_mass_of_many_dishes_is_one_draw():
+    """Against the sum over dishes, and at 10**9 by mean and variance."""
+    rng = np.random.default_rng(8)
+    for discount, shape in ((0.3, 0.4), (0.5, 6.0), (0.72, 30.0), (0.9, 1.5)):
+        one = np.sort([seating.rest_mass(shape, discount, rng) for _ in range(4000)])
+        other = np.sort(seating.rest_masses(20 * 4000, shape / 20, discount, rng).reshape(-1, 20).sum(axis=1))
+        both = np.concatenate([one, other])
+        gap = np.abs(np.searchsorted(one, both, "right") - np.searchsorted(other, both, "right")).max() / 4000
+        assert gap < 1.95 * np.sqrt(2 / 4000), (discount, shape, gap)
+    draws = np.array([seating.rest_mass(1e9, 0.7, rng) for _ in range(4000)])
+    assert abs(draws.mean() - 0.7e9) < 4.5 * np.sqrt(0.21e9 / 4000) and draws.var() == pytest.approx(0.21e9, rel=0.12)
+    assert seating.rest_mass(0.0, 0.5, rng) == 0
+
+
+def test_numbers_by_one_sort_are_those_of_unique():
+    """With no value, with values whose upper bits agree, and with pairs too wide to be sorted as one number."""
+    rng = np.random.default_rng(9)
+    close = (np.uint64(1) << np.uint64(60)) + rng.integers(0, 40, 500).astype(np.uint64)
+    for hashes in (np.zeros(0, np.uint64), np.array([2**64 - 1], np.uint64), close, rng.choice(rng.integers(0, 2**63, 90).astype(np.uint64) * np.uint64(2), 700)):
+        for got, want in zip(blobs.numbered(hashes), np.unique(hashes, return_inverse=True), strict=True):
+            assert got.tolist() == want.tolist()
+    for top in (5, 2**31 - 1):
+        high, low = rng.integers(0, top, 800), rng.integers(0, top + 1, 800)
+        high[:2], low[:2] = top, top
+        at, pair = blobs.ordered(high, low)
+        assert pair.tolist() == sorted((high << 32 | low).tolist()) and (high << 32 | low)[at].tolist() == pair.tolist()
+    part, value = rng.integers(0, 6, 300) // 2 * 2, rng.integers(0, 50, 300)
+    own, bounds, code = blobs.numbered_within(part, value, 7)
+    for k in range(7):
+        assert own[bounds[k] : bounds[k + 1]].tolist() == np.unique(value[part == k]).tolist()
+    assert own[bounds[part] + code].tolist() == value.tolist()
