@@ -48,7 +48,9 @@ def stage(df: DataFrame, label: str, by: str | None = None) -> DataFrame:
     with _released(spark):
         write = df.write.option("compression", "zstd")
         (write.partitionBy(by) if by else write).parquet(path)
-    out = spark.read.schema(df.schema).parquet(path).select(*df.columns)
+    out = spark.read.schema(df.schema).parquet(path)
+    if by:  # a folder's column comes last
+        out = out.select(*df.columns)
     out._staged_path = path
     return out
 
